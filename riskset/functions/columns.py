@@ -144,28 +144,40 @@ def significance_symbol(p: ColumnLike) -> Column:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; keeps text expressions from multiplying."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def number_text(c: ColumnLike, digits: int = 3) -> Column:
     """A number already rounded to ``digits`` places, printed without trailing zeros.
 
     A whole number is printed as ``1e+05`` when that is the shorter form.
     """
-    c = _col(c).cast("double")
-    fixed = F.format_string(f"%.{digits}f", c)
-    short = F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    body = F.regexp_replace(short, "^-", "")
-    mantissa = F.rtrim(body, F.lit("0"))
-    exponent = F.length(body) - 1
-    sci_width = F.when(F.length(mantissa) == 1, 5).otherwise(F.length(mantissa) + 5)
-    scientific = F.concat(
-        F.when(c < 0, "-").otherwise(""),
-        F.substring(mantissa, 1, 1),
-        F.when(F.length(mantissa) > 1, F.concat(F.lit("."), F.substring(mantissa, 2, 20))).otherwise(""),
-        F.lit("e+"),
-        F.lpad(exponent.cast("string"), 2, "0"),
-    )
-    whole = short.rlike(r"^-?[1-9]\d+$")
-    text = F.when(whole & (sci_width < F.length(body)), scientific).otherwise(short)
-    return F.when(short == "-0", "0").otherwise(text)
+
+    def short_form(fixed: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+    def choose(short: Column) -> Column:
+        body = F.regexp_replace(short, "^-", "")
+        mantissa = F.rtrim(body, F.lit("0"))
+        sci_width = F.when(F.length(mantissa) == 1, 5).otherwise(F.length(mantissa) + 5)
+        scientific = F.concat(
+            F.when(short.startswith("-"), "-").otherwise(""),
+            F.substring(mantissa, 1, 1),
+            F.when(F.length(mantissa) > 1, F.concat(F.lit("."), F.substring(mantissa, 2, 20))).otherwise(""),
+            F.lit("e+"),
+            F.lpad((F.length(body) - 1).cast("string"), 2, "0"),
+        )
+        whole = short.rlike(r"^-?[1-9]\d+$")
+        text = F.when(whole & (sci_width < F.length(body)), scientific).otherwise(short)
+        return F.when(short == "-0", "0").otherwise(text)
+
+    def text_of(x: Column) -> Column:
+        fixed = F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+        return _let(short_form(fixed), choose)
+
+    return _let(_col(c).cast("double"), text_of)
 
 
 def format_interval(low: ColumnLike, high: ColumnLike, digits: int = 3) -> Column:
@@ -190,9 +202,9 @@ def format_estimate(
 
 
 def format_p_fixed(p: ColumnLike, digits: int = 3) -> Column:
-    """``%.3f`` text."""
+    """``%.3f`` text of the nearest 3-place decimal (the JVM's own ``%f`` rounds the shortest decimal up)."""
     p = _col(p)
-    return F.when(p.isNotNull(), F.format_string(f"%.{digits}f", p.cast("double")))
+    return F.when(p.isNotNull(), F.format_string(f"%.{digits}f", round_n(p, digits)))
 
 
 def format_p_floor(p: ColumnLike, digits: int = 3) -> Column:

@@ -282,6 +282,7 @@ class RiskLayout:
             rows_per_bucket = max(1_000_000, math.ceil(n / most))
         cuts = cut_values(base, "a", n, rows_per_bucket)
         parted = with_bucket(base, "a", cuts, "bucket").select("a", "b", "w", "bucket", *base.columns[3:])
+        self.buckets = 2 * len(cuts) + 1
         on_cut = F.col("bucket") % 2 == 0
         # only rows strictly between cuts move, each bucket a bounded share of all rows
         inner = parted.where(~on_cut).repartition(len(cuts) + 1, "bucket").sortWithinPartitions(
@@ -299,29 +300,33 @@ class RiskLayout:
 
 
 class CoxBatch:
-    """Models over one layout, evaluated together; ``extra`` adds terms computed from the layout's."""
+    """Models over one layout, evaluated together.
+
+    ``extra`` adds terms computed from the layout's, on the scale of its term ``scale_of``.
+    """
 
     def __init__(self, layout: RiskLayout, models: Sequence[Model], ties: str = "efron",
-                 extra: Mapping[str, Column] | None = None):
+                 extra: Mapping[str, Column] | None = None, scale_of: str | None = None):
         if ties not in ("efron", "breslow"):
             raise ValueError(f"unknown ties method {ties}")
         self.efron = ties == "efron"
         self.models = list(models)
         extra = extra or {}
-        self.frame = layout.frame.extended(extra)
+        self.frame = layout.frame.extended(extra, scale_of)
         self.times = layout.times
         added = extra_columns(len(layout.frame.names), extra)
         more = lambda df: df.select("*", *added) if added else df
         if self.times is None:
-            self.parted, self.moved = more(layout.parted), more(layout.moved)
+            self.parted, self.moved, self.buckets = more(layout.parted), more(layout.moved), layout.buckets
 
     def evaluate(self, active: Sequence[int], betas: Sequence[np.ndarray]):
         """(loglik, score, information, n, events) of each active model at its coefficients."""
         plans = [model_plan(self.frame, self.models[i], b) for i, b in zip(active, betas)]
+        size = sum(_size(plan.p) for plan in plans)
         if self.times is not None:
-            stats = fold(self.frame.df, _point_kernel(plans, self.times))
+            stats = fold(self.frame.df, _point_kernel(plans, self.times), size * len(self.times))
         else:
-            stats = fold(self.parted, _point_kernel(plans, None))
+            stats = fold(self.parted, _point_kernel(plans, None), size * self.buckets)
         per_model: list[list[tuple[int, np.ndarray]]] = [[] for _ in plans]
         for (m, b), v in stats.items():
             per_model[m].append((b, v))
@@ -350,7 +355,7 @@ class CoxBatch:
                 later2[key] = unpack(s2_at[k] - s2[k], p)
             results.append([ll, score, info, int(round(head[:, 0].sum())), int(round(head[:, 2].sum()))])
         if self.times is None:
-            inner = fold(self.moved, _open_kernel(plans, offsets, self.efron))
+            inner = fold(self.moved, _open_kernel(plans, offsets, self.efron), size * self.buckets)
             for (m, b), v in inner.items():
                 p, r = plans[m].p, results[m]
                 r[0] += v[0]
@@ -358,10 +363,17 @@ class CoxBatch:
                 r[2] = r[2] + unpack(v[2 + p:], p) + v[1] * later2[(m, b)]
         return results
 
-    def fit(self, max_iter: int = MAX_ITER, eps: float = EPS) -> list[CoxFit]:
-        """Newton-Raphson from zero with step halving; converged models drop out of later passes."""
+    def fit(self, max_iter: int = MAX_ITER, eps: float = EPS,
+            start: Sequence[np.ndarray] | None = None) -> list[CoxFit]:
+        """Newton-Raphson with step halving; converged models drop out of later passes.
+
+        Starts from zero, or from given coefficients to save passes; ``loglik0`` is
+        then the log-likelihood there.
+        """
         n_models = len(self.models)
         beta = [np.zeros(len(m.terms)) for m in self.models]
+        if start is not None:
+            beta = [np.nan_to_num(b) * self._scale(m) for b, m in zip(start, self.models)]
         trial = [b.copy() for b in beta]
         state: list = [None] * n_models
         keep: list = [None] * n_models
@@ -404,9 +416,12 @@ class CoxBatch:
         return [self._result(i, beta[i], state[i], keep[i], loglik0[i], iterations[i], converged[i])
                 for i in range(n_models)]
 
+    def _scale(self, model: Model) -> np.ndarray:
+        return np.array([self.frame.scaling.scale[self.frame.index[t]] for t in model.terms])
+
     def _result(self, i, beta, state, keep, loglik0, iterations, converged) -> CoxFit:
         model = self.models[i]
-        scale = np.array([self.frame.scaling.scale[self.frame.index[t]] for t in model.terms])
+        scale = self._scale(model)
         ll, _, info, n, events = state
         if events == 0:
             keep = np.zeros(len(model.terms), bool)

@@ -60,13 +60,14 @@ class Frame:
         """A term's column, to build further terms from."""
         return F.col(f"x{self.index[name]}")
 
-    def extended(self, extra: Mapping[str, Column]) -> "Frame":
-        """The frame with further terms computed on the fly; one job learns their scale."""
+    def extended(self, extra: Mapping[str, Column], scale_of: str) -> "Frame":
+        """The frame with further terms computed on the fly, scaled like the term they come from."""
         if not extra:
             return self
         k = len(self.names)
         df = self.df.select(*self.df.columns, *extra_columns(k, extra))
-        center, scale, _ = _column_scales(df, range(k, k + len(extra)))
+        center = np.zeros(len(extra))
+        scale = np.full(len(extra), self.scaling.scale[self.index[scale_of]])
         names = [*self.names, *extra]
         scaling = Scaling(np.append(self.scaling.center, center), np.append(self.scaling.scale, scale))
         return Frame(df, names, scaling, self.n_rows, self.times, self.first_mean,
@@ -176,22 +177,26 @@ def emit(stats: Mapping[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch
              pa.ListArray.from_arrays(offsets, values)], ["model", "bucket", "stats"])
 
 
-def fold(df: DataFrame, kernel: Callable) -> dict[tuple[int, int], np.ndarray]:
+def fold(df: DataFrame, kernel: Callable, doubles: int) -> dict[tuple[int, int], np.ndarray]:
     """Run ``kernel`` over every partition and add its vectors up per (model, bucket).
 
-    The result has one vector per model and bucket; callers bound both.
+    ``doubles`` bounds one task's vectors, and so the result. When all tasks' vectors
+    together are within the same bound they are added on the driver, which saves a
+    shuffle; otherwise Spark adds them first.
     """
     partial = df.mapInArrow(kernel, PARTIAL_SCHEMA)
-    summed = partial.groupBy("model", "bucket").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
-    table = summed.toArrow()
-    out = {}
+    if doubles * df.rdd.getNumPartitions() > STATE_DOUBLES:
+        partial = partial.groupBy("model", "bucket").agg(
+            vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
+    table = partial.toArrow()
+    out: dict = {}
     if table.num_rows:
         keys = zip(table["model"].to_pylist(), table["bucket"].to_pylist())
         stats = table["stats"].combine_chunks()
         flat, off = stats.values.to_numpy(), stats.offsets.to_numpy()
         for i, key in enumerate(keys):
-            out[key] = flat[off[i]:off[i + 1]]
+            v = flat[off[i]:off[i + 1]]
+            out[key] = out[key] + v if key in out else v
     return out
 
 
@@ -241,7 +246,3 @@ def solve_kept(h: np.ndarray, u: np.ndarray, keep: np.ndarray) -> tuple[np.ndarr
         step[keep] = inv @ u[keep]
         cov[np.ix_(keep, keep)] = inv
     return step, cov
-
-
-def batches_within(models: Sequence[Model], size: Callable[[int], int], buckets: int) -> bool:
-    return sum(size(len(m.terms)) for m in models) * buckets <= STATE_DOUBLES

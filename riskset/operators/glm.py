@@ -89,15 +89,20 @@ class GlmBatch:
         self.frame: Frame = build_frame(df, outcome, F.lit(0.0), weight, design, masks, persist)
 
     @classmethod
-    def over(cls, frame: Frame, models: Sequence[Model], extra: Mapping[str, Column] | None = None) -> "GlmBatch":
+    def over(cls, frame: Frame, models: Sequence[Model], extra: Mapping[str, Column] | None = None,
+             scale_of: str | None = None) -> "GlmBatch":
         """A batch on an existing frame, with further terms computed from the frame's."""
         batch = cls.__new__(cls)
-        batch.models, batch.frame = list(models), frame.extended(extra or {})
+        batch.models, batch.frame = list(models), frame.extended(extra or {}, scale_of)
         return batch
 
     def release(self) -> None:
         self.frame.release()
 
+    def _forth(self, m: Model, coef: np.ndarray) -> np.ndarray:
+        plan = model_plan(self.frame, m, coef)
+        return np.concatenate([[coef[0] + coef[1:] @ plan.center], coef[1:] * plan.scale])
+
     def _back(self, m: Model, beta: np.ndarray, cov: np.ndarray):
         """Coefficients and covariance on the original scale."""
         q = len(beta)
@@ -115,7 +120,7 @@ class GlmBatch:
 
     def logistic_at(self, active: Sequence[int], betas: Sequence[np.ndarray]):
         plans = [model_plan(self.frame, self.models[i], b) for i, b in zip(active, betas)]
-        stats = fold(self.frame.df, _logit_kernel(plans))
+        stats = fold(self.frame.df, _logit_kernel(plans), sum(2 + p.p + 1 + packed_size(p.p + 1) for p in plans))
         out = []
         for m, plan in enumerate(plans):
             q = plan.p + 1
@@ -123,10 +128,14 @@ class GlmBatch:
             out.append((float(v[1]), v[2:2 + q], unpack(v[2 + q:], q), int(v[0])))
         return out
 
-    def fit_logistic(self, max_iter: int = LOGIT_MAX_ITER, eps: float = LOGIT_EPS):
-        """Newton from zero; returns fits plus the scaled (beta, state, keep) profile needs."""
+    def fit_logistic(self, max_iter: int = LOGIT_MAX_ITER, eps: float = LOGIT_EPS,
+                     start: Sequence[np.ndarray] | None = None):
+        """Newton from zero, or from given coefficients; returns the fits and the
+        scaled (beta, state, keep) that profile limits need."""
         k = len(self.models)
         beta = [np.zeros(len(m.terms) + 1) for m in self.models]
+        if start is not None:
+            beta = [self._forth(m, np.nan_to_num(b)) for m, b in zip(self.models, start)]
         trial = [b.copy() for b in beta]
         state: list = [None] * k
         keep: list = [None] * k
@@ -214,7 +223,7 @@ class GlmBatch:
         plans = [model_plan(self.frame, m, np.zeros(len(m.terms) + 1)) for m in self.models]
         shift = self.frame.first_mean
         shifted = self.frame.df.withColumn("a", F.col("a") - F.lit(shift))
-        stats = fold(shifted, _moment_kernel(plans))
+        stats = fold(shifted, _moment_kernel(plans), sum(4 + p.p + 1 + packed_size(p.p + 1) for p in plans))
         fits = []
         for i, m in enumerate(self.models):
             q = len(m.terms) + 1

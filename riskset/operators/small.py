@@ -33,3 +33,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskset-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark) -> str:
+    """The folder the cluster names for intermediate tables."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="riskset-")
