@@ -72,7 +72,7 @@ def cox_ctes(cells: str, p: int, name: str = "fit", steps: int = 6, efron: bool
         beta = new
     last = f"{name}_{steps}_j"
     ctes.append(f"{name} AS (SELECT f.k, {', '.join(f'b{i}' for i in idx)}, "
-                f"{', '.join(f'v_{i}_{j}' for i in idx for j in idx)}, f.ll, z.ll AS ll0 "
+                f"{', '.join(f'f.v_{i}_{j}' for i in idx for j in idx)}, f.ll, z.ll AS ll0 "
                 f"FROM {name}_b{steps} b JOIN {last} f USING (k) JOIN {name}_0_j z USING (k))")
     return ",\n".join(ctes)
 

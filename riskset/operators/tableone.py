@@ -92,7 +92,9 @@ def baseline_table(df: DataFrame, variables: Sequence[str], strata: str | None =
             F.col("q1").alias("spread_low"), F.col("q3").alias("spread_high"), null("double", "percent"),
             F.format_string("%.2f [%.2f, %.2f]", "median", "q1", "q3").alias("summary")))
     if cats:
-        parts.append(category_counts(data, cats, by).select(
+        # one row per level and stratum, wanted again by the test
+        counted = category_counts(data, cats, by).persist()
+        parts.append(counted.select(
             "variable", "level", "stratum", "n", null("double", "center"), null("double", "spread_low"),
             null("double", "spread_high"), "percent", F.format_string("%d (%.1f)", "n", "percent").alias("summary")))
     out = parts[0]
@@ -106,7 +108,7 @@ def baseline_table(df: DataFrame, variables: Sequence[str], strata: str | None =
             tests.append(kruskal_wallis(data, skewed, by).select(
                 "variable", "p_value", F.lit("kruskal").alias("test")))
         if cats:
-            cells = category_counts(data, cats, by).where(F.col("n") > 0).select(
+            cells = counted.where(F.col("n") > 0).select(
                 "variable", F.col("level").alias("value"), "stratum", "n")
             tests.append(chi_square_from_counts(cells).select(
                 "variable", "p_value", F.lit("chisq").alias("test")))
