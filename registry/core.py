@@ -54,7 +54,9 @@ def cdf_gamma(a: str, x: str, terms: int = 400) -> str:
 
 def chi2_p(x: str, df: str) -> str:
     """DuckDB expression for the chi-square upper tail."""
-    return f"greatest(0.0, 1 - {cdf_gamma(f'({df}) / 2.0', f'(({x}) / 2.0)')})"
+    series = cdf_gamma(f"({df}) / 2.0", f"(({x}) / 2.0)")
+    # far in the tail the series is long and the answer 0 to every printed place
+    return f"CASE WHEN ({x}) > 250 + 2 * ({df}) THEN 0.0 ELSE greatest(0.0, 1 - {series}) END"
 
 
 def normal_p(z: str) -> str:
@@ -67,7 +69,8 @@ def f_p(f: str, d1: str, d2: str, terms: int = 400) -> str:
     a, b = f"(({d1}) / 2.0)", f"(({d2}) / 2.0)"
     x = f"greatest((({d1}) * ({f})) / (({d1}) * ({f}) + ({d2})), 1e-300)"
     lead = f"{a} * ln({x}) + {b} * ln(1 - {x})"
-    return (f"greatest(0.0, 1 - list_sum(list_transform(range(0, {terms}), lambda i: exp({lead} + i * ln({x}) "
-            f"+ lgamma({a} + {b} + i) - lgamma({a} + i + 1) - lgamma({b})))))")
+    series = (f"list_sum(list_transform(range(0, {terms}), lambda i: exp({lead} + i * ln({x}) "
+              f"+ lgamma({a} + {b} + i) - lgamma({a} + i + 1) - lgamma({b}))))")
+    return f"CASE WHEN ({d1}) * ({f}) > 250 THEN 0.0 ELSE greatest(0.0, 1 - {series}) END"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry.core import chi2_p, f_p, lineitem, query, rounded, table
 from registry.prep import _INDEX, _gaps, _GAPS
 from riskset.functions.columns import significance_symbol, weighted_index
-from riskset.operators import nonparam, quantiles, tableone
+from riskset.operators import missing, nonparam, quantiles, tableone
 
 
 @query("a1_freq_table", """
@@ -72,6 +72,28 @@ def a4(spark, d):
         F.max("idx").alias("high")))
 
 
+_FENCED = f"""(SELECT l.*, {_INDEX} AS idx FROM lineitem l, (
+    SELECT quantile_cont({_INDEX}, 0.25) AS b1, quantile_cont({_INDEX}, 0.75) AS b3 FROM lineitem)
+    WHERE {_INDEX} BETWEEN b1 - 3 * (b3 - b1) AND b3 + 3 * (b3 - b1))"""
+
+
+@query("a0_rate_by_quartile", f"""
+    WITH f AS {_FENCED}, q AS (SELECT quantile_cont(idx, 0.25) AS q1, quantile_cont(idx, 0.5) AS q2, quantile_cont(idx, 0.75) AS q3 FROM f)
+    SELECT 1 + (idx > q1)::INT + (idx > q2)::INT + (idx > q3)::INT AS grp, count(*) AS n,
+           count(*) FILTER (WHERE l_returnflag = 'R') AS events,
+           round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS event_rate,
+           round(quantile_cont(l_quantity, 0.5), 6) AS median_time
+    FROM f, q GROUP BY 1""")
+def a0(spark, d):
+    li = lineitem(spark, d, "l_tax", "l_discount", "l_returnflag", "l_quantity")
+    indexed = li.withColumn("idx", weighted_index({"l_tax": 10, "l_discount": 5}))
+    kept = quantiles.quantile_group(missing.iqr_fence(indexed, "idx"), "idx", out="grp")
+    rates = kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("ev").alias("events"),
+                                    F.avg("ev").alias("event_rate"))
+    medians = quantiles.quantile7(kept, ["l_quantity"], [0.5], ["grp"])
+    return rounded(rates.join(medians.select("grp", F.col("value").alias("median_time")), "grp"))
+
+
 # --- baseline table ------------------------------------------------------------------
 
 _BASE = """(SELECT l_linenumber, l_tax, l_extendedprice, l_returnflag, l_linestatus, o_orderpriority

@@ -119,3 +119,39 @@ def linear_ctes(cells: str, p: int, name: str = "fit") -> str:
                 f"{', '.join(f'v_{i}_{j} * rss / (n - {p}) AS v_{i}_{j}' for i in idx for j in idx)}, "
                 f"-0.5 * n * (ln(2 * pi() * rss / n) + 1) AS ll FROM {name}_j JOIN {name}_r USING (k))")
     return ",\n".join(ctes)
+
+
+def profile_ctes(cells: str, p: int, j: int, name: str = "prof", steps: int = 7) -> str:
+    """Profile-likelihood limits of coefficient ``j`` of a logistic model with one key.
+
+    Newton on (log-likelihood = maximum - 3.84/2, zero score elsewhere), from the Wald
+    limits. Result CTE ``name``: side (-1, 1) and bj.
+    """
+    idx = range(1, p + 1)
+    fit = f"{name}_f"
+    ctes = [logit_ctes(cells, p, fit)]
+    c = f"{fit}_c"
+    beta = f"{name}_b0"
+    ctes.append(f"{beta} AS (SELECT side, ll - 3.841458820694124 / 2 AS target, "
+                + ", ".join(f"b{i} + side * sqrt(3.841458820694124 / v_{j}_{j}) * v_{i}_{j} AS b{i}" for i in idx)
+                + f" FROM {fit}, (SELECT unnest([-1.0, 1.0])::DOUBLE AS side))")
+    for s in range(steps):
+        q = f"{name}_{s}"
+        eta = " + ".join(f"b{i} * x{i}" for i in idx)
+        sums = [f"sum(n * (y - mu) * x{i}) AS g_{i}" for i in idx] + [
+            f"sum(n * mu * (1 - mu) * x{i} * x{k}) AS q_{i}_{k}" for i in idx for k in idx]
+        ctes.append(f"{q}_m AS (SELECT side, any_value(target) AS target, sum(n * (y * eta - ln(1 + exp(eta)))) AS ll, "
+                    f"{', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-eta)) AS mu FROM (SELECT {c}.*, side, target, "
+                    f"{eta} AS eta FROM {c}, {beta})) GROUP BY side)")
+        rows = []
+        for i in idx:
+            rows.append(f"{'target - ll' if i == j else f'-g_{i}'} AS u_{i}")
+            rows += [f"{f'g_{k}' if i == j else f'-q_{i}_{k}'} AS h_{i}_{k}" for k in idx]
+        ctes.append(f"{q}_s AS (SELECT side, target, {', '.join(rows)} FROM {q}_m)")
+        ctes.append(_jordan(f"{q}_s", p, f"{q}_j", "side, target"))
+        new = f"{name}_b{s + 1}"
+        ctes.append(f"{new} AS MATERIALIZED (SELECT side, {beta}.target, {', '.join(f'b{i} + d_{i} AS b{i}' for i in idx)} "
+                    f"FROM {beta} JOIN {q}_j USING (side))")
+        beta = new
+    ctes.append(f"{name} AS (SELECT side, b{j} FROM {beta})")
+    return ",\n".join(ctes)

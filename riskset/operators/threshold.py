@@ -16,6 +16,7 @@ from riskset.operators.cox import CoxBatch, RiskLayout, batch_doubles, model_gro
 from riskset.operators.design import hinge_above, hinge_below
 from riskset.operators.frame import Model, build_frame
 from riskset.operators.glm import GlmBatch, term_row
+from riskset.operators.missing import open_interval
 from riskset.operators.quantiles import distinct_ranks, quantile_values, type3_rank
 from riskset.operators.small import cut_lineage
 
@@ -250,6 +251,13 @@ def coarse_scan(df: DataFrame, var: str, family: str, covariates: Mapping[str, C
     return df.sparkSession.createDataFrame(rows, "candidate int, prob double, cut double, loglik double")
 
 
+def refinement_window(df: DataFrame, var: str, best_p: float) -> DataFrame:
+    """(value, low, high): the distinct observed values strictly inside the window around a percentile."""
+    low, high = quantile_values(df, var, [max(best_p - WINDOW, LOWEST), min(best_p + WINDOW, HIGHEST)])
+    inside = open_interval(df, var, low, high)
+    return inside.select(F.col(var).cast("double").alias("value"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+
 RESULT = T.StructType([
     T.StructField("row_order", T.IntegerType()), T.StructField("row", T.StringType()),
     T.StructField("estimate", T.DoubleType()), T.StructField("lower", T.DoubleType()),
