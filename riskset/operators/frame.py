@@ -113,10 +113,26 @@ def build_frame(df: DataFrame, first: Column, second: Column, weight: str | None
     for i, n in enumerate(names):
         if n in masks:
             center[i], scale[i] = 0.0, 1.0
+    if persist:
+        out = _spread(out, int(one["n"]))
     return Frame(out, names, Scaling(center, scale), int(one["n"]), int(one["times"]), one["mean"] or 0.0,
                  {n: i for i, n in enumerate(names)})
 
 
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """Give every core a share when the input came in fewer pieces than there are cores.
+
+    Inputs of many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows < 20_000 or df.rdd.getNumPartitions() >= cores:
+        return df
+    wider = df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    wider.count()
+    df.unpersist()
+    return wider
+
+
 @dataclass
 class ModelPlan:
     """What a task needs to evaluate one model at its current coefficients (scaled)."""

@@ -2,8 +2,8 @@
 
 Reported values are always exact order statistics. Columns with few distinct
 values use the built-in ``percentile``, whose state is one entry per distinct
-value; wider columns are narrowed by mergeable sketches, pass by pass, until the
-rows around the wanted ranks are few enough to count exactly. No pass shuffles rows.
+value; wider columns are counted in value bins that narrow, pass by pass, until the
+rows around the wanted ranks are few enough to count one by one. No pass shuffles rows.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ from riskset.operators.small import join_checked
 
 DISTINCT_IN_MEMORY = 200_000
 GROUPS_IN_DRIVER = 2_000
-_GRID = 1000
-_GRID_PROBS = [i / _GRID for i in range(_GRID + 1)]
+_BINS = 4096
 
 
 def _clean(c: str) -> Column:
@@ -98,83 +97,69 @@ def _unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame
 
 
 def _narrowed(df, cols, probs, by, sizes, limit) -> list[tuple]:
-    """Exact order statistics by repeated sketch-and-count over shrinking brackets.
+    """Exact order statistics by counting in ever narrower value bins.
 
-    One target per (group, column, rank) lives on the driver: its size is that of
-    the result, checked by the caller.
+    Each round cuts every live span into equal bins and keeps, per wanted rank, the one
+    bin that holds it, with that bin's exact least and greatest value. A few thousand
+    bins per round leave a handful of rounds even for the largest tables. Only counts
+    per bin come back; wanted ranks are as many as result cells, checked by the caller.
     """
     spark = df.sparkSession
     long = _unpivot(df, cols, by)
-    targets = {}
-    for (group, col), n in sizes.items():
-        for p in probs:
-            if n:
-                h = (n - 1) * p
-                for rank in {math.floor(h), math.ceil(h)}:
-                    targets[(group, col, rank)] = dict(lo=-math.inf, hi=math.inf, below=0, inside=n)
-    found: dict = {}
     by_schema = df.select(*by).schema
-    while len(found) < len(targets):
-        todo = [(k, t) for k, t in targets.items() if k not in found]
-        wide = [(k, t) for k, t in todo if t["inside"] > limit]
-        narrow = [(k, t) for k, t in todo if t["inside"] <= limit]
-        schema = (_copy(by_schema).add("variable", "string").add("rank", "long")
-                  .add("lo", "double").add("hi", "double"))
+    found: dict = {}
+    wanted: dict = {}
+    for (group, col), n in sizes.items():
+        for p in probs if n else ():
+            for rank in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}:
+                wanted.setdefault((group, col), {})[rank] = None
+    limits = {(tuple(r[:len(by)]), r["variable"]): (r["lo"], r["hi"]) for r in
+              long.groupBy(*by, "variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    # a live span: (group, column, lo, hi) -> how many rows lie below it and in it, and its ranks
+    live = {(*k, *limits[k]): dict(below=0, inside=sizes[k], ranks=list(ranks)) for k, ranks in wanted.items()}
+    while live:
+        schema = _copy(by_schema).add("variable", "string").add("lo", "double").add("hi", "double")
+        narrow = {k: s for k, s in live.items() if s["inside"] <= limit}
+        wide = {k: s for k, s in live.items() if s["inside"] > limit}
+        live = {}
         if narrow:
-            spans = spark.createDataFrame([(*k[0], k[1], k[2], t["lo"], t["hi"]) for k, t in narrow], schema)
-            inside = _inside(long, spans, by).groupBy(*by, "variable", "rank", "value").agg(
+            spans = spark.createDataFrame([(*k[0], *k[1:]) for k in narrow], schema)
+            counts = _inside(long, spans, by).groupBy(*by, "variable", "lo", "hi", "value").agg(
                 F.count(F.lit(1)).alias("n"))
-            w = (Window.partitionBy(*by, "variable", "rank").orderBy("value")
+            w = (Window.partitionBy(*by, "variable", "lo", "hi").orderBy("value")
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            ranked = inside.withColumn("cum", F.sum("n").over(w))
-            base = spark.createDataFrame(
-                [(*k[0], k[1], k[2], k[2] - t["below"]) for k, t in narrow],
-                _copy(by_schema).add("variable", "string").add("rank", "long").add("offset", "long"))
-            cond = _same(ranked, base, [*by, "variable", "rank"])
-            hit = ranked.join(F.broadcast(base), cond).where(
-                (F.col("cum") > F.col("offset")) & (F.col("cum") - F.col("n") <= F.col("offset")))
-            for r in hit.select(*[ranked[b] for b in by], ranked["variable"], ranked["rank"], "value").collect():
+            ranked = counts.withColumn("upto", F.sum("n").over(w))
+            offsets = spark.createDataFrame(
+                [(*k[0], *k[1:], r - s["below"], r) for k, s in narrow.items() for r in s["ranks"]],
+                _copy(schema).add("offset", "long").add("rank", "long"))
+            hit = ranked.join(F.broadcast(offsets), _same(ranked, offsets, [*by, "variable", "lo", "hi"])).where(
+                (F.col("upto") > F.col("offset")) & (F.col("upto") - F.col("n") <= F.col("offset")))
+            for r in hit.select(*[ranked[b] for b in by], ranked["variable"], "rank", "value").collect():
                 found[(tuple(r[:len(by)]), r["variable"], r["rank"])] = r["value"]
-            for k, _ in narrow:
-                if k not in found:
-                    raise RuntimeError(f"input changed while quantiles of {k[1]} were being computed")
         if wide:
-            spans = spark.createDataFrame([(*k[0], k[1], k[2], t["lo"], t["hi"]) for k, t in wide], schema)
-            sketched = _inside(long, spans, by).groupBy(*by, "variable", "rank").agg(
-                F.percentile_approx("value", _GRID_PROBS, 10 * _GRID).alias("grid"))
-            bracket = {}
-            for r in sketched.collect():
-                k = (tuple(r[:len(by)]), r["variable"], r["rank"])
-                t = targets[k]
-                at = (k[2] - t["below"]) / max(t["inside"] - 1, 1) * _GRID
-                lo = r["grid"][max(0, math.floor(at) - 1)] if math.floor(at) > 0 else t["lo"]
-                hi = r["grid"][min(_GRID, math.ceil(at) + 1)] if math.ceil(at) < _GRID else t["hi"]
-                bracket[k] = (lo, hi)
-            cuts = spark.createDataFrame(
-                [(*k[0], k[1], k[2], t["lo"], t["hi"], *bracket[k]) for k, t in wide],
-                _copy(schema).add("lo2", "double").add("hi2", "double"))
-            counted = _inside(long, cuts, by).groupBy(*by, "variable", "rank").agg(
-                F.count_if(F.col("value") < F.col("lo2")).alias("under"),
-                F.count_if(F.col("value").between(F.col("lo2"), F.col("hi2"))).alias("within"),
-                F.count_if(F.col("value") == F.col("lo2")).alias("at_lo"),
-                F.count_if(F.col("value") == F.col("hi2")).alias("at_hi"),
-            )
+            bins = max(64, min(_BINS, 1_000_000 // len(wide)))
+            spans = spark.createDataFrame([(*k[0], *k[1:]) for k in wide], schema)
+            at = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+            counted = _inside(long, spans, by).groupBy(*by, "variable", "lo", "hi", at.alias("bin")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+            per_span: dict = {}
             for r in counted.collect():
-                k = (tuple(r[:len(by)]), r["variable"], r["rank"])
-                t, (lo, hi) = targets[k], bracket[k]
-                below = t["below"] + r["under"]
-                offset = k[2] - below
-                if offset < 0 or offset >= r["within"]:
-                    # the sketch missed: keep the side that holds the rank
-                    t.update(dict(hi=lo, inside=r["under"] + r["at_lo"]) if offset < 0 else
-                             dict(lo=hi, below=below + r["within"] - r["at_hi"],
-                                  inside=t["inside"] - r["under"] - r["within"] + r["at_hi"]))
-                elif offset < r["at_lo"] or lo == hi:
-                    found[k] = lo
-                elif offset >= r["within"] - r["at_hi"]:
-                    found[k] = hi
-                else:
-                    t.update(lo=lo, hi=hi, below=below, inside=r["within"])
+                per_span.setdefault((tuple(r[:len(by)]), r["variable"], r["lo"], r["hi"]), []).append(
+                    (r["bin"], r["n"], r["least"], r["most"]))
+            for k, s in wide.items():
+                below = s["below"]
+                ranks = sorted(s["ranks"])
+                for _, n, least, most in sorted(per_span[k]):
+                    while ranks and ranks[0] < below + n:
+                        rank = ranks.pop(0)
+                        if rank == below or least == most:
+                            found[(k[0], k[1], rank)] = least
+                        elif rank == below + n - 1:
+                            found[(k[0], k[1], rank)] = most
+                        else:
+                            span = live.setdefault((k[0], k[1], least, most), dict(below=below, inside=n, ranks=[]))
+                            span["ranks"].append(rank)
+                    below += n
     out = []
     for (group, col), n in sizes.items():
         for p in probs:
@@ -201,11 +186,10 @@ def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
 
 
 def _inside(long: DataFrame, spans: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Long rows within each target's bracket; the targets are a checked, driver-made table."""
-    keep = [c for c in spans.columns if c not in by and c != "variable"]
+    """Long rows within each live span; the spans are a checked, driver-made table."""
     joined = long.join(F.broadcast(spans), _same(long, spans, [*by, "variable"]))
     return joined.where(F.col("value").between(F.col("lo"), F.col("hi"))).select(
-        *[long[b] for b in by], long["variable"], long["value"], *[spans[c] for c in keep])
+        *[long[b] for b in by], long["variable"], long["value"], spans["lo"], spans["hi"])
 
 
 def quantile_group(df: DataFrame, col: str, cuts: Sequence[float] | None = None,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +77,8 @@ def baseline_table(df: DataFrame, variables: Sequence[str], strata: str | None =
     test = strata is not None if test is None else test
     data = df.where(F.col(strata).isNotNull()) if strata else df.withColumn("__all", F.lit(OVERALL))
     by = strata or "__all"
+    # several passes follow; keep the columns they need rather than redo what led here
+    data = data.select(by, *[v for v in variables if v != by]).persist(StorageLevel.MEMORY_AND_DISK)
     null = lambda t, n: F.lit(None).cast(t).alias(n)
     parts = [data.groupBy(F.col(by).cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("n").alias("variable"), null("string", "level"), "stratum", "n", null("double", "center"),
