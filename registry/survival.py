@@ -140,7 +140,7 @@ def v5(spark, d):
 def v5_many(spark, d):
     df = _cox_frame(spark, d)
     fit = cox.cox_fit(df, "l_extendedprice", "ev", design.numeric_terms("l_discount", "l_tax"), max_points=1000,
-                      rows_per_bucket=5000)
+                      rows_per_bucket=25_000)
     return _flat(cox.cox_summary(spark, [fit]))
 
 

@@ -52,7 +52,6 @@ class Frame:
     names: list[str]
     scaling: Scaling
     n_rows: int
-    times: int
     first_mean: float
     index: dict[str, int] = field(default_factory=dict)
 
@@ -70,7 +69,7 @@ class Frame:
         scale = np.full(len(extra), self.scaling.scale[self.index[scale_of]])
         names = [*self.names, *extra]
         scaling = Scaling(np.append(self.scaling.center, center), np.append(self.scaling.scale, scale))
-        return Frame(df, names, scaling, self.n_rows, self.times, self.first_mean,
+        return Frame(df, names, scaling, self.n_rows, self.first_mean,
                      {n: i for i, n in enumerate(names)})
 
     def release(self) -> None:
@@ -81,22 +80,37 @@ def extra_columns(k: int, extra: Mapping[str, Column]) -> list[Column]:
     return [c.cast("double").alias(f"x{k + i}") for i, c in enumerate(extra.values())]
 
 
-def _column_scales(df: DataFrame, which: Sequence[int], *more: Column):
-    """Means and standard deviations of x columns (missing left out), and any further aggregates."""
-    clean = lambda c: F.when(~F.isnan(c), F.col(c))
-    stats = [x for i in which for x in (
-        F.avg(clean(f"x{i}")).alias(f"m{i}"), F.stddev_samp(clean(f"x{i}")).alias(f"s{i}"))]
-    one = df.agg(F.count(F.lit(1)).alias("n"), *more, *stats).first()
-    center = np.array([one[f"m{i}"] or 0.0 for i in which], dtype=float)
-    scale = np.array([one[f"s{i}"] or 1.0 for i in which], dtype=float)
-    scale[~np.isfinite(scale) | (scale <= 0)] = 1.0
-    return center, scale, one
+def _column_scales(df: DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Centre and spread of every x column, rows, and the mean of the first outcome; one pass.
+
+    They only condition the fits, so plain sums do.
+    """
+
+    def kernel(batches):
+        total = np.zeros(2 + 3 * columns)
+        for cols in chunks(batches):
+            total[0] += len(cols[0])
+            total[1] += cols[0].sum()
+            if columns:
+                x = np.column_stack(cols[3:])
+                ok = ~np.isnan(x)
+                x = np.where(ok, x, 0.0)
+                total[2:] += np.concatenate([ok.sum(axis=0), x.sum(axis=0), (x * x).sum(axis=0)])
+        yield from emit({(0, 0): total})
+
+    v = fold(df, kernel, 2 + 3 * columns).get((0, 0), np.zeros(2 + 3 * columns))
+    n, s, ss = v[2:2 + columns], v[2 + columns:2 + 2 * columns], v[2 + 2 * columns:]
+    center = s / np.maximum(n, 1)
+    var = ss / np.maximum(n, 1) - center**2
+    usable = np.isfinite(var) & (var > 1e-10 * center**2) & (var > 0)
+    scale = np.sqrt(np.where(usable, var, 1.0))
+    return center, scale, int(v[0]), float(v[1] / v[0]) if v[0] else 0.0
 
 
 def build_frame(df: DataFrame, first: Column, second: Column, weight: str | None,
                 design: Mapping[str, Column], masks: Mapping[str, Column] | None = None,
                 persist: bool = True) -> Frame:
-    """Project to (a, b, w, x0..) doubles and learn each column's centre and scale in one job."""
+    """Project to (a, b, w, x0..) doubles and learn each column's centre and scale in one pass."""
     everything = {**design, **(masks or {})}
     names = list(everything)
     num = lambda c: c.cast("double")
@@ -107,16 +121,13 @@ def build_frame(df: DataFrame, first: Column, second: Column, weight: str | None
                     & (F.col("w") > 0) & ~F.isnan("w"))
     if persist:
         out = out.persist(StorageLevel.MEMORY_AND_DISK)
-    masks = masks or {}
-    center, scale, one = _column_scales(
-        out, range(len(names)), F.approx_count_distinct("a", 0.02).alias("times"), F.avg("a").alias("mean"))
+    center, scale, rows, mean = _column_scales(out, len(names))
     for i, n in enumerate(names):
-        if n in masks:
+        if n in (masks or {}):
             center[i], scale[i] = 0.0, 1.0
     if persist:
-        out = _spread(out, int(one["n"]))
-    return Frame(out, names, Scaling(center, scale), int(one["n"]), int(one["times"]), one["mean"] or 0.0,
-                 {n: i for i, n in enumerate(names)})
+        out = _spread(out, rows)
+    return Frame(out, names, Scaling(center, scale), rows, mean, {n: i for i, n in enumerate(names)})
 
 
 def _spread(df: DataFrame, rows: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,9 @@ def kruskal_wallis(df: DataFrame, cols: Sequence[str], group: str,
     Counts per (variable, value, group) give mid-ranks by a running sum over the
     distinct values; no row is ever ranked alone.
     """
+    # used for the ranks and again for the rank sums
     cells = _long(df, cols, group, False).groupBy("variable", "value", "stratum").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     values = cells.groupBy("variable", "value").agg(F.sum("n").alias("t"))
     ranked = running_sums(values, ["variable"], "value", ["t"], rows_per_bucket=rows_per_bucket)
     t = F.col("t").cast("double")

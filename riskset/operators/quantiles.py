@@ -36,7 +36,8 @@ def quantile7(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     spark = df.sparkSession
     sizes = [F.count(_clean(c)).alias(f"n_{i}") for i, c in enumerate(cols)]
     wide = [F.approx_count_distinct(_clean(c)).alias(f"d_{i}") for i, c in enumerate(cols)]
-    profile = df.groupBy(*by).agg(*sizes, *wide).limit(GROUPS_IN_DRIVER + 1).collect()
+    ends = [f(_clean(c)).alias(f"{n}_{i}") for i, c in enumerate(cols) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    profile = df.groupBy(*by).agg(*sizes, *wide, *ends).limit(GROUPS_IN_DRIVER + 1).collect()
     if len(profile) > GROUPS_IN_DRIVER:
         return _by_running_count(df, cols, probs, by)
     many = [i for i in range(len(cols)) if any(r[f"d_{i}"] > limit for r in profile)]
@@ -51,7 +52,8 @@ def quantile7(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
             for i in few for j, p in enumerate(probs)]))
         parts.append(agg.select(*by, entries.alias("e")).select(*by, "e.*"))
     if many:
-        sizes_at = {(tuple(r[b] for b in by), cols[i]): r[f"n_{i}"] for r in profile for i in many}
+        sizes_at = {(tuple(r[b] for b in by), cols[i]): (r[f"n_{i}"], r[f"lo_{i}"], r[f"hi_{i}"])
+                    for r in profile for i in many}
         rows = _narrowed(df, [cols[i] for i in many], probs, by, sizes_at, limit)
         schema = df.select(*by).schema.add("variable", "string").add("prob", "double").add("value", "double")
         parts.append(spark.createDataFrame(rows, schema))
@@ -99,6 +101,8 @@ def _unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame
 def _narrowed(df, cols, probs, by, sizes, limit) -> list[tuple]:
     """Exact order statistics by counting in ever narrower value bins.
 
+    ``sizes`` gives (rows, least, greatest) per (group, column).
+
     Each round cuts every live span into equal bins and keeps, per wanted rank, the one
     bin that holds it, with that bin's exact least and greatest value. A few thousand
     bins per round leave a handful of rounds even for the largest tables. Only counts
@@ -109,14 +113,12 @@ def _narrowed(df, cols, probs, by, sizes, limit) -> list[tuple]:
     by_schema = df.select(*by).schema
     found: dict = {}
     wanted: dict = {}
-    for (group, col), n in sizes.items():
+    for (group, col), (n, _, _) in sizes.items():
         for p in probs if n else ():
             for rank in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}:
                 wanted.setdefault((group, col), {})[rank] = None
-    limits = {(tuple(r[:len(by)]), r["variable"]): (r["lo"], r["hi"]) for r in
-              long.groupBy(*by, "variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
     # a live span: (group, column, lo, hi) -> how many rows lie below it and in it, and its ranks
-    live = {(*k, *limits[k]): dict(below=0, inside=sizes[k], ranks=list(ranks)) for k, ranks in wanted.items()}
+    live = {(*k, *sizes[k][1:]): dict(below=0, inside=sizes[k][0], ranks=list(ranks)) for k, ranks in wanted.items()}
     while live:
         schema = _copy(by_schema).add("variable", "string").add("lo", "double").add("hi", "double")
         narrow = {k: s for k, s in live.items() if s["inside"] <= limit}
@@ -161,7 +163,7 @@ def _narrowed(df, cols, probs, by, sizes, limit) -> list[tuple]:
                             span["ranks"].append(rank)
                     below += n
     out = []
-    for (group, col), n in sizes.items():
+    for (group, col), (n, _, _) in sizes.items():
         for p in probs:
             value = None
             if n:
