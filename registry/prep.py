@@ -24,14 +24,14 @@ def s1(spark, d):
 def _segment_table(spark, d):
     c = table(spark, d, "customer")
     return c.groupBy("c_nationkey").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 2).alias("mean_balance"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"),
         F.round(F.min(F.when(F.col("c_mktsegment") == "MACHINERY", F.col("c_acctbal"))
                       ).cast("double"), 2).alias("least_machinery"),
     ).withColumn("least_machinery", F.when(F.col("least_machinery") >= 0, F.col("least_machinery")))
 
 
 _SEGMENTS = """
-    SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 2) AS mean_balance,
+    SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance,
            CASE WHEN min(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal END) >= 0
                 THEN round(min(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal END), 2) END AS least_machinery
     FROM customer GROUP BY c_nationkey"""
@@ -43,7 +43,7 @@ _SEGMENTS = """
 def s2(spark, d):
     path = f"{shared_folder(spark)}/riskset-tables/{uuid.uuid4().hex}"
     write_table(_segment_table(spark, d), path, ["c_nationkey"])
-    raw = read_table(spark, path, "c_nationkey string, n string, mean_balance string, least_machinery string")
+    raw = read_table(spark, path, "c_nationkey string, n string, balance string, least_machinery string")
     return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("n").cast("long")).alias("n"),
                    F.count_if(F.col("least_machinery").isNull()).alias("n_blank"))
 
@@ -52,7 +52,7 @@ def s2(spark, d):
 def s3(spark, d):
     path = f"{shared_folder(spark)}/riskset-tables/{uuid.uuid4().hex}"
     write_table(_segment_table(spark, d), path, ["c_nationkey"])
-    return read_table(spark, path, "c_nationkey int, n long, mean_balance double, least_machinery double")
+    return read_table(spark, path, "c_nationkey int, n long, balance double, least_machinery double")
 
 
 # --- columns ---------------------------------------------------------------------
@@ -229,12 +229,12 @@ def _num(x: str, k: int = 3) -> str:
 @query("p21_format_estimate", f"""
     SELECT c_nationkey, CASE WHEN m IS NULL THEN ' ' ELSE {_num('m')} || ' (' || {_num('lo')} || '-' || {_num('hi')} || ')' END AS est,
            {_num('lo')} || '-' || {_num('hi')} AS band
-    FROM (SELECT c_nationkey, avg(CASE WHEN c_nationkey <> 7 THEN c_acctbal END) / 1000 AS m,
-                 min(c_acctbal) / 1000 AS lo, max(c_acctbal) / 1000 AS hi FROM customer GROUP BY c_nationkey)""")
+    FROM (SELECT c_nationkey, avg(CASE WHEN c_nationkey <> 7 THEN c_acctbal END) / 7000 AS m,
+                 min(c_acctbal) / 7000 AS lo, max(c_acctbal) / 7000 AS hi FROM customer GROUP BY c_nationkey)""")
 def p21(spark, d):
     g = table(spark, d, "customer").groupBy("c_nationkey").agg(
-        (F.avg(F.when(F.col("c_nationkey") != 7, F.col("c_acctbal"))) / 1000).alias("m"),
-        (F.min("c_acctbal") / 1000).alias("lo"), (F.max("c_acctbal") / 1000).alias("hi"))
+        (F.avg(F.when(F.col("c_nationkey") != 7, F.col("c_acctbal"))) / 7000).alias("m"),
+        (F.min("c_acctbal") / 7000).alias("lo"), (F.max("c_acctbal") / 7000).alias("hi"))
     return g.select("c_nationkey", C.format_estimate("m", "lo", "hi").alias("est"),
                     C.format_interval("lo", "hi").alias("band"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskset.functions.tails import chi2_tail
-from riskset.operators.ordering import running_sums
+from riskset.operators.ordering import order_cuts, running_sums
 
 
 def _followup(df: DataFrame, time: str, event: str, group: str | None) -> DataFrame:
@@ -26,13 +26,13 @@ def kaplan_meier(df: DataFrame, time: str, event: str, group: str | None = None,
     """
     table = _followup(df, time, event, group).groupBy("stratum", "time").agg(
         F.sum("event").alias("n_event"), F.sum(1 - F.col("event")).alias("n_censor"))
-    table = table.withColumn("left", F.col("n_event") + F.col("n_censor"))
-    at_risk = running_sums(table, ["stratum"], "time", ["left"], descending=True, rows_per_bucket=rows_per_bucket)
+    table, cuts = order_cuts(table.withColumn("left", F.col("n_event") + F.col("n_censor")), "time", rows_per_bucket)
+    at_risk = running_sums(table, ["stratum"], "time", ["left"], descending=True, cuts=cuts)
     # log1p is null at -1, where everyone left has the event and the curve drops to 0
     step = F.coalesce(F.log1p(-F.col("n_event") / F.col("cum_left")), F.lit(float("-inf")))
     at_risk = at_risk.select("stratum", "time", F.col("cum_left").alias("n_risk"), "n_event", "n_censor",
                              step.alias("step"))
-    curve = running_sums(at_risk, ["stratum"], "time", ["step"], rows_per_bucket=rows_per_bucket)
+    curve = running_sums(at_risk, ["stratum"], "time", ["step"], cuts=cuts)
     return curve.select("stratum", "time", "n_risk", "n_event", "n_censor", F.exp("cum_step").alias("surv"))
 
 

@@ -80,7 +80,7 @@ def chi_square_independence(df: DataFrame, cols: Sequence[str], group: str) -> D
     """Pearson chi-square per variable (variable, chi2, df, p_value).
 
     The continuity correction applies to 2x2 tables only: min(0.5, |O-E|) is taken
-    off each deviation. Empty cells count through their expected value.
+    off each deviation.
     """
     cells = _long(df, cols, group, True).groupBy("variable", "value", "stratum").agg(
         F.count(F.lit(1)).alias("n"))
@@ -88,22 +88,28 @@ def chi_square_independence(df: DataFrame, cols: Sequence[str], group: str) -> D
 
 
 def chi_square_from_counts(cells: DataFrame) -> DataFrame:
-    """The same test from (variable, value, stratum, n) counts."""
+    """The same test from (variable, value, stratum, n) counts.
+
+    Only observed cells are visited: the expected counts of the empty ones add up to
+    the rows minus the expected counts of the observed ones.
+    """
+    cells = cells.where(F.col("n") > 0)
     rows = cells.groupBy("variable", "value").agg(F.sum("n").alias("rn"))
     cols_ = cells.groupBy("variable", "stratum").agg(F.sum("n").alias("cn"))
-    size = rows.groupBy("variable").agg(F.sum("rn").alias("total"), F.count(F.lit(1)).alias("r")).join(
-        cols_.groupBy("variable").agg(F.count(F.lit(1)).alias("c")), "variable")
-    grid = (rows.join(cols_, "variable").join(size, "variable")
-            .join(cells, ["variable", "value", "stratum"], "left"))
-    o = F.coalesce(F.col("n"), F.lit(0)).cast("double")
+    r_side = rows.groupBy("variable").agg(F.sum("rn").cast("double").alias("total"), F.count(F.lit(1)).alias("r"),
+                                          F.sum(1.0 / F.col("rn")).alias("r_inv"))
+    c_side = cols_.groupBy("variable").agg(F.count(F.lit(1)).alias("c"), F.sum(1.0 / F.col("cn")).alias("c_inv"))
+    size = r_side.join(c_side, "variable")
+    o = F.col("n").cast("double")
     e = F.col("rn") * F.col("cn") / F.col("total")
-    gap = F.abs(o - e)
-    two_by_two = (F.col("r") == 2) & (F.col("c") == 2)
-    grid = grid.select("variable", "r", "c", gap.alias("gap"), e.alias("e"), two_by_two.alias("yates"))
-    # one correction per table: the smaller of 0.5 and the least deviation
-    least = grid.groupBy("variable", "r", "c", "yates").agg(F.min("gap").alias("least"))
-    corr = F.when(F.col("yates"), F.least(F.lit(0.5), F.col("least"))).otherwise(0.0)
-    stat = grid.join(least, ["variable", "r", "c", "yates"]).groupBy("variable", "r", "c").agg(
-        F.sum((F.col("gap") - corr) * (F.col("gap") - corr) / F.col("e")).alias("chi2"))
-    return stat.select("variable", "chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df")).withColumn(
+    seen = (cells.join(rows, ["variable", "value"]).join(cols_, ["variable", "stratum"]).join(size, "variable")
+            .groupBy("variable", "total", "r", "c", "r_inv", "c_inv")
+            .agg(F.sum((o - e) * (o - e) / e).alias("part"), F.sum(e).alias("covered"),
+                 F.max(F.abs(o - e)).alias("gap")))
+    plain = F.col("part") + F.greatest(F.col("total") - F.col("covered"), F.lit(0.0))
+    # in a 2x2 table every cell deviates by the same amount
+    left = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
+    corrected = left * left * F.col("total") * F.col("r_inv") * F.col("c_inv")
+    stat = F.when((F.col("r") == 2) & (F.col("c") == 2), corrected).otherwise(plain)
+    return seen.select("variable", stat.alias("chi2"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("df")).withColumn(
         "p_value", chi2_tail_column(F.col("chi2"), F.col("df")))

@@ -46,17 +46,26 @@ def with_bucket(df: DataFrame, col: str, cuts: Sequence[float], out: str = "buck
     return df.withColumn(out, F.when(on_cut, 2 * index).otherwise(2 * index + 1)).drop(at)
 
 
+def order_cuts(df: DataFrame, order: str, rows_per_bucket: int | None = None) -> tuple[DataFrame, list[float]]:
+    """``df`` persisted, and the cut values its size calls for."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, cut_values(df, order, df.count(), rows_per_bucket)
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
                  descending: bool = False, prefix: str = "cum_",
-                 rows_per_bucket: int | None = None) -> DataFrame:
+                 rows_per_bucket: int | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` over ``order`` within ``keys``.
 
     ``df`` holds one row per (keys, order). Small inputs use one window per key;
     larger ones sum inside value buckets and add the totals of the buckets before.
+    ``cuts`` from an earlier :func:`order_cuts` on the same rows save the sizing pass.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = df.count()
-    cuts = cut_values(df, order, rows, rows_per_bucket)
+    if cuts is None:
+        df, cuts = order_cuts(df, order, rows_per_bucket)
+    elif cuts:
+        # read for the bucket totals and again for the sums
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     along = F.col(order).desc() if descending else F.col(order).asc()
     if not cuts:
         w = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(along)

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from riskset.operators.ordering import running_sums
 from riskset.operators.small import join_checked
 
+# distinct values `percentile` may hold per group and column, and over all of them in one task
 DISTINCT_IN_MEMORY = 200_000
+ENTRIES_IN_MEMORY = 2_000_000
 GROUPS_IN_DRIVER = 2_000
 _BINS = 4096
 
@@ -40,8 +42,12 @@ def quantile7(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     profile = df.groupBy(*by).agg(*sizes, *wide, *ends).limit(GROUPS_IN_DRIVER + 1).collect()
     if len(profile) > GROUPS_IN_DRIVER:
         return _by_running_count(df, cols, probs, by)
-    many = [i for i in range(len(cols)) if any(r[f"d_{i}"] > limit for r in profile)]
-    few = [i for i in range(len(cols)) if i not in many]
+    few, entries_kept = [], 0
+    for i in sorted(range(len(cols)), key=lambda i: sum(r[f"d_{i}"] for r in profile)):
+        entries_kept += sum(r[f"d_{i}"] for r in profile)
+        if entries_kept <= ENTRIES_IN_MEMORY and all(r[f"d_{i}"] <= limit for r in profile):
+            few.append(i)
+    many = [i for i in range(len(cols)) if i not in few]
     parts = []
     if few:
         grid = F.array(*[F.lit(p) for p in probs])
@@ -88,7 +94,8 @@ def _by_running_count(df, cols, probs, by) -> DataFrame:
 
     picked = joined.groupBy(*keys, "prob", "h").agg(
         F.max(holding("lo")).alias("a"), F.max(holding("hi")).alias("b"))
-    value = F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
+        F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a")))
     return picked.select(*keys, "prob", value.alias("value"))
 
 
@@ -141,7 +148,11 @@ def _narrowed(df, cols, probs, by, sizes, limit) -> list[tuple]:
         if wide:
             bins = max(64, min(_BINS, 1_000_000 // len(wide)))
             spans = spark.createDataFrame([(*k[0], *k[1:]) for k in wide], schema)
-            at = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+            width = F.col("hi") - F.col("lo")
+            inner = F.floor((F.col("value") - F.col("lo")) / width * bins)
+            # the ends apart; a span too wide for a double, or unbounded, is first split at zero
+            at = (F.when(F.col("value") == F.col("lo"), -1).when(F.col("value") == F.col("hi"), bins)
+                  .when(width == float("inf"), (F.col("value") >= 0).cast("long")).otherwise(inner))
             counted = _inside(long, spans, by).groupBy(*by, "variable", "lo", "hi", at.alias("bin")).agg(
                 F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
             per_span: dict = {}
@@ -169,7 +180,7 @@ def _narrowed(df, cols, probs, by, sizes, limit) -> list[tuple]:
             if n:
                 h = (n - 1) * p
                 a, b = found[(group, col, math.floor(h))], found[(group, col, math.ceil(h))]
-                value = a + (h - math.floor(h)) * (b - a)
+                value = a if a == b else a + (h - math.floor(h)) * (b - a)
             out.append((*group, col, p, value))
     return out
 

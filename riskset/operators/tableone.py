@@ -45,8 +45,10 @@ def category_counts(df: DataFrame, cols: Sequence[str], stratum: str) -> DataFra
     cells = (df.select(F.col(stratum).cast("string").alias("stratum"), entries.alias("e"))
              .select("stratum", "e.*").where(F.col("level").isNotNull())
              .groupBy("variable", "level", "stratum").agg(F.count(F.lit(1)).alias("n")))
-    strata = cells.select("stratum").distinct()
-    grid = cells.select("variable", "level").distinct().join(F.broadcast(_bounded(strata)))
+    names = F.explode(F.lit(list(cols))).alias("variable")
+    strata = cells.select("stratum").distinct().select("stratum", names)
+    # the grid is the result itself: every level by every stratum, per variable
+    grid = cells.select("variable", "level").distinct().join(strata, "variable")
     full = grid.join(cells, ["variable", "level", "stratum"], "left").fillna(0, ["n"])
     share = Window.partitionBy("variable", "stratum")
     total = F.sum("n").over(share)
@@ -54,13 +56,6 @@ def category_counts(df: DataFrame, cols: Sequence[str], stratum: str) -> DataFra
                        (100.0 * F.col("n") / F.nullif(total, F.lit(0))).alias("percent"))
 
 
-def _bounded(strata: DataFrame, limit: int = 10_000) -> DataFrame:
-    rows = strata.take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} strata")
-    return strata.sparkSession.createDataFrame(rows, strata.schema)
-
-
 def baseline_table(df: DataFrame, variables: Sequence[str], strata: str | None = None,
                    cat_vars: Sequence[str] = (), nonnormal: Sequence[str] = (), test: bool | None = None) -> DataFrame:
     """Long baseline table.

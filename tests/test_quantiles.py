@@ -113,3 +113,10 @@ def test_data_distribution_limits(spark):
     r = {x.variable: x for x in quantiles.data_distribution(df, ["x"], ["f"]).collect()}
     assert (r["x"].low, r["x"].adjust_to, r["x"].high) == (0.0, 499.5, 999.0)
     assert r["x"].low_prediction == pytest.approx(9.99) and r["f"].adjust_level == "a"
+
+
+def test_infinite_and_huge_values(spark):
+    x = [float("-inf"), float("inf"), 1.5e308, -1.5e308] + [float(i) for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    got = quantiles.quantile_values(df, "x", [0.0, 0.25, 0.5, 1.0], distinct_limit=10)
+    assert got == quantiles.quantile_values(df, "x", [0.0, 0.25, 0.5, 1.0])
