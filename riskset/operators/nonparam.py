@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskset.functions.tails import chi2_tail_column, f_tail_column
@@ -45,37 +45,68 @@ def one_way_anova(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
         "p_value", f_tail_column(F.col("f_stat"), F.col("df1"), F.col("df2")))
 
 
+# groups whose counts travel as columns beside each value
+GROUPS_AS_COLUMNS = 50
+
+
 def kruskal_wallis(df: DataFrame, cols: Sequence[str], group: str,
-                   rows_per_bucket: int | None = None) -> DataFrame:
+                   rows_per_bucket: int | None = None, groups_as_columns: int = GROUPS_AS_COLUMNS) -> DataFrame:
     """Tie-corrected rank test per variable (variable, h_stat, df, p_value).
 
-    Counts per (variable, value, group) give mid-ranks by a running sum over the
+    Counts per (variable, value) and group give mid-ranks by a running sum over the
     distinct values; no row is ever ranked alone.
     """
-    # used for the ranks and again for the rank sums
-    cells = _long(df, cols, group, False).groupBy("variable", "value", "stratum").agg(
-        F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    values = cells.groupBy("variable", "value").agg(F.sum("n").alias("t"))
-    ranked = running_sums(values, ["variable"], "value", ["t"], rows_per_bucket=rows_per_bucket)
-    t = F.col("t").cast("double")
-    ranked = ranked.select("variable", "value", (F.col("cum_t") - t + (t + 1) / 2).alias("midrank"),
-                           (t * t * t - t).alias("tie"))
-    sums = cells.join(ranked, ["variable", "value"]).groupBy("variable", "stratum").agg(
-        F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("midrank")).alias("r"))
-    ties = ranked.groupBy("variable").agg(F.sum("tie").alias("tie"))
+    long = _long(df, cols, group, False)
+    groups = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().take(groups_as_columns + 1)]
+    per_group = (_rank_sums_wide if len(groups) <= groups_as_columns else _rank_sums_long)(
+        long, groups, rows_per_bucket)
     # deviations from the mean rank avoid subtracting two huge sums
-    n_all = sums.groupBy("variable").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
-    dev = F.col("r") / F.col("n") - (F.col("total") + 1) / 2
-    stat = sums.join(n_all, "variable").groupBy("variable", "total", "k").agg(
-        F.sum(F.col("n") * dev * dev).alias("spread"))
+    n_all = per_group.groupBy("variable").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.max("tie").alias("tie"),
+        F.collect_list(F.struct("n", "r")).alias("parts"))
     total = F.col("total")
-    h = (12.0 / (total * (total + 1)) * F.col("spread")) / F.nullif(
+    spread = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["n"] * F.pow(
+        x["r"] / x["n"] - (total + 1) / 2, F.lit(2.0)))
+    h = (12.0 / (total * (total + 1)) * spread) / F.nullif(
         1 - F.col("tie") / (total * total * total - total), F.lit(0.0))
-    return stat.join(ties, "variable").select(
-        "variable", h.alias("h_stat"), (F.col("k") - 1).alias("df")).withColumn(
+    return n_all.select("variable", h.alias("h_stat"), (F.col("k") - 1).alias("df")).withColumn(
         "p_value", chi2_tail_column(F.col("h_stat"), F.col("df")))
 
 
+def _midranks(ranked: DataFrame, *keep: str) -> DataFrame:
+    t = F.col("t").cast("double")
+    return ranked.select("variable", "value", *keep, (F.col("cum_t") - t + (t + 1) / 2).alias("midrank"),
+                         (t * t * t - t).alias("tie"))
+
+
+def _rank_sums_wide(long: DataFrame, groups: Sequence, rows_per_bucket: int | None) -> DataFrame:
+    """(variable, n, r, tie) per group; one shuffle of the counts."""
+    counts = [F.count_if(F.col("stratum") == g).alias(f"n{i}") for i, g in enumerate(groups)]
+    values = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("t"), *counts)
+    ranked = _midranks(running_sums(values, ["variable"], "value", ["t"], rows_per_bucket=rows_per_bucket),
+                       *[f"n{i}" for i in range(len(groups))])
+    sums = ranked.groupBy("variable").agg(
+        F.sum("tie").alias("tie"),
+        *[x for i in range(len(groups)) for x in (F.sum(F.col(f"n{i}").cast("double")).alias(f"n{i}"),
+                                                  F.sum(F.col(f"n{i}") * F.col("midrank")).alias(f"r{i}"))])
+    parts = F.explode(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"))
+                                for i in range(len(groups))]))
+    return sums.select("variable", "tie", parts.alias("e")).select("variable", "e.n", "e.r", "tie").where("n > 0")
+
+
+def _rank_sums_long(long: DataFrame, groups: Sequence, rows_per_bucket: int | None) -> DataFrame:
+    """The same for any number of groups, through a join on the value."""
+    # used for the ranks and again for the rank sums
+    cells = long.groupBy("variable", "value", "stratum").agg(
+        F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    values = cells.groupBy("variable", "value").agg(F.sum("n").alias("t"))
+    ranked = _midranks(running_sums(values, ["variable"], "value", ["t"], rows_per_bucket=rows_per_bucket))
+    ties = ranked.groupBy("variable").agg(F.sum("tie").alias("tie"))
+    sums = cells.join(ranked.drop("tie"), ["variable", "value"]).groupBy("variable", "stratum").agg(
+        F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("midrank")).alias("r"))
+    return sums.join(F.broadcast(ties), "variable").select("variable", "n", "r", "tie")  # one row per variable
+
+
 def chi_square_independence(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
     """Pearson chi-square per variable (variable, chi2, df, p_value).
 
@@ -94,18 +125,17 @@ def chi_square_from_counts(cells: DataFrame) -> DataFrame:
     the rows minus the expected counts of the observed ones.
     """
     cells = cells.where(F.col("n") > 0)
-    rows = cells.groupBy("variable", "value").agg(F.sum("n").alias("rn"))
-    cols_ = cells.groupBy("variable", "stratum").agg(F.sum("n").alias("cn"))
-    r_side = rows.groupBy("variable").agg(F.sum("rn").cast("double").alias("total"), F.count(F.lit(1)).alias("r"),
-                                          F.sum(1.0 / F.col("rn")).alias("r_inv"))
-    c_side = cols_.groupBy("variable").agg(F.count(F.lit(1)).alias("c"), F.sum(1.0 / F.col("cn")).alias("c_inv"))
-    size = r_side.join(c_side, "variable")
+    total = cells.groupBy("variable").agg(F.sum("n").cast("double").alias("total"))
     o = F.col("n").cast("double")
+    with_margins = (cells.withColumn("rn", F.sum(o).over(Window.partitionBy("variable", "value")))
+                    .withColumn("cn", F.sum(o).over(Window.partitionBy("variable", "stratum")))
+                    .join(F.broadcast(total), "variable"))  # one row per variable
     e = F.col("rn") * F.col("cn") / F.col("total")
-    seen = (cells.join(rows, ["variable", "value"]).join(cols_, ["variable", "stratum"]).join(size, "variable")
-            .groupBy("variable", "total", "r", "c", "r_inv", "c_inv")
-            .agg(F.sum((o - e) * (o - e) / e).alias("part"), F.sum(e).alias("covered"),
-                 F.max(F.abs(o - e)).alias("gap")))
+    # the cells of a row hold its whole margin, so these sums count rows and add 1/margin once per row
+    seen = with_margins.groupBy("variable", "total").agg(
+        F.sum((o - e) * (o - e) / e).alias("part"), F.sum(e).alias("covered"), F.max(F.abs(o - e)).alias("gap"),
+        F.round(F.sum(o / F.col("rn"))).cast("long").alias("r"), F.round(F.sum(o / F.col("cn"))).cast("long").alias("c"),
+        F.sum(o / F.col("rn") / F.col("rn")).alias("r_inv"), F.sum(o / F.col("cn") / F.col("cn")).alias("c_inv"))
     plain = F.col("part") + F.greatest(F.col("total") - F.col("covered"), F.lit(0.0))
     # in a 2x2 table every cell deviates by the same amount
     left = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))

@@ -86,6 +86,7 @@ def test_rank_test_with_ties(spark):
     h = 12 / 42 * (7**2 / 3 + 14**2 / 3) - 21
     assert r.h_stat == pytest.approx(h / (1 - 24 / (6**3 - 6))) and r.df == 1
     assert nonparam.kruskal_wallis(df, ["x"], "g", rows_per_bucket=2).first().h_stat == pytest.approx(r.h_stat)
+    assert nonparam.kruskal_wallis(df, ["x"], "g", groups_as_columns=1).first().h_stat == pytest.approx(r.h_stat)
 
 
 def test_correction_only_for_two_by_two(spark):
