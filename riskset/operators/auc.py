@@ -67,7 +67,6 @@ def roc_points(df: DataFrame, predictor: Column, outcome: str) -> DataFrame:
               .where(F.col("y").isin(0, 1) & F.col("threshold").isNotNull())
               .groupBy("threshold").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")))
     above = running_sums(counts, [], "threshold", ["n1", "n0"], descending=True)
-    total = counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
-    return above.join(F.broadcast(total)).select(
-        "threshold", (F.col("cum_n1") / F.col("t1")).alias("sensitivity"),
-        (1 - F.col("cum_n0") / F.col("t0")).alias("specificity"))
+    cases, controls = counts.agg(F.sum("n1"), F.sum("n0")).first()
+    return above.select("threshold", (F.col("cum_n1") / F.lit(cases)).alias("sensitivity"),
+                        (1 - F.col("cum_n0") / F.lit(controls)).alias("specificity"))

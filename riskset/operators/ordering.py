@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65_536
 
 
 def cut_values(df: DataFrame, col: str, rows: int, rows_per_bucket: int | None = None) -> list[float]:

@@ -228,8 +228,7 @@ def distinct_ranks(df: DataFrame, col: str, out: str = "pos") -> DataFrame:
     distinct = (df.select(F.col(col).alias("value")).where(F.col("value").isNotNull())
                 .distinct().withColumn("one", F.lit(1)))
     ranked = running_sums(distinct, [], "value", ["one"])
-    total = distinct.agg(F.count(F.lit(1)).alias("n"))
-    return ranked.join(F.broadcast(total)).select("value", F.col("cum_one").cast("long").alias(out), "n")
+    return ranked.select("value", F.col("cum_one").cast("long").alias(out), F.lit(distinct.count()).alias("n"))
 
 
 def quantile3(df: DataFrame, col: str, probs: Sequence[float] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:

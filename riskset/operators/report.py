@@ -36,13 +36,9 @@ def format_pval(df: DataFrame, p: str, out: str, digits: int = 3, eps: float = 0
     exponent = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
     mantissa = F.regexp_replace(F.regexp_extract(sci, r"^([0-9.]+)e", 1), r"\.?0+$", "")
     places = F.greatest(F.greatest(F.length(mantissa) - 2, F.lit(0)) - exponent, F.lit(0))
-    needed = df.agg(F.coalesce(F.max(F.when(c >= eps, places)), F.lit(0)).alias("__places"))
-    text = F.lit(None).cast("string")
-    for k in range(0, 16):
-        text = F.when(F.col("__places") == k, F.format_string(f"%.{k}f", c)).otherwise(text)
-    floor_text = f"<{eps:g}"
-    return df.crossJoin(F.broadcast(needed)).withColumn(  # one-row side
-        out, F.when(c < eps, F.lit(floor_text)).when(c.isNotNull(), text).otherwise(F.lit("NA"))).drop("__places")
+    shared = df.agg(F.max(F.when(c >= eps, places))).first()[0] or 0
+    return df.withColumn(out, F.when(c < eps, F.lit(f"<{eps:g}")).when(
+        c.isNotNull(), F.format_string(f"%.{shared}f", c)).otherwise(F.lit("NA")))
 
 
 def cox_results_pretty(sweep: DataFrame) -> DataFrame:

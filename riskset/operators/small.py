@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     Beyond the limit the join is left to the planner, where adaptive execution
     splits skewed partitions.
     """
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)  # counted here, joined below
     within = len(small.select(*on).take(limit + 1)) <= limit
     return big.join(F.broadcast(small) if within else small, on, how)
 
