@@ -61,7 +61,9 @@ def cox_ctes(cells: str, p: int, name: str = "fit", steps: int = 6, efron: bool
             f"sum((rs_{i}_{j} - {frac} * q_{i}_{j}) / {v} - {m[i]} * {m[j]}) AS h_{i}_{j}" for i, j in pairs]
         ctes.append(f"{q}_e AS (SELECT k, t, {', '.join(inner)} FROM "
                     f"(SELECT *, unnest(range(d::BIGINT))::DOUBLE AS l FROM {q}_r WHERE d > 0) GROUP BY k, t)")
-        full = [f"sum(h_{min(i, j)}_{max(i, j)}) AS h_{i}_{j}" for i in idx for j in idx]
+        # a covariate that is zero throughout keeps coefficient 0
+        full = [f"sum(h_{min(i, j)}_{max(i, j)})" + (f" + CASE WHEN sum(h_{i}_{i}) = 0 THEN 1 ELSE 0 END" if i == j else "")
+                + f" AS h_{i}_{j}" for i in idx for j in idx]
         ctes.append(f"{q}_s AS (SELECT k, sum(ee) - sum(lg) AS ll, "
                     f"{', '.join(f'sum(e_{i}) - sum(m_{i}) AS u_{i}' for i in idx)}, {', '.join(full)} "
                     f"FROM {q}_e JOIN {q}_r USING (k, t) GROUP BY k)")

@@ -252,13 +252,17 @@ _NULL_ROW = "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBL
 _SHIP_LI = """(SELECT *, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS lo FROM """ + _LI + ")"
 
 
-# every variable of the sweep below 0.7 enters
+_CANDIDATES = ["l_discount", "lo", "l_tax"]
+
+
+# every variable of the sweep below 0.7 enters; the SQL zeroes the others
 @query("v12_screened_multivariable", "WITH "
-       + cox_ctes(" UNION ALL ".join(_cells(f"'{n}'", "l_quantity", [x], _SHIP_LI) for n, x in
-                                     (("l_discount", "l_discount"), ("lo", "lo"), ("l_tax", "l_tax"))), 1, "u") + ",\n"
-       + cox_ctes(_cells("'m'", "l_quantity", ["l_discount", "lo"], _SHIP_LI), 2, "m") + f""",
-    keep AS (SELECT list(k ORDER BY k) AS names FROM (SELECT k FROM u WHERE {normal_p('b1 / sqrt(v_1_1)')} < 0.7))
-    SELECT m.*, (SELECT array_to_string(names, ',') FROM keep) AS kept FROM ({_multi_sql('m', ['l_discount', 'lo'])}) m""")
+       + cox_ctes(" UNION ALL ".join(_cells(f"'{n}'", "l_quantity", [n], _SHIP_LI) for n in _CANDIDATES), 1, "u") + f""",
+    kept AS (SELECT k FROM u WHERE {normal_p('b1 / sqrt(v_1_1)')} < 0.7),
+    flags AS (SELECT {', '.join(f"(SELECT count(*) FROM kept WHERE k = '{n}') AS k_{n}" for n in _CANDIDATES)}),
+    """ + cox_ctes(_cells("'m'", "l_quantity", [f"{n} * k_{n}" for n in _CANDIDATES], f"{_SHIP_LI}, flags"), 3, "m") + f"""
+    SELECT r.*, (SELECT string_agg(k, ',' ORDER BY k) FROM kept) AS kept FROM ({_multi_sql('m', _CANDIDATES)}) r
+    WHERE variable IN (SELECT k FROM kept)""")
 def v12(spark, d):
     df = _cox_frame(spark, d).withColumn("lo", (F.col("l_linestatus") == "O").cast("int"))
     sweep = coxflows.cox_univariable_sweep(df, "l_quantity", "ev", ["l_discount", "lo", "l_tax"]).persist()

@@ -400,7 +400,10 @@ class CoxBatch:
                     old = state[i][0]
                     usable = np.isfinite(ll) and np.isfinite(info).all()
                     if usable and abs(1 - old / ll) <= eps:
-                        beta[i], state[i], converged[i] = trial[i], r, True
+                        # a last step from sums already at hand; it matters when the
+                        # log-likelihood is so large that a relative limit stops early
+                        last, _ = solve_kept(info, score, keep[i])
+                        beta[i], state[i], converged[i] = trial[i] + last, r, True
                         continue
                     if not usable or ll < old:
                         trial[i] = (trial[i] + beta[i]) / 2

@@ -157,7 +157,9 @@ class GlmBatch:
                     # deviance criterion
                     dev, old = -2 * r[0], -2 * state[i][0]
                     if abs(dev - old) / (abs(dev) + 0.1) < eps:
-                        beta[i], state[i], done[i] = trial[i], r, True
+                        # a last step from sums already at hand
+                        last, _ = solve_kept(r[2], r[1], keep[i])
+                        beta[i], state[i], done[i] = trial[i] + last, r, True
                         continue
                 beta[i], state[i] = trial[i], r
                 if not keep[i].any():
