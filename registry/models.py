@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from registry.core import chi2_p, f_p, lineitem, normal_p, query, rounded, table
 from registry.newton import cox_ctes, linear_ctes, logit_ctes, profile_ctes
-from registry.prep import _gaps
 from registry.survival import Z, _LI, _cells, _cox_frame
-from riskset.operators import auc, cox, design, glm, impute, report, threshold
+from riskset.operators import auc, cox, design, glm, impute, threshold
 from riskset.operators.frame import Model
 from riskset.plans import discrimination
 

@@ -29,7 +29,7 @@ def auc(df: DataFrame, predictors: Mapping[str, Column], outcome: str,
     entries = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), cell(predictors[n]).alias("value"))
                                   for i, n in enumerate(names)]))
     y = F.col(outcome).cast("int")
-    counts = (df.select(y.alias("y"), entries.alias("e")).select("y", "e.*")
+    counts = (df.select(y.alias("y"), entries.alias("__cell")).select("y", "__cell.*")
               .where(F.col("y").isin(0, 1) & F.col("value").isNotNull())
               .groupBy("k", "value").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")))
     ranked = running_sums(counts, ["k"], "value", ["n0", "n1"], rows_per_bucket=rows_per_bucket).persist(

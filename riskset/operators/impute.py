@@ -133,7 +133,7 @@ class Imputer:
                      _uniform(self.seed, "pool", c.name, F.col("key")).alias("h")) for c in self.targets]))
         # the rank filter is applied before the shuffle as well, task by task
         w = Window.partitionBy("name").orderBy("h", "value")
-        rows = (coded.select(entries.alias("e")).select("e.*").where(F.col("value").isNotNull())
+        rows = (coded.select(entries.alias("__cell")).select("__cell.*").where(F.col("value").isNotNull())
                 .withColumn("r", F.row_number().over(w)).where(F.col("r") <= START_POOL)
                 .orderBy("name", "r").collect())
         pools: dict[str, list[float]] = {}

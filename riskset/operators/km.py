@@ -44,7 +44,7 @@ def risk_table(df: DataFrame, time: str, event: str, group: str | None = None,
         *[F.count_if(F.col("time") >= float(b)).alias(f"b{i}") for i, b in enumerate(breaks)])
     entries = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("time"), F.col(f"b{i}").alias("n_risk"))
                                   for i, b in enumerate(breaks)]))
-    return wide.select("stratum", entries.alias("e")).select("stratum", "e.time", "e.n_risk")
+    return wide.select("stratum", entries.alias("__cell")).select("stratum", "__cell.time", "__cell.n_risk")
 
 
 def censor_marks(curve: DataFrame) -> DataFrame:
@@ -58,6 +58,8 @@ def logrank_parts(df: DataFrame, time: str, event: str, group: str,
     rows = _followup(df, time, event, group)
     groups = [r[0] for r in rows.select("stratum").distinct().orderBy("stratum").collect()]
     k = len(groups)
+    if not k:
+        return [], np.zeros(0), np.zeros(0), np.zeros((0, 0)), []
 
     def of(i: int, c: Column) -> Column:
         return F.sum(F.when(F.col("stratum") == groups[i], c).otherwise(0))

@@ -21,8 +21,8 @@ def _long(df: DataFrame, cols: Sequence[str], group: str, as_text: bool) -> Data
         return F.when(~F.isnan(v), v)
 
     entries = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), cell(c).alias("value")) for c in cols]))
-    return (df.where(F.col(group).isNotNull()).select(F.col(group).alias("stratum"), entries.alias("e"))
-            .select("stratum", "e.*").where(F.col("value").isNotNull()))
+    return (df.where(F.col(group).isNotNull()).select(F.col(group).alias("stratum"), entries.alias("__cell"))
+            .select("stratum", "__cell.*").where(F.col("value").isNotNull()))
 
 
 def one_way_anova(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
@@ -58,8 +58,8 @@ def kruskal_wallis(df: DataFrame, cols: Sequence[str], group: str,
     """
     long = _long(df, cols, group, False)
     groups = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().take(groups_as_columns + 1)]
-    per_group = (_rank_sums_wide if len(groups) <= groups_as_columns else _rank_sums_long)(
-        long, groups, rows_per_bucket)
+    wide = 0 < len(groups) <= groups_as_columns
+    per_group = (_rank_sums_wide if wide else _rank_sums_long)(long, groups, rows_per_bucket)
     # deviations from the mean rank avoid subtracting two huge sums
     n_all = per_group.groupBy("variable").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.max("tie").alias("tie"),
@@ -91,7 +91,7 @@ def _rank_sums_wide(long: DataFrame, groups: Sequence, rows_per_bucket: int | No
                                                   F.sum(F.col(f"n{i}") * F.col("midrank")).alias(f"r{i}"))])
     parts = F.explode(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"))
                                 for i in range(len(groups))]))
-    return sums.select("variable", "tie", parts.alias("e")).select("variable", "e.n", "e.r", "tie").where("n > 0")
+    return sums.select("variable", "tie", parts.alias("__cell")).select("variable", "__cell.n", "__cell.r", "tie").where("n > 0")
 
 
 def _rank_sums_long(long: DataFrame, groups: Sequence, rows_per_bucket: int | None) -> DataFrame:

@@ -56,7 +56,7 @@ def quantile7(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
             F.struct(F.lit(cols[i]).alias("variable"), F.lit(p).alias("prob"),
                      F.element_at(F.col(f"q_{i}"), j + 1).alias("value"))
             for i in few for j, p in enumerate(probs)]))
-        parts.append(agg.select(*by, entries.alias("e")).select(*by, "e.*"))
+        parts.append(agg.select(*by, entries.alias("__cell")).select(*by, "__cell.*"))
     if many:
         sizes_at = {(tuple(r[b] for b in by), cols[i]): (r[f"n_{i}"], r[f"lo_{i}"], r[f"hi_{i}"])
                     for r in profile for i in many}
@@ -102,7 +102,7 @@ def _by_running_count(df, cols, probs, by) -> DataFrame:
 def _unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     entries = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), _clean(c).alias("value"))
                                   for c in cols]))
-    return (df.select(*by, entries.alias("e")).select(*by, "e.*").where(F.col("value").isNotNull()))
+    return (df.select(*by, entries.alias("__cell")).select(*by, "__cell.*").where(F.col("value").isNotNull()))
 
 
 def _narrowed(df, cols, probs, by, sizes, limit) -> list[tuple]:
@@ -268,7 +268,7 @@ def data_distribution(df: DataFrame, numeric: Sequence[str], factors: Sequence[s
             "low_effect", "adjust_to", "high_effect", "low_prediction", "high_prediction", "low", "high")]
         entries = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"))
                                       for c in factors]))
-        counts = (df.select(entries.alias("e")).select("e.*").where(F.col("level").isNotNull())
+        counts = (df.select(entries.alias("__cell")).select("__cell.*").where(F.col("level").isNotNull())
                   .groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n")))
         modal = counts.groupBy("variable").agg(
             F.max_by("level", F.struct("n", F.col("level"))).alias("unused"),

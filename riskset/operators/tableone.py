@@ -23,7 +23,7 @@ def continuous_moments(df: DataFrame, cols: Sequence[str], stratum: str) -> Data
     entries = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
                  F.col(f"s{i}").alias("sd")) for i, c in enumerate(cols)]))
-    return wide.select("stratum", entries.alias("e")).select("e.variable", "stratum", "e.n", "e.mean", "e.sd")
+    return wide.select("stratum", entries.alias("__cell")).select("__cell.variable", "stratum", "__cell.n", "__cell.mean", "__cell.sd")
 
 
 def continuous_medians(df: DataFrame, cols: Sequence[str], stratum: str) -> DataFrame:
@@ -42,8 +42,8 @@ def category_counts(df: DataFrame, cols: Sequence[str], stratum: str) -> DataFra
     """(variable, level, stratum, n, percent of the non-missing); one pass, empty cells as 0."""
     entries = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in cols]))
-    cells = (df.select(F.col(stratum).cast("string").alias("stratum"), entries.alias("e"))
-             .select("stratum", "e.*").where(F.col("level").isNotNull())
+    cells = (df.select(F.col(stratum).cast("string").alias("stratum"), entries.alias("__cell"))
+             .select("stratum", "__cell.*").where(F.col("level").isNotNull())
              .groupBy("variable", "level", "stratum").agg(F.count(F.lit(1)).alias("n")))
     names = F.explode(F.lit(list(cols))).alias("variable")
     strata = cells.select("stratum").distinct().select("stratum", names)

@@ -130,3 +130,11 @@ def test_skewed_group_does_not_matter(spark):
                                   (F.col("id") % 10).cast("double").alias("t"), (F.col("id") % 2).cast("int").alias("e"))
     total = km.kaplan_meier(df, "t", "e", "g").groupBy("stratum").agg((F.sum("n_event") + F.sum("n_censor")).alias("n"))
     assert {r.stratum: r.n for r in total.collect()} == {"hot": 2900, "cold": 100}
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "t double, e int, g string, x double")
+    assert km.kaplan_meier(df, "t", "e", "g").count() == 0
+    assert km.logrank(df, "t", "e", "g").first().chisq is None
+    assert nonparam.kruskal_wallis(df, ["x"], "g").count() == 0
+    assert nonparam.chi_square_independence(df, ["g"], "g").count() == 0
