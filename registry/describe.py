@@ -8,6 +8,7 @@ from registry.core import chi2_p, f_p, lineitem, query, rounded, table
 from registry.prep import _INDEX, _gaps, _GAPS
 from riskset.functions.columns import significance_symbol, weighted_index
 from riskset.operators import missing, nonparam, quantiles, tableone
+from riskset.operators.clean import set_levels
 
 
 @query("a1_freq_table", """
@@ -139,26 +140,53 @@ def _chisq(n, col, grp, src):
     {_KW.format(n='kw', col='l_extendedprice', grp='l_linestatus', src=_BASE)},
     {_chisq('ch', 'l_returnflag', 'l_linestatus', _BASE)},
     {_chisq('cp', 'o_orderpriority', 'l_linestatus', _BASE)}
-    SELECT 'n' AS variable, NULL AS level, l_linestatus AS stratum, count(*) AS n, NULL::DOUBLE AS center,
-           NULL::DOUBLE AS spread_low, NULL::DOUBLE AS spread_high, NULL::DOUBLE AS percent, NULL::DOUBLE AS p_value
+    SELECT 0 AS row_order, 'n' AS variable, NULL::INT AS level_order, NULL AS level, l_linestatus AS stratum, count(*) AS n,
+           NULL::DOUBLE AS center, NULL::DOUBLE AS spread_low, NULL::DOUBLE AS spread_high, NULL::DOUBLE AS percent,
+           count(*)::VARCHAR AS summary, NULL::DOUBLE AS p_value, NULL AS test
       FROM {_BASE} GROUP BY l_linestatus
-    UNION ALL SELECT 'l_tax', NULL, l_linestatus, count(*), round(avg(l_tax), 6), round(stddev_samp(l_tax), 6),
-           round(stddev_samp(l_tax), 6), NULL, (SELECT round({f_p('f', 'd1', 'd2')}, 6) FROM an) FROM {_BASE} GROUP BY l_linestatus
-    UNION ALL SELECT 'l_extendedprice', NULL, l_linestatus, NULL, round(quantile_cont(l_extendedprice, 0.5), 6),
+    UNION ALL SELECT 1, 'l_tax', NULL, NULL, l_linestatus, count(*), round(avg(l_tax), 6), round(stddev_samp(l_tax), 6),
+           round(stddev_samp(l_tax), 6), NULL, format('{{:.2f}} ({{:.2f}})', avg(l_tax), stddev_samp(l_tax)),
+           (SELECT round({f_p('f', 'd1', 'd2')}, 6) FROM an), 'anova' FROM {_BASE} GROUP BY l_linestatus
+    UNION ALL SELECT 2, 'l_extendedprice', NULL, NULL, l_linestatus, NULL, round(quantile_cont(l_extendedprice, 0.5), 6),
            round(quantile_cont(l_extendedprice, 0.25), 6), round(quantile_cont(l_extendedprice, 0.75), 6), NULL,
-           (SELECT round({chi2_p('h', 'df')}, 6) FROM kw) FROM {_BASE} GROUP BY l_linestatus
-    UNION ALL SELECT 'l_returnflag', l_returnflag, l_linestatus, count(*), NULL, NULL, NULL,
+           format('{{:.2f}} [{{:.2f}}, {{:.2f}}]', quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.25),
+                  quantile_cont(l_extendedprice, 0.75)),
+           (SELECT round({chi2_p('h', 'df')}, 6) FROM kw), 'kruskal' FROM {_BASE} GROUP BY l_linestatus
+    UNION ALL SELECT 3, 'l_returnflag', (dense_rank() OVER (ORDER BY l_returnflag))::INT, l_returnflag, l_linestatus, count(*), NULL, NULL, NULL,
            round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_linestatus), 6),
-           (SELECT round({chi2_p('chi2', 'df')}, 6) FROM ch) FROM {_BASE} GROUP BY l_returnflag, l_linestatus
-    UNION ALL SELECT 'o_orderpriority', o_orderpriority, l_linestatus, count(*), NULL, NULL, NULL,
+           format('{{}} ({{:.1f}})', count(*), 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_linestatus)),
+           (SELECT round({chi2_p('chi2', 'df')}, 6) FROM ch), 'chisq' FROM {_BASE} GROUP BY l_returnflag, l_linestatus
+    UNION ALL SELECT 4, 'o_orderpriority', (dense_rank() OVER (ORDER BY o_orderpriority))::INT, o_orderpriority, l_linestatus, count(*), NULL, NULL, NULL,
            round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_linestatus), 6),
-           (SELECT round({chi2_p('chi2', 'df')}, 6) FROM cp) FROM {_BASE} GROUP BY o_orderpriority, l_linestatus""")
+           format('{{}} ({{:.1f}})', count(*), 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_linestatus)),
+           (SELECT round({chi2_p('chi2', 'df')}, 6) FROM cp), 'chisq' FROM {_BASE} GROUP BY o_orderpriority, l_linestatus""")
 def a5(spark, d):
     t = tableone.baseline_table(
         _base(spark, d), ["l_tax", "l_extendedprice", "l_returnflag", "o_orderpriority"], "l_linestatus",
         ["l_returnflag", "o_orderpriority"], ["l_extendedprice"])
-    return rounded(t.select("variable", "level", "stratum", "n", "center", "spread_low", "spread_high", "percent",
-                            "p_value"))
+    return rounded(t)
+
+
+@query("a5_baseline_print", """
+    WITH t AS (SELECT l_linestatus AS g, (l_linenumber - 4) / 8.0 AS tie, l_returnflag AS flag FROM lineitem),
+    cells AS (SELECT level_order, level, stratum, count(flag) AS n
+              FROM (SELECT unnest(['R', 'never', 'N', 'A']) AS level, unnest([1, 2, 3, 4]) AS level_order)
+              CROSS JOIN (SELECT DISTINCT g AS stratum FROM t) LEFT JOIN t ON flag = level AND g = stratum GROUP BY ALL),
+    lines AS (
+      SELECT 0 AS row_order, 'n' AS variable, NULL::INT AS level_order, NULL AS level, g, count(*)::VARCHAR AS summary FROM t GROUP BY g
+      UNION ALL SELECT 1, 'tie', NULL, NULL, g, format('{:.2f} [{:.2f}, {:.2f}]', quantile_cont(tie, 0.5), quantile_cont(tie, 0.25),
+             quantile_cont(tie, 0.75)) FROM t GROUP BY g
+      UNION ALL SELECT 2, 'flag', level_order::INT, level, stratum,
+             format('{} ({:.1f})', n, 100.0 * n / sum(n) OVER (PARTITION BY stratum)) FROM cells)
+    SELECT row_order, variable, level_order, level, max(summary) FILTER (g = 'F') AS "F", max(summary) FILTER (g = 'O') AS "O"
+    FROM lines GROUP BY ALL""")
+def a5_print(spark, d):
+    """The printed table over exact ties, with a level no row has; levels in the order given, not by text."""
+    df = table(spark, d, "lineitem").select(
+        F.col("l_linestatus").alias("g"), ((F.col("l_linenumber") - 4) / 8.0).alias("tie"), F.col("l_returnflag").alias("flag"))
+    df = set_levels(df, "flag", ["R", "never", "N", "A"])
+    t = tableone.baseline_table(df, ["tie", "flag"], "g", ["flag"], ["tie"], test=False)
+    return tableone.baseline_text(t, ["F", "O"]).drop("p")
 
 
 @query("a5_baseline_overall", f"""
@@ -189,7 +217,8 @@ def a5b(spark, d):
 
 
 @query("a5c_category_counts", f"""
-    SELECT 'l_returnflag' AS variable, l_returnflag AS level, o_orderpriority AS stratum, count(*) AS n,
+    SELECT 'l_returnflag' AS variable, l_returnflag AS level, (dense_rank() OVER (ORDER BY l_returnflag))::INT AS level_order,
+           o_orderpriority AS stratum, count(*) AS n,
            round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 6) AS percent
     FROM {_BASE} GROUP BY l_returnflag, o_orderpriority""")
 def a5c(spark, d):

@@ -363,9 +363,50 @@ def _customers(spark, d):
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
 
 
-@query("f6_impute_pmm")
+@query("f6_impute_pmm", """
+    WITH o AS (SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*)::DOUBLE AS n_orders FROM orders GROUP BY 1),
+    t AS (SELECT c_custkey, mean_price, n_orders, CASE WHEN c_nationkey <> 3 THEN c_acctbal END AS balance
+          FROM customer JOIN o ON c_custkey = o_custkey),
+    m AS (SELECT avg(mean_price) AS m1, stddev_samp(mean_price) AS s1, avg(n_orders) AS m2, stddev_samp(n_orders) AS s2,
+                 avg(balance) AS my, stddev_samp(balance) AS sy FROM t),
+    z AS (SELECT t.*, (mean_price - m1) / s1 AS a, (n_orders - m2) / s2 AS b, (balance - my) / sy AS y FROM t, m),
+    g AS (SELECT count(*) * 1.00001 AS cc, sum(a) AS ca, sum(b) AS cb, sum(a * a) * 1.00001 AS aa, sum(a * b) AS ab,
+                 sum(b * b) * 1.00001 AS bb, sum(y) AS cy, sum(a * y) AS ay, sum(b * y) AS byy FROM z WHERE y IS NOT NULL),
+    f AS (SELECT (cy * (aa * bb - ab * ab) - ca * (ay * bb - ab * byy) + cb * (ay * ab - aa * byy)) / det AS b0,
+                 (cc * (ay * bb - ab * byy) - cy * (ca * bb - ab * cb) + cb * (ca * byy - ay * cb)) / det AS b1,
+                 (cc * (aa * byy - ay * ab) - ca * (ca * byy - ay * cb) + cy * (ca * ab - aa * cb)) / det AS b2
+          FROM (SELECT *, cc * (aa * bb - ab * ab) - ca * (ca * bb - ab * cb) + cb * (ca * ab - aa * cb) AS det FROM g)),
+    p AS (SELECT z.*, b0 + b1 * a + b2 * b AS yhat FROM z, f),
+    near AS (SELECT w.c_custkey, arg_min(d.balance, abs(d.yhat - w.yhat)) AS balance
+             FROM p w, p d WHERE w.balance IS NULL AND d.balance IS NOT NULL GROUP BY 1)
+    SELECT c_custkey, round(mean_price, 6) AS mean_price, n_orders, round(coalesce(t.balance, near.balance), 6) AS balance, 1 AS imp
+    FROM t LEFT JOIN near USING (c_custkey)""")
 def f6(spark, d):
-    return impute.impute_pmm(_customers(spark, d), "c_custkey", levels={"segment": _SEGMENTS}, maxit=2)
+    """One donor and fitted coefficients leave nothing to chance, so SQL can follow all ten rounds."""
+    df = _customers(spark, d).drop("segment").where(F.col("mean_price").isNotNull())
+    return rounded(impute.impute_pmm(df, "c_custkey", donors=1, match="fitted"))
+
+
+@query("f6_impute_sets", """
+    WITH o AS (SELECT o_custkey, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1)
+    SELECT unnest(range(1, 6))::INT AS imp, count(*) AS n, 0 AS gaps,
+           round(sum(c_acctbal) FILTER (WHERE c_nationkey <> 3), 2) AS kept_balance,
+           count(*) FILTER (WHERE c_nationkey = 3) AS drawn_balances, count(*) FILTER (WHERE o_custkey IS NULL) AS drawn_prices
+    FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
+def f6_sets(spark, d):
+    """Five sets: no gap left, observed cells as they were, filled ones among the observed values."""
+    src = _customers(spark, d).persist()
+    full = impute.impute_pmm(src, "c_custkey", levels={"segment": _SEGMENTS}, m=5)
+    seen = {c: src.where(F.col(c).isNotNull()).select(F.col(c).alias(f"seen_{c}")).distinct() for c in ("balance", "mean_price")}
+    both = full.join(src.select("c_custkey", F.col("balance").alias("b"), F.col("mean_price").alias("p")), "c_custkey")
+    both = both.join(seen["balance"], F.col("balance") == F.col("seen_balance"), "left")
+    both = both.join(seen["mean_price"], F.col("mean_price") == F.col("seen_mean_price"), "left")
+    gap = F.col("balance").isNull() | F.col("segment").isNull() | F.col("mean_price").isNull() | F.col("n_orders").isNull()
+    return both.groupBy("imp").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(gap).cast("int").alias("gaps"),
+        F.round(F.sum(F.when(F.col("b") == F.col("balance"), F.col("balance"))), 2).alias("kept_balance"),
+        F.count_if(F.col("b").isNull() & F.col("seen_balance").isNotNull()).alias("drawn_balances"),
+        F.count_if(F.col("p").isNull() & F.col("seen_mean_price").isNotNull()).alias("drawn_prices"))
 
 
 @query("f7_complete_imputation", """
@@ -373,7 +414,7 @@ def f6(spark, d):
            count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS filled_segments FROM customer""")
 def f7(spark, d):
     src = _customers(spark, d)
-    full = impute.complete_imputation(impute.impute_pmm(src, "c_custkey", levels={"segment": _SEGMENTS}, maxit=1))
+    full = impute.complete_imputation(impute.impute_pmm(src, "c_custkey", levels={"segment": _SEGMENTS}, m=2), action=2)
     gaps = F.count_if(F.col("f.balance").isNull() | F.col("f.segment").isNull() | F.col("f.mean_price").isNull())
     both = full.alias("f").join(src.alias("s"), F.col("f.c_custkey") == F.col("s.c_custkey"))
     return both.agg(F.count(F.lit(1)).alias("n"), gaps.cast("int").alias("gaps"),

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskset.functions.columns import nan_to_null
 from riskset.operators.ordering import running_sums
 
 
@@ -63,7 +64,7 @@ def auc(df: DataFrame, predictors: Mapping[str, Column], outcome: str,
 def roc_points(df: DataFrame, predictor: Column, outcome: str) -> DataFrame:
     """(threshold, sensitivity, specificity) at every distinct predictor value, cases at or above it."""
     y = F.col(outcome).cast("int")
-    counts = (df.select(y.alias("y"), predictor.cast("double").alias("threshold"))
+    counts = (df.select(y.alias("y"), nan_to_null(predictor.cast("double")).alias("threshold"))
               .where(F.col("y").isin(0, 1) & F.col("threshold").isNotNull())
               .groupBy("threshold").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")))
     above = running_sums(counts, [], "threshold", ["n1", "n0"], descending=True)

@@ -112,13 +112,16 @@ def hinge_below(c: str | Column, cut: float) -> Column:
 MAX_LEVELS = 1000
 
 
-def with_levels(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Give text columns that carry no levels their sorted distinct values as levels."""
+def with_levels(df: DataFrame, names: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Give text columns that carry no levels their sorted distinct values as levels.
+
+    Every level becomes a model column, so a text with more than ``max_levels`` values is refused.
+    """
     for n in names:
         if dict(df.dtypes)[n] == "string" and not df.schema[n].metadata.get("levels"):
-            found = df.select(n).where(F.col(n).isNotNull()).distinct().take(MAX_LEVELS + 1)
-            if len(found) > MAX_LEVELS:
-                raise ValueError(f"{n} has more than {MAX_LEVELS} distinct texts; it is not a category")
+            found = df.select(n).where(F.col(n).isNotNull()).distinct().take(max_levels + 1)
+            if len(found) > max_levels:
+                raise ValueError(f"{n} has more than {max_levels} distinct texts; it is not a category")
             levels = sorted(r[0] for r in found)
             df = df.withColumn(n, F.col(n).alias(n, metadata={"levels": levels}))
     return df

@@ -2,7 +2,8 @@
 
 Each incomplete column in turn is regressed on all others over the rows where it is
 observed. Coefficients are drawn from their posterior; each missing cell then takes
-the observed value of one of the five donors whose prediction is nearest.
+the observed value of one of the ``donors`` rows whose prediction is nearest. At the
+start a gap takes any of the column's observed values.
 
 Rows that are complete never change, so their cross-products are added up once. Only
 rows with a gap are rewritten per step. Nearest donors are found inside
@@ -29,8 +30,10 @@ from riskset.operators.small import cut_lineage
 
 DONORS = 5
 RIDGE = 1e-5
-START_POOL = 64
+# observed values in one list from which starting values are drawn; a column has as many lists as its values need
+START_LIST = 64
 IMP = "imp"
+MATCHES = ("drawn", "fitted")
 
 
 @dataclass
@@ -69,7 +72,9 @@ class Imputer:
 
     def __init__(self, df: DataFrame, key: str, columns: Sequence[str] | None = None,
                  levels: Mapping[str, Sequence] | None = None, seed: int = 123, imputation: int = 1,
-                 rows_per_bucket: int | None = None):
+                 rows_per_bucket: int | None = None, donors: int = DONORS, match: str = "drawn"):
+        if donors < 1 or match not in MATCHES:
+            raise ValueError(f"donors must be at least 1 and match one of {MATCHES}")
         names = list(columns or [c for c in df.columns if c != key])
         levels = dict(levels or {})
         for n in names:
@@ -79,7 +84,7 @@ class Imputer:
             if n not in levels and dict(df.dtypes)[n] == "string":
                 raise ValueError(f"{n} is text without levels")
         self.source, self.key, self.seed, self.imputation = df, key, seed, imputation
-        self.rows_per_bucket = rows_per_bucket
+        self.rows_per_bucket, self.donors, self.match = rows_per_bucket, donors, match
         self.columns = [_Column(n, list(levels[n]) if n in levels else None) for n in names]
         self._prepare()
 
@@ -118,28 +123,36 @@ class Imputer:
         for c in self.targets:
             any_gap = any_gap | F.col(c.code).isNull()
         self.fixed = coded.where(~any_gap).persist(StorageLevel.MEMORY_AND_DISK)
-        pools = self._start_pools(coded)
-        filled = [F.coalesce(F.col(c.code), F.element_at(
-            F.lit(pools[c.name]), (F.pmod(_uniform(self.seed, self.imputation, "start", c.name, F.col("key")),
-                                          F.lit(len(pools[c.name]))) + 1).cast("int"))).alias(c.code)
-                  if c.missing else F.col(c.code) for c in self.columns]
-        self.open = cut_lineage(coded.where(any_gap).select("key", *filled, *gaps))
+        start = self._start_values(coded)
+        filled = [F.coalesce(F.col(c.code), F.col(f"s_{c.name}")).alias(c.code) if c.missing else F.col(c.code)
+                  for c in self.columns]
+        self.open = cut_lineage(coded.where(any_gap).join(start, "key").select("key", *filled, *gaps))
         self.fixed_gram = self._gram(self.fixed, None)
 
-    def _start_pools(self, coded: DataFrame) -> dict[str, list[float]]:
-        """A few dozen observed values per incomplete column: those whose rows hash lowest."""
-        entries = F.explode(F.array(*[
+    def _start_values(self, coded: DataFrame) -> DataFrame:
+        """(key, s_<column>...): for every row with a gap a draw from all of the column's observed values.
+
+        Observed values are dealt to short lists by a hash of their row, gaps to one list each by another hash, which
+        picks the value as well.
+        """
+        lists = {c.name: max(1, (self.n - c.missing) // START_LIST) for c in self.targets}
+        cells = F.explode(F.array(*[
             F.struct(F.lit(c.name).alias("name"), F.col(c.code).alias("value"),
-                     _uniform(self.seed, "pool", c.name, F.col("key")).alias("h")) for c in self.targets]))
-        # the rank filter is applied before the shuffle as well, task by task
-        w = Window.partitionBy("name").orderBy("h", "value")
-        rows = (coded.select(entries.alias("__cell")).select("__cell.*").where(F.col("value").isNotNull())
-                .withColumn("r", F.row_number().over(w)).where(F.col("r") <= START_POOL)
-                .orderBy("name", "r").collect())
-        pools: dict[str, list[float]] = {}
-        for r in rows:
-            pools.setdefault(r["name"], []).append(float(r["value"]))
-        return pools
+                     F.pmod(_uniform(self.seed, "list", c.name, F.col("key")), F.lit(lists[c.name])).alias("at"),
+                     _uniform(self.seed, "order", c.name, F.col("key")).alias("h"),
+                     F.pmod(_uniform(self.seed, self.imputation, "gap", c.name, F.col("key")), F.lit(lists[c.name])).alias("to"),
+                     _uniform(self.seed, self.imputation, "start", c.name, F.col("key")).alias("u")) for c in self.targets]))
+        rows = coded.select("key", cells.alias("__cell")).select("key", "__cell.*")
+        pools = (rows.where(F.col("value").isNotNull()).groupBy("name", "at")
+                 .agg(F.sort_array(F.collect_list(F.struct("h", "value"))).alias("pool")))
+        # a list may be empty by chance: then the column's smallest observed value stands in
+        least = rows.groupBy("name").agg(F.min("value").alias("least"))
+        gaps = rows.where(F.col("value").isNull()).select("key", "name", F.col("to").alias("at"), "u")
+        picked = F.element_at("pool", (F.pmod("u", F.size("pool")) + 1).cast("int"))["value"]
+        drawn = (gaps.join(pools, ["name", "at"], "left").join(F.broadcast(least), "name")  # one row per column
+                 .select("key", "name", F.coalesce(F.when(F.col("pool").isNotNull(), picked), F.col("least")).alias("value")))
+        return drawn.groupBy("key").agg(*[F.max(F.when(F.col("name") == c.name, F.col("value"))).alias(f"s_{c.name}")
+                                          for c in self.targets])
 
     def _gram(self, df: DataFrame, observed: _Column | None) -> np.ndarray:
         """Cross-products of (constant, values, dummies) over rows where ``observed`` is present."""
@@ -157,28 +170,37 @@ class Imputer:
         if self.targets:
             for it in range(1, iterations + 1):
                 # fewest gaps first would also do; source order keeps runs comparable
+                held = []
                 for c in self.targets:
-                    self._step(c, it)
+                    held.append(self._step(c, it))
+                # one checkpoint for each round over the columns; within it the rows with gaps stay persisted
+                self.open = cut_lineage(self.open)
+                for df in held:
+                    df.unpersist()
         return self._restore()
 
-    def _step(self, c: _Column, it: int) -> None:
+    def _step(self, c: _Column, it: int) -> DataFrame:
+        """One column's gaps anew; returns the persisted rows for the caller to release."""
         gram = self.fixed_gram + self._gram(self.open, c)
         others = [0] + [t for o in self.columns if o is not c for t in (o.terms[1:] if o.levels else o.terms)]
         fit, draw = self._draw(gram, others, c.terms[0], it, self.columns.index(c))
-        y = F.col(c.code)
-        donors = self.fixed.select("key", self._predict(fit, others).alias("yhat"), y.alias("y")).unionByName(
-            self.open.where(~F.col(c.gap)).select("key", self._predict(fit, others).alias("yhat"), y.alias("y")))
+        y, h = F.col(c.code), _uniform(self.seed, self.imputation, it, c.name, F.col("key")).alias("h")
+        none = F.lit(None).cast(self.open.schema["key"].dataType).alias("key")  # a donor's row key is not needed
+        predicted = self._predict(fit, others).alias("yhat")
+        donors = self.fixed.select(none, predicted, y.alias("y"), h).unionByName(
+            self.open.where(~F.col(c.gap)).select(none, predicted, y.alias("y"), h))
         wanted = self.open.where(F.col(c.gap)).select(
-            "key", self._predict(draw, others).alias("yhat"), F.lit(None).cast("double").alias("y"))
-        stream = (self.seed, self.imputation, it, c.name)
-        rows = donors.unionByName(wanted).select(
-            "*", _uniform(*stream, F.col("key")).alias("h")).persist(StorageLevel.MEMORY_AND_DISK)
+            "key", self._predict(draw if self.match == "drawn" else fit, others).alias("yhat"),
+            F.lit(None).cast("double").alias("y"), h)
+        rows = donors.unionByName(wanted).persist(StorageLevel.MEMORY_AND_DISK)
         found = self._match(rows)
         joined = self.open.join(found, "key", "left").select(
             "key", *[F.coalesce(F.col("__new"), F.col(o.code)).alias(o.code) if o is c else F.col(o.code)
-                     for o in self.columns], *[o.gap for o in self.targets])
-        self.open = cut_lineage(joined)
+                     for o in self.columns], *[o.gap for o in self.targets]).persist(StorageLevel.MEMORY_AND_DISK)
+        joined.count()
+        self.open = joined
         rows.unpersist()
+        return joined
 
     def _draw(self, gram: np.ndarray, others: list[int], target: int, it: int, position: int):
         """Least-squares coefficients and one posterior draw (scaled units)."""
@@ -219,37 +241,38 @@ class Imputer:
         cuts = cut_values(rows, "yhat", self.n, self.rows_per_bucket)
         parted = with_bucket(rows, "yhat", cuts, "bucket")
         if not cuts:
-            return _pick_in_groups(parted, {})
-        donors = parted.where(F.col("y").isNotNull())
-        lists = {}
+            return _pick_in_groups(parted, {}, self.donors)
+        donors, lists, edges = parted.where(F.col("y").isNotNull()), {"low": {}, "high": {}}, []
         for name, order in (("low", [F.col("yhat"), F.col("h")]), ("high", [F.col("yhat").desc(), F.col("h").desc()])):
             # rank limits are applied task by task before the shuffle, so a bucket of any size sends a few rows
             w = Window.partitionBy("bucket").orderBy(*order)
-            edge = donors.withColumn("r", F.row_number().over(w)).where(F.col("r") <= DONORS)
-            lists[name] = {}
-            for r in edge.select("bucket", "r", "yhat", "h", "y").collect():  # at most 5 per bucket
-                lists[name].setdefault(r["bucket"], []).append((r["yhat"], r["h"], r["y"]))
+            edges.append(donors.withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.donors)
+                         .select(F.lit(name).alias("end"), "bucket", "yhat", "h", "y"))
+        for r in edges[0].union(edges[1]).collect():  # a few per bucket
+            lists[r["end"]].setdefault(r["bucket"], []).append((r["yhat"], r["h"], r["y"]))
         low = {b: sorted(v) for b, v in lists["low"].items()}
         high = {b: sorted(v) for b, v in lists["high"].items()}
         buckets = range(1, 2 * len(cuts) + 2)
         before, after, run = {}, {}, []
         for b in buckets:
-            before[b] = run[-DONORS:]
-            run = (run + high.get(b, []))[-DONORS:]
+            before[b] = run[-self.donors:]
+            run = (run + high.get(b, []))[-self.donors:]
         run = []
         for b in reversed(buckets):
-            after[b] = run[:DONORS]
-            run = (low.get(b, []) + run)[:DONORS]
+            after[b] = run[:self.donors]
+            run = (low.get(b, []) + run)[:self.donors]
         halo = {b: before[b] + after[b] for b in buckets}
         inner = parted.where(F.col("bucket") % 2 == 1)
-        out = _pick_in_groups(inner, halo)
+        # donors of buckets that nobody needs stay where they are: at most one row for each bucket
+        needed = inner.where(F.col("y").isNull()).select("bucket").distinct()
+        out = _pick_in_groups(inner.join(F.broadcast(needed), "bucket", "left_semi"), halo, self.donors)
         # everyone predicted exactly at a cut shares one donor list, whatever their number
         spark = rows.sparkSession
         shared = []
         for i, cut in enumerate(cuts, 1):
             b = 2 * i
             near = sorted(before[b] + low.get(b, []) + after[b], key=lambda d: (abs(d[0] - cut), d[0], d[1]))
-            shared.append((b, [float(d[2]) for d in near[:DONORS]]))
+            shared.append((b, [float(d[2]) for d in near[:self.donors]]))
         table = spark.createDataFrame(shared, "bucket int, ys array<double>")  # one row per cut
         at_cut = parted.where((F.col("bucket") % 2 == 0) & F.col("y").isNull()).join(F.broadcast(table), "bucket")
         picked = F.element_at("ys", (F.pmod(F.col("h"), F.size("ys")) + 1).cast("int"))
@@ -290,7 +313,7 @@ def _gram_kernel(specs: Sequence[tuple], width: int):
     return kernel
 
 
-def _pick_in_groups(parted: DataFrame, halo: Mapping[int, list[tuple]]) -> DataFrame:
+def _pick_in_groups(parted: DataFrame, halo: Mapping[int, list[tuple]], donors: int) -> DataFrame:
     """Nearest-donor choice inside each (bounded) bucket."""
     key_type = parted.schema["key"].dataType.simpleString()
 
@@ -305,9 +328,9 @@ def _pick_in_groups(parted: DataFrame, halo: Mapping[int, list[tuple]]) -> DataF
         yy = np.concatenate([have["y"].to_numpy(), [e[2] for e in extra]])
         order = np.lexsort((hh, yh))
         yh, yy = yh[order], yy[order]
-        k = min(DONORS, len(yh))
+        k = min(donors, len(yh))
         at = np.searchsorted(yh, want["yhat"].to_numpy())
-        near = at[:, None] + np.arange(-DONORS, DONORS)[None, :]
+        near = at[:, None] + np.arange(-donors, donors)[None, :]
         valid = (near >= 0) & (near < len(yh))
         near = np.clip(near, 0, len(yh) - 1)
         gap = np.where(valid, np.abs(yh[near] - want["yhat"].to_numpy()[:, None]), np.inf)
@@ -321,15 +344,17 @@ def _pick_in_groups(parted: DataFrame, halo: Mapping[int, list[tuple]]) -> DataF
 
 def impute_pmm(df: DataFrame, key: str, columns: Sequence[str] | None = None,
                levels: Mapping[str, Sequence] | None = None, m: int = 1, maxit: int = 10, seed: int = 123,
-               rows_per_bucket: int | None = None) -> DataFrame:
+               rows_per_bucket: int | None = None, donors: int = DONORS, match: str = "drawn") -> DataFrame:
     """``m`` completed tables stacked, numbered 1.. in the column ``imp``.
 
     ``key`` identifies rows and seeds every random choice. The default computes only
-    the first set, which is the one :func:`complete_imputation` takes.
+    the first set, which is the one :func:`complete_imputation` takes. ``match`` says
+    by which coefficients a gap is predicted: drawn from their posterior, or the
+    fitted ones; with the latter and one donor nothing is left to chance.
     """
     out = None
     for i in range(1, m + 1):
-        one = Imputer(df, key, columns, levels, seed, i, rows_per_bucket).run(maxit).withColumn(IMP, F.lit(i))
+        one = Imputer(df, key, columns, levels, seed, i, rows_per_bucket, donors, match).run(maxit).withColumn(IMP, F.lit(i))
         out = one if out is None else out.unionByName(one)
     return out
 

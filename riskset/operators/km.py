@@ -52,12 +52,21 @@ def censor_marks(curve: DataFrame) -> DataFrame:
     return curve.where(F.col("n_censor") > 0).select("stratum", "time", "surv")
 
 
+# the test's covariance has a row and a column for each group, all in one result row
+MAX_GROUPS = 100
+
+
 def logrank_parts(df: DataFrame, time: str, event: str, group: str,
-                  rows_per_bucket: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Groups, observed, expected, covariance and sizes; one row comes back to the driver."""
+                  rows_per_bucket: int | None = None, max_groups: int = MAX_GROUPS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Groups, observed, expected, covariance and sizes; one row comes back to the driver.
+
+    More than ``max_groups`` groups are refused.
+    """
     rows = _followup(df, time, event, group)
-    groups = [r[0] for r in rows.select("stratum").distinct().orderBy("stratum").collect()]
+    groups = sorted(r[0] for r in rows.select("stratum").distinct().take(max_groups + 1))
     k = len(groups)
+    if k > max_groups:
+        raise ValueError(f"{group} has more than {max_groups} groups; raise max_groups to compare them all")
     if not k:
         return [], np.zeros(0), np.zeros(0), np.zeros((0, 0)), []
 

@@ -42,17 +42,21 @@ def iqr_fence(df: DataFrame, col: str, k: float = 3.0,
 
     The bounds come back to the driver as two numbers and enter the plan as
     literals, so the filter reaches the file scan. A row whose value is missing
-    cannot be outside and is kept.
+    (null or NaN) cannot be outside and is kept; only a column found to hold NaN
+    pays for that with a filter the file reader cannot use.
     """
     low, high = bounds or fence_bounds(df, col, k)
-    return df.where(F.col(col).between(low, high) | F.col(col).isNull())
+    keep = F.col(col).between(low, high) | F.col(col).isNull()
+    if isinstance(df.schema[col].dataType, _FLOATING) and not df.where(F.isnan(col)).isEmpty():
+        keep = keep | F.isnan(col)
+    return df.where(keep)
 
 
 def fence_report(df: DataFrame, col: str, k: float = 3.0,
                  bounds: tuple[float, float] | None = None) -> DataFrame:
     """One row: bounds to 2 decimals, rows before, removed and left."""
     low, high = bounds or fence_bounds(df, col, k)
-    outside = (F.col(col) < low) | (F.col(col) > high)
+    outside = ((F.col(col) < low) | (F.col(col) > high)) & ~is_missing(df, col)
     return df.agg(
         F.lit(round(low, 2)).alias("lower_bound"),
         F.lit(round(high, 2)).alias("upper_bound"),

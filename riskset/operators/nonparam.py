@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskset.functions.tails import chi2_tail_column, f_tail_column
 from riskset.operators.ordering import running_sums
+from riskset.operators.small import join_checked
 
 
 def _long(df: DataFrame, cols: Sequence[str], group: str, as_text: bool) -> DataFrame:
@@ -26,21 +27,21 @@ def _long(df: DataFrame, cols: Sequence[str], group: str, as_text: bool) -> Data
 
 
 def one_way_anova(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
-    """Equal-variance F test per variable (variable, f_stat, df1, df2, p_value).
+    """Equal-variance F test per variable (variable, f_stat, df1, df2, p_value); missing values and NaN left out.
 
-    Each variable is first shifted by its overall mean, which leaves F unchanged
-    and keeps the squared sums small.
+    One pass gives each group's count, mean and variance, from which both sums of squares follow without
+    subtracting large numbers.
     """
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    shifted = df.select(group, *[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in cols])
-    per_group = _long(shifted, cols, group, False).groupBy("variable", "stratum").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    tot = per_group.groupBy("variable").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"))
+    per_group = _long(df, cols, group, False).groupBy("variable", "stratum").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    whole = per_group.groupBy("variable").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    away = F.col("m") - F.col("mean")
+    tot = (per_group.join(F.broadcast(whole), "variable")  # one row per variable
+           .groupBy("variable").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"),
+                                    F.sum(F.col("n") * away * away).alias("between"),
+                                    F.sum(F.col("n") * F.col("v")).alias("within")))
     df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
-    f = ((F.col("between") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(df1, F.lit(0))
-         / ((F.col("ss") - F.col("between")) / F.nullif(df2, F.lit(0))))
+    f = (F.col("between") / F.nullif(df1, F.lit(0))) / F.nullif(F.col("within") / F.nullif(df2, F.lit(0)), F.lit(0.0))
     return tot.select("variable", f.alias("f_stat"), df1.alias("df1"), df2.alias("df2")).withColumn(
         "p_value", f_tail_column(F.col("f_stat"), F.col("df1"), F.col("df2")))
 
@@ -61,13 +62,13 @@ def kruskal_wallis(df: DataFrame, cols: Sequence[str], group: str,
     wide = 0 < len(groups) <= groups_as_columns
     per_group = (_rank_sums_wide if wide else _rank_sums_long)(long, groups, rows_per_bucket)
     # deviations from the mean rank avoid subtracting two huge sums
-    n_all = per_group.groupBy("variable").agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.max("tie").alias("tie"),
-        F.collect_list(F.struct("n", "r")).alias("parts"))
-    total = F.col("total")
-    spread = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["n"] * F.pow(
-        x["r"] / x["n"] - (total + 1) / 2, F.lit(2.0)))
-    h = (12.0 / (total * (total + 1)) * spread) / F.nullif(
+    per_group, total = per_group.select("variable", "n", "r", "tie"), F.col("total")
+    whole = per_group.groupBy("variable").agg(F.sum("n").alias("total"))
+    away = F.col("r") / F.col("n") - (total + 1) / 2
+    n_all = (per_group.join(F.broadcast(whole), "variable")  # one row per variable
+             .groupBy("variable", "total").agg(F.count(F.lit(1)).alias("k"), F.max("tie").alias("tie"),
+                                               F.sum(F.col("n") * away * away).alias("spread")))
+    h = (12.0 / (total * (total + 1)) * F.col("spread")) / F.nullif(
         1 - F.col("tie") / (total * total * total - total), F.lit(0.0))
     return n_all.select("variable", h.alias("h_stat"), (F.col("k") - 1).alias("df")).withColumn(
         "p_value", chi2_tail_column(F.col("h_stat"), F.col("df")))
@@ -127,8 +128,10 @@ def chi_square_from_counts(cells: DataFrame) -> DataFrame:
     cells = cells.where(F.col("n") > 0)
     total = cells.groupBy("variable").agg(F.sum("n").cast("double").alias("total"))
     o = F.col("n").cast("double")
-    with_margins = (cells.withColumn("rn", F.sum(o).over(Window.partitionBy("variable", "value")))
-                    .withColumn("cn", F.sum(o).over(Window.partitionBy("variable", "stratum")))
+    # a stratum may hold a quarter of all cells: its margin is summed in parts and comes back by a checked broadcast
+    rows = cells.groupBy("variable", "value").agg(F.sum(o).alias("rn"))
+    columns = cells.groupBy("variable", "stratum").agg(F.sum(o).alias("cn"))
+    with_margins = (join_checked(cells.join(rows, ["variable", "value"]), columns, ["variable", "stratum"])
                     .join(F.broadcast(total), "variable"))  # one row per variable
     e = F.col("rn") * F.col("cn") / F.col("total")
     # the cells of a row hold its whole margin, so these sums count rows and add 1/margin once per row

@@ -18,16 +18,31 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 65_536
+SKETCHES = 32
 
 
 def cut_values(df: DataFrame, col: str, rows: int, rows_per_bucket: int | None = None) -> list[float]:
-    """Sorted distinct cut values; empty when everything fits one bucket."""
+    """Sorted distinct cut values; empty when everything fits one bucket.
+
+    Cuts need to be roughly even only. The input's partitions are summarised in ``SKETCHES`` keyed groups, so no single
+    task merges them all; each group sends its own grid, and the grids are merged by weight on the driver, which
+    holds at most ``SKETCHES`` times the number of cuts.
+    """
     n = min(MAX_BUCKETS, math.ceil(rows / (rows_per_bucket or ROWS_PER_BUCKET)))
     if n <= 1:
         return []
     grid = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(col, grid, max(10_000, 8 * n))).first()[0]
-    return sorted(set(float(v) for v in found or []))
+    found = (df.where(F.col(col).isNotNull()).groupBy((F.spark_partition_id() % SKETCHES).alias("k"))
+             .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(col, grid, max(10_000, 8 * n)).alias("at")).collect())
+    points = sorted((float(v), r["n"] / len(r["at"])) for r in found for v in r["at"])
+    step = sum(w for _, w in points) / n
+    cuts, passed = set(), 0.0
+    for value, weight in points:
+        # a value that spans a whole step is always a cut
+        if math.floor(passed / step + 1e-9) != math.floor((passed + weight) / step + 1e-9):
+            cuts.add(value)
+        passed += weight
+    return sorted(cuts)
 
 
 def with_bucket(df: DataFrame, col: str, cuts: Sequence[float], out: str = "bucket") -> DataFrame:

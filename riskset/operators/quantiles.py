@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskset.operators.ordering import running_sums
 from riskset.operators.small import join_checked
@@ -207,11 +208,12 @@ def _inside(long: DataFrame, spans: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def quantile_group(df: DataFrame, col: str, cuts: Sequence[float] | None = None,
                    probs: Sequence[float] = (0.25, 0.5, 0.75), out: str = "group") -> DataFrame:
-    """1 + how many cuts lie strictly below the value; a tie goes to the lower group."""
+    """1 + how many cuts lie strictly below the value; a tie goes to the lower group, a missing value to none."""
     cuts = list(cuts) if cuts is not None else quantile_values(df, col, probs)
-    code = F.lit(1)
+    value = _clean(col) if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)) else F.col(col)
+    code = F.when(value.isNotNull(), F.lit(1))
     for c in cuts:
-        code = code + (F.col(col) > F.lit(c)).cast("int")
+        code = code + (value > F.lit(c)).cast("int")
     return df.withColumn(out, code)
 
 
@@ -245,24 +247,26 @@ def data_distribution(df: DataFrame, numeric: Sequence[str], factors: Sequence[s
     low and high prediction limits, and the observed range.
 
     Numeric rows fill the number columns; factor rows fill ``adjust_level``. The
-    prediction limits are the 10th smallest and largest when there are at least
-    200 rows, else the range.
+    prediction limits are the quantiles at q and 1 - q, q = 10 / max(n, 200), with n
+    the variable's own number of values.
     """
-    n = df.count()
-    tail = 10.0 / max(n, 1)
-    pred = (tail, 1 - tail) if n >= 200 else (0.0, 1.0)
-    probs = sorted({0.0, pred[0], 0.25, 0.5, 0.75, pred[1], 1.0})
     out = []
     if numeric:
-        q = quantile7(df, numeric, probs)
+        sizes = df.agg(*[F.count(_clean(c)).alias(f"n{i}") for i, c in enumerate(numeric)]).first()
+        tails = {c: 10.0 / max(sizes[f"n{i}"], 200) for i, c in enumerate(numeric)}
+        by_tail: dict[float, list[str]] = {}
+        for c, tail in tails.items():
+            by_tail.setdefault(tail, []).append(c)
 
         def at(p, name):
             return F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
 
-        out.append(q.groupBy("variable").agg(
-            at(0.25, "low_effect"), at(0.5, "adjust_to"), at(0.75, "high_effect"),
-            at(pred[0], "low_prediction"), at(pred[1], "high_prediction"),
-            at(0.0, "low"), at(1.0, "high")).withColumn("adjust_level", F.lit(None).cast("string")))
+        for tail, names in by_tail.items():  # variables with as many values share a pass
+            q = quantile7(df, names, sorted({0.0, tail, 0.25, 0.5, 0.75, 1 - tail, 1.0}))
+            out.append(q.groupBy("variable").agg(
+                at(0.25, "low_effect"), at(0.5, "adjust_to"), at(0.75, "high_effect"),
+                at(tail, "low_prediction"), at(1 - tail, "high_prediction"),
+                at(0.0, "low"), at(1.0, "high")).withColumn("adjust_level", F.lit(None).cast("string")))
     if factors:
         blank = [F.lit(None).cast("double").alias(c) for c in (
             "low_effect", "adjust_to", "high_effect", "low_prediction", "high_prediction", "low", "high")]
@@ -285,8 +289,9 @@ def data_distribution(df: DataFrame, numeric: Sequence[str], factors: Sequence[s
 
 def histogram(df: DataFrame, col: str, width: float = 3.0) -> DataFrame:
     """(bin_start, n) for bins of ``width`` aligned at zero."""
-    bin_start = F.floor(F.col(col) / F.lit(float(width))) * F.lit(float(width))
-    return (df.where(F.col(col).isNotNull()).groupBy(bin_start.alias("bin_start"))
+    value = _clean(col)
+    bin_start = F.floor(value / F.lit(float(width))) * F.lit(float(width))
+    return (df.where(value.isNotNull()).groupBy(bin_start.alias("bin_start"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -298,7 +303,7 @@ def box_stats(df: DataFrame, value: str, group: str, reach: float = 1.5) -> Data
     fence = reach * (F.col("q3") - F.col("q1"))
     v = F.col(value)
     inside = v.between(F.col("q1") - fence, F.col("q3") + fence)
-    with_q = join_checked(df.select(group, v).where(v.isNotNull()), q, [group])
+    with_q = join_checked(df.select(group, v).where(_clean(value).isNotNull()), q, [group])
     return with_q.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
@@ -314,7 +319,7 @@ def box_outliers(df: DataFrame, value: str, group: str, reach: float = 1.5) -> D
         F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
     fence = reach * (F.col("q3") - F.col("q1"))
     v = F.col(value)
-    return (join_checked(df.select(group, v), q, [group])
+    return (join_checked(df.select(group, v).where(_clean(value).isNotNull()), q, [group])
             .where((v < F.col("q1") - fence) | (v > F.col("q3") + fence)).select(group, value))
 
 

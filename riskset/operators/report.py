@@ -32,13 +32,16 @@ def format_pval(df: DataFrame, p: str, out: str, digits: int = 3, eps: float = 0
     without trailing zeros.
     """
     c = F.col(p).cast("double")
-    sci = F.format_string(f"%.{digits - 1}e", c)
+    # rounded at its own significant digits on the stored value, so that the text below has nothing left to round
+    power = F.floor(F.log10(F.nullif(F.abs(c), F.lit(0.0))))
+    near = F.coalesce(*[F.when(power == -k, round_n(c, digits - 1 + k)) for k in range(1, 16)], c)
+    sci = F.format_string(f"%.{digits - 1}e", near)
     exponent = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
     mantissa = F.regexp_replace(F.regexp_extract(sci, r"^([0-9.]+)e", 1), r"\.?0+$", "")
     places = F.greatest(F.greatest(F.length(mantissa) - 2, F.lit(0)) - exponent, F.lit(0))
     shared = df.agg(F.max(F.when(c >= eps, places))).first()[0] or 0
     return df.withColumn(out, F.when(c < eps, F.lit(f"<{eps:g}")).when(
-        c.isNotNull(), F.format_string(f"%.{shared}f", c)).otherwise(F.lit("NA")))
+        c.isNotNull(), F.format_string(f"%.{shared}f", round_n(c, shared))).otherwise(F.lit("NA")))
 
 
 def cox_results_pretty(sweep: DataFrame) -> DataFrame:

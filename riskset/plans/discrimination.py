@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskset.functions.columns import format_p_fixed
 from riskset.operators.auc import auc
 from riskset.operators.frame import Model
 from riskset.operators.glm import GlmFit, linear_predictor, logistic_fits
@@ -63,5 +64,5 @@ def score_comparison(table: DataFrame, exposure_label: str, score_labels: Sequen
     # three rows per score
     return (F.broadcast(rows).join(table.select("Model", "C_index"), "Model", "left")
             .select("row_order", "Group", "Subgroup", "C_index",
-                    F.format_string("%.3f", F.col("C_index")).alias("label"))
+                    format_p_fixed("C_index", 3).alias("label"))
             .orderBy("row_order"))

@@ -342,8 +342,9 @@ class CohortStudy:
         two_piece = self.threshold()
         cut = two_piece.where(F.col("row") == "cutpoint").first()["estimate"]
         tables = {
-            "table1_overall": (self.baseline(False), ["row_order", "level"]),
-            "table1_strata": (self.baseline(True), ["row_order", "level", "stratum"]),
+            "table1_overall": (self.baseline(False), ["row_order", "level_order"]),
+            "table1_strata": (self.baseline(True), ["row_order", "level_order", "stratum"]),
+            "table1_print": (tableone.baseline_text(self.baseline(True), [1, 2, 3, 4]), ["row_order", "level_order"]),
             "kaplan_meier_30d": (self.kaplan_meier(), ["stratum", "time"]),
             "risk_table_30d": (self.risk_table(), ["stratum", "time"]),
             "logrank_30d": (self.logrank(), []),
