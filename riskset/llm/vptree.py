@@ -61,7 +61,7 @@ class Tree:
             self.nodes[at] = (int(vantage), split, near, far)
             todo += [(near, rows[inside]), (far, rows[~inside])]
 
-    def nearest(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float, ids: np.ndarray) -> list[np.ndarray]:
+    def nearest(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
         """For each query the rows that may be among its ``k`` nearest (ties included). ``own``: the row to leave out, or -1.
 
         All queries that reach a node look at it together.
@@ -75,7 +75,7 @@ class Tree:
             d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (queries[active] @ self.points[rows].T)))
             usable = np.where(rows[None, :] == own[active, None], np.inf, d)
             worst = best[active, -1]
-            hit = usable <= worst[:, None] + _EPS
+            hit = (usable <= worst[:, None] + _EPS) & np.isfinite(usable)
             for i in np.flatnonzero(hit.any(axis=1)).tolist():
                 q, cols = active[i], hit[i]
                 found[q].append(rows[cols])
@@ -126,7 +126,7 @@ def _search(k: int, factor: float):
             long, asked_long = (np.sqrt((x * x).sum(axis=1, keepdims=True)) for x in (raw, asked))
             own = {v: i for i, v in enumerate(ids.tolist())}
             mine = np.array([own.get(q, -1) for q in asked_ids.tolist()])
-            for q, rows in enumerate(Tree(raw / long).nearest(asked / asked_long, mine, k, factor, ids)):
+            for q, rows in enumerate(Tree(raw / long).nearest(asked / asked_long, mine, k, factor)):
                 rows = np.unique(rows)
                 score = (raw[rows] * asked[q]).sum(axis=1) / (long[rows, 0] * asked_long[q, 0])
                 order = np.lexsort((ids[rows], -score))[:k]
