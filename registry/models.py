@@ -54,14 +54,70 @@ def t3(spark, d):
     return rounded(threshold.refinement_window(lineitem(spark, d, "l_extendedprice"), "l_extendedprice", 0.40))
 
 
-@query("t4_narrowing")
+def _narrowing_sql() -> str:
+    """The trace of the search in closed form.
+
+    With the base terms made orthogonal (u the centred price, v the tax without it, e the residual of the outcome), a
+    cut's fit needs sums over the rows beyond it only, which running sums hold for every value.
+    """
+    sums = ["sum(1.0)", "sum(u)", "sum(u * u)", "sum(v)", "sum(v * u)", "sum(e)", "sum(e * u)"]
+    names = ["n", "u", "uu", "v", "vu", "e", "eu"]
+    h = {"h": "(s_u - c * s_n)", "hh": "(s_uu - 2 * c * s_u + c * c * s_n)", "hu": "(s_uu - c * s_u)",
+         "hv": "(s_vu - c * s_v)", "he": "(s_eu - c * s_e)"}
+    rss = (f"(ee - {h['he']} ** 2 / ({h['hh']} - {h['h']} ** 2 / n - {h['hu']} ** 2 / uu - {h['hv']} ** 2 / vv))")
+    ll = f"-n / 2 * (ln(2 * pi()) + ln({rss} / n) + 1)"
+    rank = lambda p: f"""(first - 1 + least(greatest(CASE WHEN (last - first + 1) * {p} - 0.5 = floor((last - first + 1) * {p} - 0.5)
+        AND floor((last - first + 1) * {p} - 0.5)::BIGINT % 2 = 0 THEN floor((last - first + 1) * {p} - 0.5)
+        ELSE floor((last - first + 1) * {p} - 0.5) + 1 END, 1), last - first + 1))::BIGINT"""
+    return f"""WITH RECURSIVE
+    r0 AS (SELECT l_extendedprice AS x, l_tax AS t, l_quantity AS y FROM lineitem),
+    m AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, avg(t) AS mt, avg(y) AS my FROM r0),
+    r1 AS (SELECT x, (x - mx) / 1e4 AS u, t - mt AS t, y - my AS y FROM r0, m),
+    b1 AS (SELECT sum(u * u) AS uu, sum(t * u) / sum(u * u) AS tu, sum(y * u) / sum(u * u) AS yu FROM r1),
+    r2 AS (SELECT x, u, t - tu * u AS v, y - yu * u AS y FROM r1, b1),
+    b2 AS (SELECT sum(v * v) AS vv, sum(y * v) / sum(v * v) AS yv FROM r2),
+    rr AS MATERIALIZED (SELECT x, u, v, y - yv * v AS e FROM r2, b2),
+    b AS MATERIALIZED (SELECT n, mx, uu, vv, (SELECT sum(e * e) FROM rr) AS ee FROM m, b1, b2),
+    cc AS (SELECT unnest(range(19)) AS i, unnest(quantile_cont(x, {COARSE})) AS cut FROM r0),
+    cs AS (SELECT i, cut, (cut - any_value(mx)) / 1e4 AS c, {', '.join(f'{s} AS s_{n}' for s, n in zip(sums, names))}
+           FROM cc JOIN rr ON x > cut, b GROUP BY i, cut),
+    coarse AS MATERIALIZED (SELECT i, cut, {ll} AS ll FROM cs, b),
+    top AS (SELECT arg_max(i, ll) AS i FROM coarse),
+    ends AS (SELECT unnest(range(19)) AS i, unnest(quantile_cont(x, {[max(p - 0.04, 0.05) for p in COARSE]})) AS lo,
+                    unnest(quantile_cont(x, {[min(p + 0.04, 0.95) for p in COARSE]})) AS hi FROM r0),
+    win AS (SELECT lo, hi FROM ends JOIN top USING (i)),
+    dv AS (SELECT x, {', '.join(f'{s} AS d_{n}' for s, n in zip(sums, names))} FROM rr GROUP BY x),
+    beyond AS (SELECT x, {', '.join(f'coalesce(sum(d_{n}) OVER w, 0) AS s_{n}' for n in names)} FROM dv
+               WINDOW w AS (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    fits AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cut) AS r, cut, {ll} AS ll
+             FROM (SELECT x AS cut, (x - mx) / 1e4 AS c, {', '.join(f's_{n}' for n in names)} FROM beyond, b), b, win WHERE cut > lo AND cut < hi),
+    narrow AS (
+      SELECT 0 AS step, 1::BIGINT AS first, (SELECT count(*) FROM fits) AS last, NULL::BIGINT AS r1, NULL::BIGINT AS r2, NULL::BIGINT AS r3, NULL::INT AS best
+      UNION ALL
+      SELECT step + 1, CASE best WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END, CASE best WHEN 0 THEN q2 WHEN 1 THEN q3 ELSE q4 END, q1, q2, q3, best
+      FROM (SELECT step, q0, q1, q2, q3, q4, CASE WHEN f1.ll >= f2.ll AND f1.ll >= f3.ll THEN 0 WHEN f2.ll >= f3.ll THEN 1 ELSE 2 END AS best
+            FROM (SELECT step, {rank('0.0')} AS q0, {rank('0.25')} AS q1, {rank('0.5')} AS q2, {rank('0.75')} AS q3, {rank('1.0')} AS q4
+                  FROM narrow WHERE last - first + 1 > 5) s
+            JOIN fits f1 ON f1.r = q1 JOIN fits f2 ON f2.r = q2 JOIN fits f3 ON f3.r = q3)),
+    fin AS (SELECT f.r, f.cut, f.ll FROM fits f, (SELECT first, last FROM narrow ORDER BY step DESC LIMIT 1) WHERE f.r BETWEEN first AND last),
+    trace AS (
+      SELECT 0 AS part, i AS k, 'coarse' AS stage, cut, ll, i = (SELECT i FROM top) AS best FROM coarse
+      UNION ALL SELECT step, k, 'narrow' || step, cut, ll, k = best
+        FROM (SELECT step, best, unnest([0, 1, 2]) AS k, unnest([r1, r2, r3]) AS pos FROM narrow WHERE step > 0) JOIN fits ON fits.r = pos
+      UNION ALL SELECT 1000, r, 'final', cut, ll, r = (SELECT arg_max(r, ll) FROM fin) FROM fin)
+    SELECT (row_number() OVER (ORDER BY part, k))::INT AS step, stage, round(cut, 6) AS cut, round(ll, 4) AS loglik, best,
+           (SELECT round(arg_max(cut, ll), 3) FROM fin) AS found
+    FROM trace"""
+
+
+@query("t4_narrowing", _narrowing_sql())
 def t4(spark, d):
     trace: list = []
     found = threshold.threshold_search(_frame(spark, d), "l_extendedprice", "gaussian", _tax(),
                                        outcome="l_quantity", trace=trace)
     rows = [(i, stage, float(c), float(ll), bool(b)) for i, (stage, c, ll, b) in enumerate(trace, 1)]
     t = spark.createDataFrame(rows, "step int, stage string, cut double, loglik double, best boolean")
-    return t.withColumn("found", F.lit(float(found)))
+    return rounded(t.withColumn("found", F.lit(float(found))), 6, loglik=4)
 
 
 _WINDOW_VALUES = """(SELECT DISTINCT l_quantity AS cut FROM lineitem,

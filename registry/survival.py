@@ -344,13 +344,18 @@ def v17(spark, d):
 
 @query("v18_wald_anova", f"""WITH {_SPLINE_CTES},
     q AS (SELECT (v_2_2 * b1 * b1 - 2 * v_1_2 * b1 * b2 + v_1_1 * b2 * b2) / (v_1_1 * v_2_2 - v_1_2 * v_1_2) AS o,
-                 b2 * b2 / v_2_2 AS nl, b3 * b3 / v_3_3 AS tx FROM fit)
+                 b2 * b2 / v_2_2 AS nl, b3 * b3 / v_3_3 AS tx,
+                 (b1 * b1 * (v_2_2 * v_3_3 - v_2_3 * v_2_3) + b2 * b2 * (v_1_1 * v_3_3 - v_1_3 * v_1_3)
+                  + b3 * b3 * (v_1_1 * v_2_2 - v_1_2 * v_1_2) + 2 * b1 * b2 * (v_1_3 * v_2_3 - v_1_2 * v_3_3)
+                  + 2 * b1 * b3 * (v_1_2 * v_2_3 - v_1_3 * v_2_2) + 2 * b2 * b3 * (v_1_2 * v_1_3 - v_1_1 * v_2_3))
+                 / (v_1_1 * (v_2_2 * v_3_3 - v_2_3 * v_2_3) - v_1_2 * (v_1_2 * v_3_3 - v_2_3 * v_1_3)
+                    + v_1_3 * (v_1_2 * v_2_3 - v_2_2 * v_1_3)) AS al FROM fit)
     SELECT 'l_quantity' AS term, round(o, 5) AS chisq, 2 AS df, round({chi2_p('o', '2')}, 5) AS p_value FROM q
     UNION ALL SELECT ' Nonlinear', round(nl, 5), 1, round({chi2_p('nl', '1')}, 5) FROM q
-    UNION ALL SELECT 'l_tax', round(tx, 5), 1, round({chi2_p('tx', '1')}, 5) FROM q""")
+    UNION ALL SELECT 'l_tax', round(tx, 5), 1, round({chi2_p('tx', '1')}, 5) FROM q
+    UNION ALL SELECT 'TOTAL', round(al, 5), 3, round({chi2_p('al', '3')}, 5) FROM q""")
 def v18(spark, d):
-    t = _spline(spark, d).wald_anova().where(F.col("term") != "TOTAL").drop("row_order")
-    return rounded(t, 5)
+    return rounded(_spline(spark, d).wald_anova().drop("row_order"), 5)
 
 
 @query("v19_hr_curve", f"""WITH {_SPLINE_CTES},
@@ -412,8 +417,10 @@ def v20(spark, d):
                 ELSE '  ' || level END AS "Subgroup",
            coalesce(events_low || '/' || total_low || ' ', ' ') AS "Low", coalesce(events_high || '/' || total_high || ' ', ' ') AS "High",
            CASE WHEN estimate IS NULL THEN ' ' ELSE {_num('estimate', 2)} || ' (' || {_num('lower', 2)} || '-' || {_num('upper', 2)} || ')' END AS "Hazard Ratio (95% CI)",
+           CASE WHEN estimate IS NULL THEN ' ' ELSE {_num('estimate', 2)} END AS "Point Estimate",
+           CASE WHEN p_value IS NULL THEN ' ' WHEN p_value < 0.001 THEN '<0.001' ELSE format('{{:.3f}}', p_value) END AS "P value",
            CASE WHEN p_interaction IS NULL THEN ' ' WHEN p_interaction < 0.001 THEN '<0.001' ELSE format('{{:.3f}}', p_interaction) END AS "P for interaction"
     FROM g""")
 def v21(spark, d):
     t = report.forest_table(_subgroups(spark, d), {"half": "Line part", "l_linestatus": "Status"})
-    return t.select("Subgroup", "Low", "High", "Hazard Ratio (95% CI)", "P for interaction")
+    return t.select("Subgroup", "Low", "High", "Hazard Ratio (95% CI)", "Point Estimate", "P value", "P for interaction")

@@ -136,6 +136,7 @@ def _spread(df: DataFrame, rows: int) -> DataFrame:
     Inputs of many files are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    # the frame is persisted and has been read by now, so asking for its partitions runs nothing
     if rows < 20_000 or df.rdd.getNumPartitions() >= cores:
         return df
     wider = df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
@@ -209,10 +210,11 @@ def fold(df: DataFrame, kernel: Callable, doubles: int) -> dict[tuple[int, int],
 
     ``doubles`` bounds one task's vectors, and so the result. When all tasks' vectors
     together are within the same bound they are added on the driver, which saves a
-    shuffle; otherwise Spark adds them first.
+    shuffle; otherwise, and where the tasks of an unpersisted plan can't be counted
+    without running part of it, Spark adds them first.
     """
     partial = df.mapInArrow(kernel, PARTIAL_SCHEMA)
-    if doubles * df.rdd.getNumPartitions() > STATE_DOUBLES:
+    if not df.is_cached or doubles * df.rdd.getNumPartitions() > STATE_DOUBLES:
         partial = partial.groupBy("model", "bucket").agg(
             vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
     table = partial.toArrow()

@@ -23,6 +23,8 @@ from riskset.operators.small import join_checked
 DISTINCT_IN_MEMORY = 200_000
 ENTRIES_IN_MEMORY = 2_000_000
 GROUPS_IN_DRIVER = 2_000
+# value ranges searched at once from the driver; each sends at most a few thousand counts per pass, a million in all
+SPANS_IN_DRIVER = 10_000
 _BINS = 4096
 
 
@@ -58,7 +60,9 @@ def quantile7(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
                      F.element_at(F.col(f"q_{i}"), j + 1).alias("value"))
             for i in few for j, p in enumerate(probs)]))
         parts.append(agg.select(*by, entries.alias("__cell")).select(*by, "__cell.*"))
-    if many:
+    if many and len(profile) * len(many) * 2 * len(probs) > SPANS_IN_DRIVER:
+        parts.append(_by_running_count(df, [cols[i] for i in many], probs, by).select(*by, "variable", "prob", "value"))
+    elif many:
         sizes_at = {(tuple(r[b] for b in by), cols[i]): (r[f"n_{i}"], r[f"lo_{i}"], r[f"hi_{i}"])
                     for r in profile for i in many}
         rows = _narrowed(df, [cols[i] for i in many], probs, by, sizes_at, limit)
@@ -87,7 +91,7 @@ def _by_running_count(df, cols, probs, by) -> DataFrame:
     wanted = totals.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
     h = (F.col("total") - 1) * F.col("prob")
     wanted = wanted.select("*", h.alias("h"), (F.floor(h) + 1).alias("lo"), (F.ceil(h) + 1).alias("hi"))
-    joined = ranked.join(wanted, keys)
+    joined = join_checked(ranked, wanted, keys)
     first = F.col("cum_n") - F.col("n") + 1
 
     def holding(rank):
