@@ -38,6 +38,7 @@ def v1(spark, d):
 @query("v1_kaplan_meier_many_times",
        f"WITH {_km_ctes('l_extendedprice', 'l_linestatus', _LI)} SELECT * FROM km")
 def v1_many(spark, d):
+    """With small buckets, so that running sums cross several at this size."""
     return rounded(km.kaplan_meier(_km_frame(spark, d), "l_extendedprice", "ev", "l_linestatus",
                                    rows_per_bucket=20_000), 8)
 
@@ -138,6 +139,7 @@ def v5(spark, d):
     WITH {cox_ctes(_cells("'model'", 'l_extendedprice', ['l_discount', 'l_tax']), 2)}
     {_terms('fit', 2, ['l_discount', 'l_tax'])}""")
 def v5_many(spark, d):
+    """With a low limit on times held as points, so that the bucketed path is the one compared with SQL at this size."""
     df = _cox_frame(spark, d)
     fit = cox.cox_fit(df, "l_extendedprice", "ev", design.numeric_terms("l_discount", "l_tax"), max_points=1000,
                       rows_per_bucket=25_000)

@@ -23,22 +23,23 @@ from riskset.sources.tables import with_nan_as_null, write_table
 
 # The columns, spellings, groupings and labels of the study.
 
-DROPPED = (
-    "subject_id hadm_id stay_id marital_status insurance language dischtime admittime icu_intime icu_outtime "
-    "careunit dod hospital_expire_flag icu_expire_flag survival_days smoker alcohol_abuse mild_liver_disease "
-    "peripheral_vascular_disease dementia peptic_ulcer_disease paraplegia metastatic_solid_tumor aids "
-    "diagnosis_long_title1 meld sepsis sepsis_time aki aki_time lvef_min microbiology sbp_ni_first dbp_ni_first "
-    "mbp_ni_first ph_first po2_first pco2_first so2_first aado2_first aado2_calc_first baseexcess_first "
-    "totalco2_first methemoglobin_first carboxyhemoglobin_first calcium_free_first nrbc_first "
-    "eosinophils_abs_first basophils_abs_first eosinophils_first monocytes_first basophils_first "
-    "monocytes_abs_first lymphocytes_first metamyelocytes_first immature_granulocytes_first "
-    "atypical_lymphocytes_first hematocrit_first mch_first mcv_first mchc_first rdw_first rdwsd_first rbc_first "
-    "crp_first total_protein_first globulin_first fibrinogen_first thrombin_first d_dimer_first ck_mb_first "
-    "troponin_t_first ntprobnp_first alp_first ggt_first ck_cpk_first amylase_first ld_ldh_first glucose_first "
-    "hemoglobin_a1c_first HDL_first LDL_first antibiotic_first cam_icu_first heart_rhythm_first "
-    "invasiveVent_hours_first non_invasiveVent_hours_first HFNC_hours_first input_rbc_sum input_plt_sum "
-    "input_plasma_sum"
-).split()
+DROPPED = [
+    "subject_id", "hadm_id", "stay_id", "marital_status", "insurance", "language", "dischtime", "admittime",
+    "icu_intime", "icu_outtime", "careunit", "dod", "hospital_expire_flag", "icu_expire_flag", "survival_days",
+    "smoker", "alcohol_abuse", "mild_liver_disease", "peripheral_vascular_disease", "dementia",
+    "peptic_ulcer_disease", "paraplegia", "metastatic_solid_tumor", "aids", "diagnosis_long_title1", "meld", "sepsis",
+    "sepsis_time", "aki", "aki_time", "lvef_min", "microbiology", "sbp_ni_first", "dbp_ni_first", "mbp_ni_first",
+    "ph_first", "po2_first", "pco2_first", "so2_first", "aado2_first", "aado2_calc_first", "baseexcess_first",
+    "totalco2_first", "methemoglobin_first", "carboxyhemoglobin_first", "calcium_free_first", "nrbc_first",
+    "eosinophils_abs_first", "basophils_abs_first", "eosinophils_first", "monocytes_first", "basophils_first",
+    "monocytes_abs_first", "lymphocytes_first", "metamyelocytes_first", "immature_granulocytes_first",
+    "atypical_lymphocytes_first", "hematocrit_first", "mch_first", "mcv_first", "mchc_first", "rdw_first",
+    "rdwsd_first", "rbc_first", "crp_first", "total_protein_first", "globulin_first", "fibrinogen_first",
+    "thrombin_first", "d_dimer_first", "ck_mb_first", "troponin_t_first", "ntprobnp_first", "alp_first", "ggt_first",
+    "ck_cpk_first", "amylase_first", "ld_ldh_first", "glucose_first", "hemoglobin_a1c_first", "HDL_first",
+    "LDL_first", "antibiotic_first", "cam_icu_first", "heart_rhythm_first", "invasiveVent_hours_first",
+    "non_invasiveVent_hours_first", "HFNC_hours_first", "input_rbc_sum", "input_plt_sum", "input_plasma_sum",
+]
 
 WHOLE_NUMBERS = ["admission_age", "los_hospital", "los_icu", "height"]
 NUMBERS = ["temperature_first", "lymphocytes_abs_first", "neutrophils_abs_first", "CVP_first"]
@@ -87,24 +88,30 @@ RENAMED = {
 }
 VASOACTIVE = ["custom_VP", "custom_EPIs", "custom_DOPA", "custom_DOBU"]
 
-NONNORMAL = (
-    "age los_hospital los_icu weight APS_III SAPS_II SIRS lods charlson oasis GCS SOFA temperature heart_rate "
-    "resp_rate sbp dbp mbp spo2 wbc lymphocytes_abs neutrophils_abs neutrophils platelet albumin creatinine bun "
-    "aniongap calcium_total pt ptt inr alt ast bilirubin_total chloride potassium sodium bicarbonate hemoglobin "
-    "magnesium phosphate input_all_sum output_all_sum output_urine_sum PNI"
-).split()
-CATEGORICAL = (
-    "gender race mortality_28 mortality_30 mortality_90 mortality_365 hypertension diabetes myocardial_infarct "
-    "congestive_heart_failure severe_liver_disease renal_disease chronic_pulmonary_disease cerebrovascular_disease "
-    "malignant_cancer rheumatic_disease AKI_stage MV cpr crrt immunity_inhibitor glucocorticoid albumin_infusion "
-    "vasoactive_agent"
-).split()
+NONNORMAL = [
+    "age", "los_hospital", "los_icu", "weight", "APS_III", "SAPS_II", "SIRS", "lods", "charlson", "oasis", "GCS",
+    "SOFA", "temperature", "heart_rate", "resp_rate", "sbp", "dbp", "mbp", "spo2", "wbc", "lymphocytes_abs",
+    "neutrophils_abs", "neutrophils", "platelet", "albumin", "creatinine", "bun", "aniongap", "calcium_total", "pt",
+    "ptt", "inr", "alt", "ast", "bilirubin_total", "chloride", "potassium", "sodium", "bicarbonate", "hemoglobin",
+    "magnesium", "phosphate", "input_all_sum", "output_all_sum", "output_urine_sum", "PNI",
+]
+CATEGORICAL = [
+    "gender", "race", "mortality_28", "mortality_30", "mortality_90", "mortality_365", "hypertension", "diabetes",
+    "myocardial_infarct", "congestive_heart_failure", "severe_liver_disease", "renal_disease",
+    "chronic_pulmonary_disease", "cerebrovascular_disease", "malignant_cancer", "rheumatic_disease", "AKI_stage",
+    "MV", "cpr", "crrt", "immunity_inhibitor", "glucocorticoid", "albumin_infusion", "vasoactive_agent",
+]
 
 NOT_CANDIDATES = ["los_icu", "mortality_28", "mortality_90", "mortality_365", *VASOACTIVE]
-MODEL2 = ("age weight myocardial_infarct congestive_heart_failure severe_liver_disease malignant_cancer cpr "
-          "crrt").split()
-MODEL3 = MODEL2 + ("platelet hemoglobin creatinine bun aniongap calcium_total pt ptt inr ast bilirubin_total "
-                   "potassium bicarbonate magnesium phosphate SOFA GCS charlson AKI_stage").split()
+MODEL2 = [
+    "age", "weight", "myocardial_infarct", "congestive_heart_failure", "severe_liver_disease", "malignant_cancer",
+    "cpr", "crrt",
+]
+MODEL3 = [
+    *MODEL2,
+    "platelet", "hemoglobin", "creatinine", "bun", "aniongap", "calcium_total", "pt", "ptt", "inr", "ast",
+    "bilirubin_total", "potassium", "bicarbonate", "magnesium", "phosphate", "SOFA", "GCS", "charlson", "AKI_stage",
+]
 SPLINE = [c for c in MODEL3 if c != "GCS"]
 
 SUBGROUPS = {
@@ -345,6 +352,10 @@ class CohortStudy:
             "table1_overall": (self.baseline(False), ["row_order", "level_order"]),
             "table1_strata": (self.baseline(True), ["row_order", "level_order", "stratum"]),
             "table1_print": (tableone.baseline_text(self.baseline(True), [1, 2, 3, 4]), ["row_order", "level_order"]),
+            "missing_profile": (self.missing_profile(), []),
+            "fence_report": (self.fence_report(), []),
+            "box_statistics": (self.box(), ["group"]),
+            "box_test": (self.box_test(), []),
             "kaplan_meier_30d": (self.kaplan_meier(), ["stratum", "time"]),
             "risk_table_30d": (self.risk_table(), ["stratum", "time"]),
             "logrank_30d": (self.logrank(), []),

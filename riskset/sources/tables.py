@@ -14,13 +14,16 @@ def read_cohort(
     path: str,
     schema: T.StructType | str | None = None,
     columns: Sequence[str] | None = None,
+    fmt: str | None = None,
 ) -> DataFrame:
-    """Read a cohort by file extension: Parquet, ORC, JSON, else CSV with a header row.
+    """Read a cohort: Parquet, ORC, JSON, or CSV with a header row.
+
+    The format is ``fmt``; without it the path's extension, else CSV.
 
     Text formats need a declared ``schema``: letting the reader infer one costs a
     pass over all the data. ``columns`` narrows the scan.
     """
-    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
