@@ -286,7 +286,9 @@ class RiskLayout:
         self.buckets = 2 * len(cuts) + 1
         on_cut = F.col("bucket") % 2 == 0
         # only rows strictly between cuts move, each bucket a bounded share of all rows
-        inner = parted.where(~on_cut).repartition(len(cuts) + 1, "bucket").sortWithinPartitions(
+        # and a partition of its own: open buckets are the odd numbers
+        inner = parted.where(~on_cut).repartitionById(
+            len(cuts) + 1, F.floor((F.col("bucket") - 1) / 2).cast("int")).sortWithinPartitions(
             F.col("bucket"), F.col("a").desc())
         self.moved = inner.persist(StorageLevel.MEMORY_AND_DISK)
         self.parted = parted.where(on_cut).unionByName(self.moved) if cuts else self.moved
