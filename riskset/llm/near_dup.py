@@ -2,16 +2,19 @@
 
 Steps, each of which leaves a narrow table in the shared folder:
 
-1. Every text becomes the multiset of its five-word shingles (A-Z lower-cased), a BagMinHash signature of 128 registers
+1. Every text becomes the multiset of its five-word shingles (A-Z lower-cased), a BagMinHash signature of 256 registers
    and a hash of the multiset. Texts with equal multisets form a class; from here on only the class's smallest id goes on.
 2. 32 bands of four registers give bucket keys. A link of similarity 0.8 is in no common bucket with probability 5e-8.
-3. Inside a bucket, members are read in order of their id and compared by signature. Members almost surely similar
-   form clusters; a member becomes a candidate partner of the two likeliest members of every cluster it may be similar
-   to, so that a group of copies yields pairs in proportion to its size, not to its square. Buckets of more than
-   ``CHUNK`` members are dealt to several tasks; members that are not almost surely similar to one kept already lead
-   their part, and the leaders meet again in buckets of one band more, until no bucket is divided.
-4. Candidate pairs are checked on the shingle counts themselves, first the most likely pair of each document, then those
-   whose ends are not yet connected. A class is a connected component of the links found right.
+3. Inside a bucket, members are read in order of their id and compared by signature; each becomes a candidate partner
+   of the two likeliest before it. The three likeliest partners of each document are checked on the shingle counts
+   themselves, and the links found right joined to components.
+4. Buckets that hold members of several components are read again, and every pair of different components whose
+   estimate does not rule the similarity out (four standard deviations below it) is checked. So a group of copies costs
+   pairs in proportion to its size, not to its square, and no component misses a link to another.
+   Buckets of more than ``CHUNK`` members are dealt to several tasks; members that are not almost surely similar to one
+   kept already lead their part, and the leaders meet again in buckets of one band more, until no bucket is divided.
+
+A class is a connected component of the links found right.
 
 Defined results: a null, empty or blank text has no shingles and is a class of its own. A null id stays a row with a
 null class. Rows repeated with the same id and text are one document; rows that share an id but not the text are told
@@ -27,24 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskset.llm.bagminhash import REGISTERS, fingerprints, signatures
+from pyspark.sql.window import Window
+
+from riskset.llm.bagminhash import fingerprints, signatures
 from riskset.llm.common import U64, hinted, mix, small_enough, stored, task_batch, text_slices
 from riskset.llm.components import components
 from riskset.llm.shingles import WORDS, bags, overlap
 
 SIMILARITY = 0.8
+REGISTERS = 256
 ROWS_PER_BAND = 4
-BANDS = REGISTERS // ROWS_PER_BAND
+BANDS = 32
 CHUNK = 2048  #: members of a bucket that one task compares
-SLACK = 0.14  #: a signature's estimate this far below the limit, four standard deviations, ends a candidate
-SURE = 0.90  #: by estimate, a member joins its leader
+SLACK = 0.10  #: a signature's estimate this far below the limit, four standard deviations, ends a candidate
+SURE = 0.90  #: by estimate, a member follows its leader
+BEST = 2  #: partners from a bucket at first
+CHECKED = 3  #: partners of a document checked at first
 VERIFY_GROUP = 256  #: partners checked beside one copy of a document's shingles
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("weight", pa.int64()),
                      ("prints", pa.binary())])
-#: a candidate pair, or (bucket not null) a leader a of weight b
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likely", pa.float32()), ("bucket", pa.int64()),
-                    ("band", pa.int32()), ("prints", pa.binary())])
+#: a candidate pair, or (bucket not null) a leader a
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likely", pa.float32()), ("bucket", pa.int64()), ("band", pa.int32())])
 _BAGS = pa.schema([("doc_id", pa.int64()), ("bag", pa.binary())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -56,7 +63,7 @@ def _sign(words: int):
             sizes = np.array([len(h) for h, _ in sets], dtype=np.int64)
             every = np.concatenate([h for h, _ in sets]) if sets else np.zeros(0, U64)
             counts = np.concatenate([c for _, c in sets]).astype(np.float64) if sets else np.zeros(0)
-            prints = fingerprints(signatures(every, counts, sizes))
+            prints = fingerprints(signatures(every, counts, sizes, REGISTERS))
             one, two = [], []
             for h, c in sets:
                 x = mix(h ^ (c.astype(U64) * U64(0x9E3779B97F4A7C15)))
@@ -69,53 +76,53 @@ def _sign(words: int):
 
 
 class _Bucket:
-    """The members of one part of a bucket, in the order read: their leaders and clusters by estimate."""
+    """The members of one part of a bucket, in the order read."""
 
-    def __init__(self, limit: float):
-        self.limit, self.ratio, self.n = limit - SLACK, limit, 0
+    def __init__(self, limit: float, across: bool, band: int | None):
+        self.limit, self.ratio, self.across, self.band, self.n = limit - SLACK, limit, across, band, 0
         self.ids: list[int] = []
         self._room(16)
 
     def _room(self, size: int) -> None:
         grown = {"prints": np.zeros((size, REGISTERS), np.uint16), "weights": np.zeros(size),
-                 "cluster": np.zeros(size, np.int64), "leads": np.zeros(size, bool)}
+                 "component": np.zeros(size, np.int64), "leads": np.zeros(size, bool)}
         for name, new in grown.items():
             if self.n:
                 new[:self.n] = getattr(self, name)[:self.n]
             setattr(self, name, new)
 
-    def add(self, doc: int, weight: int, prints: np.ndarray) -> list[tuple[int, float]]:
-        """The members to check ``doc`` against, with the estimates: in each cluster the two likeliest."""
-        n, found = self.n, []
+    def add(self, doc: int, weight: int, component: int, prints: np.ndarray) -> list[tuple[int, float]]:
+        """The members to check ``doc`` against, with the estimates.
+
+        ``across``: all that may be similar, of other components; else the ``BEST`` likeliest. With ``band``, those only
+        that agree in no band before it, so that a pair is found once.
+        """
+        n, found, leads = self.n, [], True
         if n == len(self.prints):
             self._room(2 * n)
-        own, leads = n, True
         if n:
             like = np.count_nonzero(self.prints[:n] == prints, axis=1) / REGISTERS
             w = self.weights[:n]
             like[np.minimum(w, weight) < self.ratio * np.maximum(w, weight) - 1e-9] = 0.0
-            cluster = self.cluster[:n]
-            near = np.flatnonzero(like >= self.limit)
-            near = near[np.argsort(-like[near], kind="stable")].tolist()
-            seen: dict[int, int] = {}
-            for i in near:
-                c = int(cluster[i])
-                if seen.setdefault(c, 0) < 2:
-                    seen[c] += 1
-                    found.append((self.ids[i], float(like[i])))
-                if like[i] >= SURE and c != own:
-                    if own == n:
-                        own = c
-                    else:
-                        cluster[cluster == c] = own
             leads = not (self.leads[:n] & (like >= SURE)).any()
-        self.prints[n], self.weights[n], self.cluster[n], self.leads[n] = prints, weight, own, leads
+            near = np.flatnonzero((like >= self.limit) & (self.component[:n] != component))
+            if not self.across and len(near) > BEST:
+                near = near[np.argsort(-like[near], kind="stable")[:BEST]]
+            if self.across and self.band is not None and len(near):
+                banded = ROWS_PER_BAND * BANDS
+                same = (self.prints[near, :banded] == prints[:banded]).reshape(len(near), BANDS, ROWS_PER_BAND).all(axis=2)
+                near = near[same.argmax(axis=1) == self.band]
+            found = [(self.ids[i], float(like[i])) for i in near.tolist()]
+        self.prints[n], self.weights[n], self.component[n], self.leads[n] = prints, weight, component, leads
         self.ids.append(doc)
         self.n = n + 1
         return found
 
 
-def _compare(limit: float):
+_MEMBER = ("bucket", "part", "next", "parts", "doc_id", "weight", "component", "prints")
+
+
+def _compare(limit: float, across: bool, once: bool):
     """Streams rows sorted by (bucket, part, doc_id); yields candidate pairs, and the leaders of divided buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,17 +136,16 @@ def _compare(limit: float):
         def close():
             if divided:
                 for k in np.flatnonzero(bucket.leads[:bucket.n]).tolist():
-                    put(bucket.ids[k], int(bucket.weights[k]), 0.0, held[0], held[2], bucket.prints[k].tobytes())
+                    put(bucket.ids[k], None, None, held[0], held[2])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "part", "next", "parts", "doc_id", "weight", "prints")]
-            for key, part, band, parts, doc, weight, prints in zip(*cols):
+            for key, part, band, parts, doc, weight, component, prints in zip(*(batch.column(c).to_pylist() for c in _MEMBER)):
                 if (key, part, band) != held:
                     close()
-                    held, divided, bucket = (key, part, band), parts > 1, _Bucket(limit)
-                for other, rate in bucket.add(doc, weight, np.frombuffer(prints, np.uint16)):
+                    held, divided, bucket = (key, part, band), parts > 1, _Bucket(limit, across, band if once else None)
+                for other, rate in bucket.add(doc, weight, component, np.frombuffer(prints, np.uint16)):
                     if other != doc:
-                        put(min(doc, other), max(doc, other), rate, None, None, None)
+                        put(min(doc, other), max(doc, other), rate, None, None)
             if len(rows["a"]) >= 20_000:
                 yield task_batch(rows, _PAIRS)
                 rows = {f.name: [] for f in _PAIRS}
@@ -150,35 +156,36 @@ def _compare(limit: float):
     return run
 
 
-def _banded(rows: DataFrame) -> DataFrame:
-    """(doc_id, bucket, next): a key for every band after ``band``, joined to the bucket the row is in already."""
+def _shared(level: DataFrame) -> DataFrame:
+    """(doc_id, bucket, next, n): the buckets of several members.
+
+    ``level`` has (doc_id, prints, bucket, band); a row gets a key for every band from ``band`` on, joined to the
+    bucket it is in already.
+    """
     size = 2 * ROWS_PER_BAND
-    return (rows.filter(F.col("band") < BANDS)
+    keys = (level.filter(F.col("band") < BANDS)
             .withColumn("next", F.explode(F.sequence(F.col("band"), F.lit(BANDS - 1))))
             .select("doc_id", F.xxhash64("bucket", "next", F.expr(f"substring(prints, next * {size} + 1, {size})")).alias("bucket"), "next"))
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return keys.join(sizes, "bucket").select("doc_id", "bucket", "next", "n")
 
 
-def _candidates(reps: DataFrame, limit: float) -> DataFrame:
-    """Distinct pairs (a, b, likely) that may reach ``limit``."""
-    level = reps.withColumn("bucket", F.lit(0).cast("long")).withColumn("band", F.lit(0))
-    found = None
+def _candidates(shared: DataFrame, reps: DataFrame, limit: float, across: bool) -> DataFrame:
+    """Distinct pairs (a, b, likely) of members of one bucket. ``reps``: (doc_id, weight, component, prints)."""
+    found, once = None, shared.filter(F.col("n") > CHUNK).isEmpty()  # members of a divided bucket may miss each other in it
     while True:
-        keys = _banded(level)
-        sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = (keys.join(sizes, "bucket").join(reps, "doc_id")
-                .withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("long"))
+        rows = (shared.join(reps, "doc_id").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("long"))
                 .withColumn("part", F.pmod(F.xxhash64("doc_id", "bucket"), "parts")))
-        out = stored(rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "doc_id")
-                     .select("bucket", "part", "next", "parts", "doc_id", "weight", "prints")
-                     .mapInArrow(_compare(limit), "a long, b long, likely float, bucket long, band int, prints binary"), "compared")
+        out = stored(rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "doc_id").select(*_MEMBER)
+                     .mapInArrow(_compare(limit, across, once), "a long, b long, likely float, bucket long, band int"), "compared")
         pairs = out.filter("bucket is null").groupBy("a", "b").agg(F.max("likely").alias("likely"))
         found = pairs if found is None else found.union(pairs)
         leaders = out.filter("bucket is not null")
         if small_enough(leaders, 0):
             return stored(found.groupBy("a", "b").agg(F.max("likely").alias("likely")), "pairs")
         # the leaders of divided buckets meet again under one band more
-        level = leaders.select(F.col("a").alias("doc_id"), F.col("b").alias("weight"), "prints", "bucket",
-                               (F.col("band") + 1).alias("band"))
+        level = leaders.select(F.col("a").alias("doc_id"), "bucket", (F.col("band") + 1).alias("band")).join(reps, "doc_id")
+        shared = _shared(level)
 
 
 def _pack(words: int):
@@ -218,8 +225,11 @@ def _check(limit: float):
     return run
 
 
-def _links(pairs: DataFrame, packed: DataFrame, limit: float) -> DataFrame:
-    """The pairs whose multisets overlap enough."""
+def _links(source: DataFrame, pairs: DataFrame, limit: float, words: int) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap enough, as (u, v)."""
+    pairs = stored(pairs, "to_check")
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    packed = stored(source.join(hinted(needed), "doc_id", "left_semi").mapInArrow(_pack(words), "doc_id long, bag binary"), "bags")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_GROUP).cast("long").alias("salts"))
     salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     partners = salted.join(packed.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "bag")
@@ -243,18 +253,19 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     same = real.join(owner, ["h1", "h2", "weight"]).select("doc_id", "rep").filter("doc_id <> rep")
     reps = stored(real.join(owner.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
                   .select("doc_id", "weight", "prints"), "representatives")
-    pairs = _candidates(reps, similarity)
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    packed = stored(source.join(hinted(needed), "doc_id", "left_semi").mapInArrow(_pack(words), "doc_id long, bag binary"), "bags")
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a")).select("a", "b")
-    sure = _links(first, packed, similarity)
+    shared = stored(_shared(reps.withColumn("bucket", F.lit(0).cast("long")).withColumn("band", F.lit(0))), "shared")
+    alone = reps.withColumn("component", F.col("doc_id"))
+    pairs = _candidates(shared, alone, similarity, across=False)
+    best = Window.partitionBy("b").orderBy(F.desc("likely"), "a")
+    first = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= CHECKED).select("a", "b")
+    sure = _links(source, first, similarity, words)
     roots = components(sure)
-    left = (pairs.join(first.withColumn("done", F.lit(1)), ["a", "b"], "left_anti")
-            .join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-            .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    left = stored(left, "open")
-    more = _links(left, packed, similarity)
+    joined = (reps.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+              .select("doc_id", "weight", F.coalesce("root", "doc_id").alias("component"), "prints"))
+    parts = shared.join(joined.select("doc_id", "component"), "doc_id")
+    several = parts.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
+    open_pairs = _candidates(stored(shared.join(several, "bucket", "left_semi"), "open"), joined, similarity, across=True)
+    more = _links(source, open_pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), similarity, words)
     links = sure.union(more).union(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     root = components(links)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
