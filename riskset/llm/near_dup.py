@@ -95,7 +95,7 @@ class _Bucket:
         """The members to check ``doc`` against, with the estimates.
 
         ``across``: all that may be similar, of other components; else the ``BEST`` likeliest. With ``band``, those only
-        that agree in no band before it, so that a pair is found once.
+        that agree in no band before it, so that a pair is found once; the likeliest of all buckets are never missed.
         """
         n, found, leads = self.n, [], True
         if n == len(self.prints):
@@ -108,7 +108,7 @@ class _Bucket:
             near = np.flatnonzero((like >= self.limit) & (self.component[:n] != component))
             if not self.across and len(near) > BEST:
                 near = near[np.argsort(-like[near], kind="stable")[:BEST]]
-            if self.across and self.band is not None and len(near):
+            if self.band is not None and len(near):
                 banded = ROWS_PER_BAND * BANDS
                 same = (self.prints[near, :banded] == prints[:banded]).reshape(len(near), BANDS, ROWS_PER_BAND).all(axis=2)
                 near = near[same.argmax(axis=1) == self.band]
