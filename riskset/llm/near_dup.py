@@ -228,10 +228,10 @@ def _check(limit: float):
 def _links(source: DataFrame, pairs: DataFrame, limit: float, words: int) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough, as (u, v)."""
     pairs = stored(pairs, "to_check")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_GROUP).cast("long").alias("salts"))
+    salted = stored(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt")), "salted")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     packed = stored(source.join(hinted(needed), "doc_id", "left_semi").mapInArrow(_pack(words), "doc_id long, bag binary"), "bags")
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_GROUP).cast("long").alias("salts"))
-    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     partners = salted.join(packed.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "bag")
     own = (salted.select("a", "salt").distinct().join(packed.withColumnRenamed("doc_id", "a"), "a")
            .select("a", "salt", F.lit(None).cast("long").alias("b"), "bag"))
