@@ -16,7 +16,7 @@ Steps, each of which leaves a narrow table in the shared folder:
 
 A class is a connected component of the links found right.
 
-Defined results: a null, empty or blank text has no shingles and is a class of its own. A null id stays a row with a
+Defined results: null, empty and blank texts have no shingles, which makes their multisets equal: they are one class. A null id stays a row with a
 null class. Rows repeated with the same id and text are one document; rows that share an id but not the text are told
 apart no further than the id. Other columns are ignored, whatever their names.
 """
@@ -248,9 +248,9 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     signed = stored(source.filter("doc_id is not null")
                     .mapInArrow(_sign(words), "doc_id long, h1 long, h2 long, weight long, prints binary"), "signed")
     real = signed.filter("weight > 0")
-    owner = real.groupBy("h1", "h2", "weight").agg(F.min("doc_id").alias("rep"))
+    owner = signed.groupBy("h1", "h2", "weight").agg(F.min("doc_id").alias("rep"))
     # several texts under one id are linked through the id
-    same = real.join(owner, ["h1", "h2", "weight"]).select("doc_id", "rep").filter("doc_id <> rep")
+    same = signed.join(owner, ["h1", "h2", "weight"]).select("doc_id", "rep").filter("doc_id <> rep")
     reps = stored(real.join(owner.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
                   .select("doc_id", "weight", "prints"), "representatives")
     shared = stored(_shared(reps.withColumn("bucket", F.lit(0).cast("long")).withColumn("band", F.lit(0))), "shared")

@@ -33,7 +33,7 @@ def brute_classes(rows, limit=0.8):
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
             either = sum((a | b).values())
-            if either and sum((a & b).values()) >= limit * either - 1e-9:
+            if sum((a & b).values()) >= limit * either - 1e-9:  # texts without words are equal
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return {i: find(i) for i, _ in rows}
@@ -113,11 +113,11 @@ def test_nulls_blanks_repeats_and_clashing_columns(spark):
     rows = [(4, None, 1), (2, "", 2), (7, " \n", 3), (9, "alpha beta", 4), (3, "ALPHA beta", 5), (3, "ALPHA beta", 5), (None, "alpha beta", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, bucket int").withColumn("weight", F.lit("x")).withColumn("root", F.lit(0))
     got = sorted(((r.doc_id, r.class_id) for r in near_dup.duplicate_classes(df).collect()), key=str)
-    assert got == sorted([(4, 4), (2, 2), (7, 7), (9, 3), (3, 3), (3, 3), (None, None)], key=str)
+    assert got == sorted([(4, 2), (2, 2), (7, 2), (9, 3), (3, 3), (3, 3), (None, None)], key=str)
     kept = near_dup.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
-        [(4, None), (2, ""), (7, " \n"), (3, "ALPHA beta"), (None, "alpha beta")], key=str)
+        [(2, ""), (3, "ALPHA beta"), (None, "alpha beta")], key=str)
 
 
 def test_empty_table(spark):
