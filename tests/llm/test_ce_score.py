@@ -81,3 +81,14 @@ def test_many_target_ids_are_joined(spark, monkeypatch):
     ids = spark.createDataFrame([(i,) for i in range(0, 20, 2)], "doc_id long")
     got = {r.doc_id: round(r.score, 9) for r in ce_score.score(spark.createDataFrame(rows, SCHEMA), ids).collect()}
     assert got == {d: round(s, 9) for d, s in brute(rows, set(range(0, 20, 2)))}
+
+
+def test_every_word_and_pair_has_its_own_count(spark):
+    """Thousands of words and pairs: none shares a count with another."""
+    rng = random.Random(5)
+    vocabulary = [f"word{j}" for j in range(6000)]
+    rows = [(i, " ".join(rng.choices(vocabulary[:200], k=100) + rng.choices(vocabulary, k=300))) for i in range(40)]
+    target = set(range(0, 40, 2))
+    ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    got = {r.doc_id: r.score for r in ce_score.score(spark.createDataFrame(rows, SCHEMA).repartition(3), ids).collect()}
+    assert got == pytest.approx(dict(brute(rows, target)), abs=1e-9)
