@@ -11,8 +11,11 @@ Steps, each of which leaves a narrow table in the shared folder:
 4. Buckets that hold members of several components are read again, and every pair of different components whose
    estimate does not rule the similarity out (four standard deviations below it) is checked. So a group of copies costs
    pairs in proportion to its size, not to its square, and no component misses a link to another.
-   Buckets of more than ``CHUNK`` members are dealt to several tasks; members that are not almost surely similar to one
-   kept already lead their part, and the leaders meet again in buckets of one band more, until no bucket is divided.
+
+Buckets of more than ``CHUNK`` members are dealt to several tasks. In step 3, members that are not almost surely similar to
+one kept already lead their part, and the leaders meet again in buckets of one band more, until no bucket is divided. In
+step 4, all members outside the bucket's largest component are compared, in blocks, with all others of the bucket, so that
+a link is found whoever leads; the cost is the bucket's members times those outside its largest component.
 
 A class is a connected component of the links found right.
 
@@ -75,6 +78,9 @@ def _sign(words: int):
     return run
 
 
+_HELD, _COMPARED, _BOTH = 0, 1, 2  #: roles of a row in a part
+
+
 class _Bucket:
     """The members of one part of a bucket, in the order read."""
 
@@ -91,8 +97,8 @@ class _Bucket:
                 new[:self.n] = getattr(self, name)[:self.n]
             setattr(self, name, new)
 
-    def add(self, doc: int, weight: int, component: int, prints: np.ndarray) -> list[tuple[int, float]]:
-        """The members to check ``doc`` against, with the estimates.
+    def add(self, doc: int, weight: int, component: int, prints: np.ndarray, role: int = _BOTH) -> list[tuple[int, float]]:
+        """The members to check ``doc`` against, with the estimates. By ``role``, it is compared, becomes a member, or both.
 
         ``across``: all that may be similar, of other components; else the ``BEST`` likeliest. With ``band``, those only
         that agree in no band before it, so that a pair is found once; the likeliest of all buckets are never missed.
@@ -100,7 +106,7 @@ class _Bucket:
         n, found, leads = self.n, [], True
         if n == len(self.prints):
             self._room(2 * n)
-        if n:
+        if n and role != _HELD:
             like = np.count_nonzero(self.prints[:n] == prints, axis=1) / REGISTERS
             w = self.weights[:n]
             like[np.minimum(w, weight) < self.ratio * np.maximum(w, weight) - 1e-9] = 0.0
@@ -113,17 +119,19 @@ class _Bucket:
                 same = (self.prints[near, :banded] == prints[:banded]).reshape(len(near), BANDS, ROWS_PER_BAND).all(axis=2)
                 near = near[same.argmax(axis=1) == self.band]
             found = [(self.ids[i], float(like[i])) for i in near.tolist()]
+        if role == _COMPARED:
+            return found
         self.prints[n], self.weights[n], self.component[n], self.leads[n] = prints, weight, component, leads
         self.ids.append(doc)
         self.n = n + 1
         return found
 
 
-_MEMBER = ("bucket", "part", "next", "parts", "doc_id", "weight", "component", "prints")
+_MEMBER = ("bucket", "part", "next", "parts", "role", "doc_id", "weight", "component", "prints")
 
 
 def _compare(limit: float, across: bool, once: bool):
-    """Streams rows sorted by (bucket, part, doc_id); yields candidate pairs, and the leaders of divided buckets."""
+    """Streams rows sorted by (bucket, part, role is compared, doc_id); yields candidate pairs, and the leaders of divided buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket, divided = None, None, False
@@ -139,11 +147,11 @@ def _compare(limit: float, across: bool, once: bool):
                     put(bucket.ids[k], None, None, held[0], held[2])
 
         for batch in batches:
-            for key, part, band, parts, doc, weight, component, prints in zip(*(batch.column(c).to_pylist() for c in _MEMBER)):
+            for key, part, band, parts, role, doc, weight, component, prints in zip(*(batch.column(c).to_pylist() for c in _MEMBER)):
                 if (key, part, band) != held:
                     close()
                     held, divided, bucket = (key, part, band), parts > 1, _Bucket(limit, across, band if once else None)
-                for other, rate in bucket.add(doc, weight, component, np.frombuffer(prints, np.uint16)):
+                for other, rate in bucket.add(doc, weight, component, np.frombuffer(prints, np.uint16), role):
                     if other != doc:
                         put(min(doc, other), max(doc, other), rate, None, None)
             if len(rows["a"]) >= 20_000:
@@ -170,14 +178,50 @@ def _shared(level: DataFrame) -> DataFrame:
     return keys.join(sizes, "bucket").select("doc_id", "bucket", "next", "n")
 
 
-def _candidates(shared: DataFrame, reps: DataFrame, limit: float, across: bool) -> DataFrame:
-    """Distinct pairs (a, b, likely) of members of one bucket. ``reps``: (doc_id, weight, component, prints)."""
+def _compared(rows: DataFrame, limit: float, across: bool, once: bool) -> DataFrame:
+    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("role") == _COMPARED, "doc_id")
+    return stored(dealt.select(*_MEMBER).mapInArrow(_compare(limit, across, once), "a long, b long, likely float, bucket long, band int"), "compared")
+
+
+def _tiles(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """(doc_id, bucket, next, part, role): the rows of divided buckets in pairs of blocks.
+
+    A block of members outside the bucket's largest component (``rest``) is held, and meets itself, every other such block
+    once and every block of the largest component. Pairs inside the largest component are settled. ``components``: (doc_id, component).
+    """
+    big = stored(shared.filter(F.col("n") > CHUNK).join(components, "doc_id"), "divided")
+    largest = (big.groupBy("bucket", "component").agg(F.count("*").alias("members")).groupBy("bucket")
+               .agg(F.max(F.struct("members", "component")).alias("main")))
+    rows = (big.join(largest, "bucket").withColumn("rest", F.col("component") != F.col("main.component"))
+            .withColumn("main_blocks", F.ceil(F.col("main.members") / CHUNK).cast("long"))
+            .withColumn("rest_blocks", F.ceil((F.col("n") - F.col("main.members")) / CHUNK).cast("long"))
+            .withColumn("own", F.pmod(F.xxhash64("doc_id", "bucket"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks")))))
+    tile = F.expr(f"""CASE
+        WHEN rest THEN concat(
+          transform(sequence(0L, main_blocks - 1), m -> struct(own AS held, rest_blocks + m AS other, {_HELD} AS role)),
+          transform(sequence(0L, rest_blocks - 1), x -> struct(least(x, own) AS held, greatest(x, own) AS other,
+                    CASE WHEN x = own THEN {_BOTH} WHEN own < x THEN {_HELD} ELSE {_COMPARED} END AS role)))
+        ELSE transform(sequence(0L, rest_blocks - 1), x -> struct(x AS held, rest_blocks + own AS other, {_COMPARED} AS role)) END""")
+    return (rows.filter("rest_blocks > 0").withColumn("tile", F.explode(tile))
+            .select("doc_id", "bucket", "next", (F.col("tile.held") * (F.col("main_blocks") + F.col("rest_blocks")) + F.col("tile.other")).alias("part"),
+                    F.col("tile.role").alias("role")))
+
+
+def _candidates_across(shared: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
+    """Distinct pairs (a, b, likely) of members of one bucket and different components; none that may be similar is left out."""
+    whole = shared.filter(F.col("n") <= CHUNK).select("doc_id", "bucket", "next", F.lit(0).cast("long").alias("part"), F.lit(_BOTH).alias("role"))
+    rows = whole.union(_tiles(shared, reps.select("doc_id", "component"))).join(reps, "doc_id").withColumn("parts", F.lit(1).cast("long"))
+    out = _compared(rows, limit, across=True, once=True)
+    return stored(out.groupBy("a", "b").agg(F.max("likely").alias("likely")), "pairs")
+
+
+def _candidates(shared: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
+    """Distinct pairs (a, b, likely) of likely members of one bucket. ``reps``: (doc_id, weight, component, prints)."""
     found, once = None, shared.filter(F.col("n") > CHUNK).isEmpty()  # members of a divided bucket may miss each other in it
     while True:
         rows = (shared.join(reps, "doc_id").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("long"))
-                .withColumn("part", F.pmod(F.xxhash64("doc_id", "bucket"), "parts")))
-        out = stored(rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "doc_id").select(*_MEMBER)
-                     .mapInArrow(_compare(limit, across, once), "a long, b long, likely float, bucket long, band int"), "compared")
+                .withColumn("part", F.pmod(F.xxhash64("doc_id", "bucket"), "parts")).withColumn("role", F.lit(_BOTH)))
+        out = _compared(rows, limit, across=False, once=once)
         pairs = out.filter("bucket is null").groupBy("a", "b").agg(F.max("likely").alias("likely"))
         found = pairs if found is None else found.union(pairs)
         leaders = out.filter("bucket is not null")
@@ -255,7 +299,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                   .select("doc_id", "weight", "prints"), "representatives")
     shared = stored(_shared(reps.withColumn("bucket", F.lit(0).cast("long")).withColumn("band", F.lit(0))), "shared")
     alone = reps.withColumn("component", F.col("doc_id"))
-    pairs = _candidates(shared, alone, similarity, across=False)
+    pairs = _candidates(shared, alone, similarity)
     best = Window.partitionBy("b").orderBy(F.desc("likely"), "a")
     first = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= CHECKED).select("a", "b")
     sure = _links(source, first, similarity, words)
@@ -264,7 +308,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
               .select("doc_id", "weight", F.coalesce("root", "doc_id").alias("component"), "prints"))
     parts = shared.join(joined.select("doc_id", "component"), "doc_id")
     several = parts.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    open_pairs = _candidates(stored(shared.join(several, "bucket", "left_semi"), "open"), joined, similarity, across=True)
+    open_pairs = _candidates_across(stored(shared.join(several, "bucket", "left_semi"), "open"), joined, similarity)
     more = _links(source, open_pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), similarity, words)
     links = sure.union(more).union(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     root = components(links)

@@ -109,6 +109,26 @@ def test_divided_buckets_lose_nothing(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
+def test_links_of_followers_across_parts(spark, monkeypatch):
+    """Every y is like its x only, and every x follows a leader that y is not like."""
+    monkeypatch.setattr(near_dup, "CHUNK", 8)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(places, mark):
+        return " ".join(f"{mark}{i}" if i in places else w for i, w in enumerate(base))
+
+    rows = [(i, changed({299}, f"copy{i}-")) for i in range(200)]
+    for k in range(10):
+        at = [10 + 6 * k + 30 * j for j in range(7)]
+        x = changed(at[:2], f"x{k}-")
+        y = " ".join(f"y{k}-{i}" if i in at[2:] else w for i, w in enumerate(x.split()))
+        rows += [(1000 + k, x), (2000 + k, y)]
+    want = brute_classes(rows)
+    assert set(want.values()) == {0}
+    got = near_dup.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_nulls_blanks_repeats_and_clashing_columns(spark):
     rows = [(4, None, 1), (2, "", 2), (7, " \n", 3), (9, "alpha beta", 4), (3, "ALPHA beta", 5), (3, "ALPHA beta", 5), (None, "alpha beta", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, bucket int").withColumn("weight", F.lit("x")).withColumn("root", F.lit(0))
