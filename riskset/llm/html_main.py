@@ -1,8 +1,8 @@
 """Main text of web pages, with the templates of their sites removed.
 
 Every box of a page (an element that groups others: ``div``, ``section``, lists, tables ...) is hashed with all that
-is below it. Spark counts on how many pages of a host each hash occurs; boxes that recur on many of the host's pages are
-its template and are deleted with all that is in them. What a page says about itself is used as well: elements
+is below it. Spark counts on how many pages of a host each hash occurs; boxes that recur on a share of the host's pages, or
+on ``MANY`` pages whatever the host's size, are its template and are deleted with all that is in them. What a page says about itself is used as well: elements
 whose tag, role, class or id marks them as navigation, notices, adverts, forms or comments go, and where a page
 has ``article`` or ``main`` elements the text is taken from there.
 
@@ -26,6 +26,7 @@ from riskset.llm.html_tree import BLOCK, Node, parse, squeeze, subtree_hashes, w
 
 MIN_PAGES = 5
 SHARE = 0.2
+MANY = 20  #: on so many pages a box goes without regard to the share
 HOST_SPREAD = 32
 TEMPLATE_ROWS = 200_000
 
@@ -145,26 +146,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield task_batch(out, _COUNTED)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, boxes): the hashes of boxes on at least ``min_pages`` and ``share`` of the host's pages.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """(host, boxes): the hashes of boxes on at least ``min_pages`` and ``share`` of the host's pages, or on ``many``.
 
-    ``pages`` has (host, html), a row for each page. A host has at most boxes-per-page / share of them.
+    ``pages`` has (host, html), a row for each page. A host has at most boxes-per-page * pages / many of them.
     """
     known = pages.filter("host is not null")
     total = known.groupBy("host").agg(F.count("*").alias("pages"))
     counted = (known.select("host", "html").mapInArrow(_count, "host string, box long")
-               .groupBy("host", "box").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages))
-    often = stored(counted, "boxes").join(total, "host").filter(F.col("n") >= share * F.col("pages"))
+               .groupBy("host", "box").agg(F.count("*").alias("n")).filter(F.col("n") >= min(min_pages, many)))
+    often = stored(counted, "boxes").join(total, "host").filter((F.col("n") >= many) | (F.col("n") >= min_pages) & (F.col("n") >= share * F.col("pages")))
     return often.groupBy("host").agg(F.collect_set("box").alias("boxes"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                      min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+                      min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     host = F.lower(F.regexp_extract(F.col(f"`{url_col}`"), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                         F.when(host != "", host).alias("host"), F.col(f"`{html_col}`").alias("html"))
-    found = stored(templates(rows, min_pages, share), "templates")
+    found = stored(templates(rows, min_pages, share, many), "templates")
     if small_enough(found, TEMPLATE_ROWS):
         joined = rows.join(F.broadcast(found), "host", "left")
     else:  # a host may hold a third of the pages: its pages are spread over several keys

@@ -55,6 +55,14 @@ def test_recurring_boxes_go_by_host(spark, monkeypatch, limit):
     assert got == {(i, t, len(t)) for i, t in want}
 
 
+def test_boxes_on_many_pages_go_whatever_the_share(spark):
+    """25 of 300 pages have the menu of one section; a box on ten pages stays."""
+    section, few = "<div class=x1>Section list</div>", "<div class=x2>Seen ten times</div>"
+    rows = [(i, f"http://one.com/{i}", f"<body>{section * (i < 25)}{few * (i >= 290)}<p>Text {i}</p></body>") for i in range(300)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("Seen ten times\n" if i >= 290 else "") + f"Text {i}" for i in range(300)}
+
+
 def test_articles_stay_though_they_recur(spark):
     rows = [(i, "http://a.b/", "<article><p>same</p></article>") for i in range(30)]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
