@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskset.llm import (ce_score, chat, html_main, license_scan, line_dedup, line_quality, mixing, near_dup, packing,
-                         vptree)
+from riskset.llm import (ce_score, chat, html_main, lexical, license_scan, line_dedup, line_quality, mixing, near_dup, packing,
+                         periods, url_filter, vptree)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -185,3 +185,55 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Licence phrases and templates in every document."""
     return license_scan.scan_licences(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op11_url_filter")
+def op11(spark, sf_dir):
+    """Every page's verdict: a rule's, else that of trees trained on the labelled URLs.
+
+    A URL's number is the id of its page's document, so the documents' labels are labels of URLs: low quality or toxic is to be blocked.
+    """
+    pages = table(spark, sf_dir, "pages")
+    numbered = pages.select("url", F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint)").alias("doc_id"))
+    blocked = ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")
+    return url_filter.judge(pages, numbered.join(table(spark, sf_dir, "labels"), "doc_id").select("url", blocked))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    """Counts and digests of every document's periodic runs, after about one in ten has been made to repeat itself."""
+    return periods.report(periods.periodic_runs(periods.with_repeats(table(spark, sf_dir, "documents"))))
+
+
+@query("op13_lexical_search", r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS d,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents WHERE text IS NOT NULL),
+items AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+wanted AS (SELECT item_id, term, count(*) AS times FROM items GROUP BY item_id, term),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM docs WHERE len(ts) > 0),
+found AS (
+  SELECT doc_id, d, n, term, count(*) AS tf
+  FROM (SELECT doc_id, d, len(ts) AS n, unnest(ts) AS term FROM docs) JOIN (SELECT DISTINCT term FROM items) USING (term)
+  GROUP BY doc_id, d, n, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM found, whole GROUP BY term),
+worth AS (
+  SELECT doc_id, d, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) AS value
+  FROM found JOIN weights USING (term), whole),
+scores AS (
+  SELECT item_id, doc_id, d, CAST(sum(times * value) AS BIGINT) AS score
+  FROM worth JOIN wanted USING (term) GROUP BY item_id, doc_id, d)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+""")
+def op13(spark, sf_dir):
+    """The twenty best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
