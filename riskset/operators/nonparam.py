@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -26,13 +27,28 @@ def _long(df: DataFrame, cols: Sequence[str], group: str, as_text: bool) -> Data
             .select("stratum", "__cell.*").where(F.col("value").isNotNull()))
 
 
+NEAR_ROWS = 1000
+
+
+def near_values(df: DataFrame, cols: Sequence[str], rows: int = NEAR_ROWS) -> dict[str, float]:
+    """A number within the range of each variable, from the first rows at hand; 0 where they hold none.
+
+    Sums are taken about it, so any value of the variable does; only the last digits depend on which.
+    """
+    clean = [F.when(~F.isnan(v), v) for v in (F.col(c).cast("double") for c in cols)]
+    row = df.select(*[c.alias(f"x{i}") for i, c in enumerate(clean)]).limit(rows).agg(*[F.avg(f"x{i}") for i in range(len(cols))]).first()
+    return {c: v if v is not None and math.isfinite(v) else 0.0 for c, v in zip(cols, row)}
+
+
 def one_way_anova(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
     """Equal-variance F test per variable (variable, f_stat, df1, df2, p_value); missing values and NaN left out.
 
     One pass gives each group's count, mean and variance, from which both sums of squares follow without
-    subtracting large numbers.
+    subtracting large numbers: every variable is first moved by a value near its own, so that what is summed is as small as
+    the variable's spread, however far from zero it lies.
     """
-    per_group = _long(df, cols, group, False).groupBy("variable", "stratum").agg(
+    shifted = df.select(group, *[(F.col(c).cast("double") - F.lit(v)).alias(c) for c, v in near_values(df, cols).items()])
+    per_group = _long(shifted, cols, group, False).groupBy("variable", "stratum").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     whole = per_group.groupBy("variable").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     away = F.col("m") - F.col("mean")

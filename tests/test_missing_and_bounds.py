@@ -5,6 +5,8 @@ import os
 import subprocess
 import sys
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,10 +56,12 @@ def test_anova_against_its_definition(spark):
     g = r.integers(0, 3, 300)
     df = spark.createDataFrame([("abc"[k], float(v)) for k, v in zip(g, x)], "g string, x double")
     got = nonparam.one_way_anova(df, ["x"], "g").first()
-    means = [x[g == k].mean() for k in range(3)]
-    between = sum((g == k).sum() * (means[k] - x.mean()) ** 2 for k in range(3)) / 2
-    within = sum(((x[g == k] - means[k]) ** 2).sum() for k in range(3)) / 297
-    assert got.f_stat == pytest.approx(between / within, rel=1e-9) and (got.df1, got.df2) == (2, 297)
+    exact = [[Fraction(float(v)) for v in x[g == k]] for k in range(3)]
+    means = [sum(v) / len(v) for v in exact]
+    mean = sum(sum(v) for v in exact) / 300
+    between = sum(len(v) * (m - mean) ** 2 for v, m in zip(exact, means)) / 2
+    within = sum((z - m) ** 2 for v, m in zip(exact, means) for z in v) / 297
+    assert got.f_stat == pytest.approx(float(between / within), rel=1e-12) and (got.df1, got.df2) == (2, 297)
 
 
 def test_printed_ties_follow_the_stored_value(spark):
