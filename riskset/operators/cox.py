@@ -5,10 +5,13 @@ Each Newton step needs sums over everyone still at risk at each event time.
 * Few distinct times: every time is a bucket of its own. One pass gives, per time,
   the risk-weighted sums of 1, x and xx'; the driver adds them up from the last time
   to the first. No row is ever shuffled, so it does not matter how many share a time.
-* Many distinct times: the time range is cut at approximate quantiles. Cut values
-  stay where they are, as above. Rows strictly between two cuts are moved once to
-  their bucket and kept sorted by falling time. A first pass gives bucket totals, a
-  second streams each bucket from the totals of the later ones.
+* Many distinct times: the time range is cut at approximate quantiles, into as many
+  buckets as the rows ask for, whatever the models. Cut values stay where they are, as above.
+  Rows strictly between two cuts are moved once to their bucket and kept sorted by falling time.
+  A first pass gives a vector per bucket, holding every model's sums. Spark adds the later
+  buckets' vectors up in two levels, runs of buckets first, and joins each bucket's sum to the
+  first of its rows, from which a second pass streams the bucket. The driver gets one
+  vector of results.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskset.functions.tails import Z_975, normal_two_sided, tie_sums
@@ -27,9 +33,11 @@ from riskset.operators.frame import (
     STATE_DOUBLES, Frame, Model, ModelPlan, build_frame, chunks, emit, extra_columns, fold, gram,
     independent_columns, model_plan, pack, packed_size, solve_kept, unpack,
 )
-from riskset.operators.ordering import MAX_BUCKETS, cut_values, with_bucket
+from riskset.operators.ordering import cut_values, with_bucket
 
-MAX_POINTS = 100_000
+MAX_POINTS = 20_000
+ROWS_PER_BUCKET = 50_000
+RESULT_PARTS = 64  #: partial results that come to the driver
 MAX_ITER = 20
 EPS = 1e-9
 
@@ -99,17 +107,14 @@ def _segment_sums(plan, part, ok, eta, risk, ev, w, starts) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def _point_kernel(plans: Sequence[ModelPlan], times: np.ndarray | None):
-    """Partial vectors per (model, time), or per (model, bucket) when rows carry a bucket."""
+def _point_kernel(plans: Sequence[ModelPlan], times: np.ndarray):
+    """Partial vectors per (model, time)."""
 
     def kernel(batches):
         held: dict[tuple[int, int], np.ndarray] = {}
         for cols in chunks(batches):
             t, event, w = cols[0], cols[1], cols[2]
-            if times is None:
-                code, x = cols[3].astype(int), np.column_stack(cols[4:])
-            else:
-                code, x = np.searchsorted(times, t), np.column_stack(cols[3:])
+            code, x = np.searchsorted(times, t), np.column_stack(cols[3:])
             order = np.argsort(code, kind="stable")
             code, event, w, x = code[order], event[order], w[order], x[order]
             starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
@@ -151,41 +156,171 @@ def _event_terms(s0, s1, d, wd, d0, d1, efron):
     return ll, score, outer, wa, wb
 
 
-def _open_kernel(plans: Sequence[ModelPlan], offsets: Mapping[tuple[int, int], np.ndarray], efron: bool):
+VECTORS = "bucket int, stats array<double>"
+RESULTS = -1  #: the bucket of a row that holds results
+LATER = 2**31 - 1  #: the bucket of a row that holds the sums of all later runs of buckets
+RUNS_FROM = 256  #: buckets that one task adds up alone
+
+
+def _starts(sizes: Sequence[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+
+
+def _vector_batch(rows: Sequence[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    offsets = pa.array(np.cumsum([0] + [len(v) for _, v in rows]), pa.int32())
+    values = pa.array(np.concatenate([v for _, v in rows]) if rows else np.zeros(0))
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.ListArray.from_arrays(offsets, values)], ["bucket", "stats"])
+
+
+def _vectors(stats: pa.Array) -> np.ndarray:
+    """The vectors of a batch, one in each row."""
+    return stats.flatten().to_numpy(zero_copy_only=False).reshape(len(stats), -1)
+
+
+def _total_kernel(plans: Sequence[ModelPlan]):
+    """Partial vectors per bucket, all models side by side; a task holds a bounded number of them."""
+    width = sum(_size(plan.p) for plan in plans)
+
+    def kernel(batches):
+        held: dict[int, np.ndarray] = {}
+        for cols in chunks(batches):
+            event, w, code, x = cols[1], cols[2], cols[3].astype(int), np.column_stack(cols[4:])
+            order = np.argsort(code, kind="stable")
+            code, event, w, x = code[order], event[order], w[order], x[order]
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            sums = np.concatenate([_segment_sums(plan, *_weights(plan, x, event, w), w, starts) for plan in plans], axis=1)
+            for b, row in zip(code[starts].tolist(), sums):
+                held[b] = held[b] + row if b in held else row
+            if len(held) * width > STATE_DOUBLES:
+                yield _vector_batch(list(held.items()))
+                held = {}
+        if held:
+            yield _vector_batch(list(held.items()))
+
+    return kernel
+
+
+def _later_kernel(batches):
+    """(run, the sum of all later runs' vectors) from runs in falling order."""
+    after = None
+    for batch in batches:
+        v = _vectors(batch.column(1))
+        if not len(v):
+            continue
+        after = np.zeros(v.shape[1]) if after is None else after
+        upto = after + np.cumsum(v, axis=0)
+        yield _vector_batch(list(zip(batch.column(0).to_pylist(), upto - v)))
+        after = upto[-1]
+
+
+def _result_size(p: int) -> int:
+    """[log-likelihood, rows, events] + score + information."""
+    return 3 + p + packed_size(p)
+
+
+def _scan_kernel(plans: Sequence[ModelPlan], efron: bool):
+    """From bucket vectors by falling bucket within a run: the risk sums [s0, s1, S2] later than each open bucket, and the
+    task's results: everything but what goes on inside open buckets."""
+    at = _starts([_size(plan.p) for plan in plans])
+    into = _starts([_result_size(plan.p) for plan in plans])
+
+    def advance(v, ids, after, results):
+        """Adds the results of buckets ``ids``; their offsets, and the sums up to the last one."""
+        offsets, upto = [], []
+        point = ids % 2 == 0
+        for m, plan in enumerate(plans):
+            p, r = plan.p, results[into[m]:into[m + 1]]
+            head, s1, d1, ex, s2, d2 = _split(v[:, at[m]:at[m + 1]], p)
+            own = np.concatenate([head[:, 1:2], s1, s2], axis=1)
+            total = (0.0 if after is None else after[m]) + np.cumsum(own, axis=0)
+            offsets.append(total - own)
+            upto.append(total[-1])
+            r[0] += head[:, 5].sum()
+            r[1] += head[:, 0].sum()
+            r[2] += head[:, 2].sum()
+            r[3:3 + p] += ex.sum(axis=0)
+            use = point & (head[:, 2] > 0)
+            if use.any():
+                s0_at, s1_at, s2_at = total[use, 0], total[use, 1:1 + p], total[use, 1 + p:]
+                ll, score, outer, wa, wb = _event_terms(s0_at, s1_at, head[use, 2], head[use, 3], head[use, 4], d1[use], efron)
+                r[0] += ll
+                r[3:3 + p] += score
+                r[3 + p:] += wa @ s2_at - wb @ d2[use] - pack(outer)
+        return np.concatenate(offsets, axis=1), upto
+
+    def kernel(batches):
+        results, run, after = np.zeros(into[-1]), None, None
+        for batch in batches:
+            runs, ids = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+            v = _vectors(batch.column(2))
+            cuts = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else []
+            for s, e in zip(cuts, np.append(cuts[1:], len(runs)) if len(runs) else []):
+                if runs[s] != run:
+                    run, after = runs[s], None
+                if ids[s] == LATER:
+                    parts = [_split(v[s, at[m]:at[m + 1]], plan.p) for m, plan in enumerate(plans)]
+                    after = [np.concatenate([x[0][1:2], x[1], x[4]]) for x in parts]
+                    s += 1
+                if s == e:
+                    continue
+                offsets, after = advance(v[s:e], ids[s:e], after, results)
+                open_ = np.flatnonzero(ids[s:e] % 2 == 1)
+                if len(open_):
+                    yield _vector_batch([(int(ids[s + k]), offsets[k]) for k in open_])
+        if run is not None:
+            yield _vector_batch([(RESULTS, results)])
+
+    return kernel
+
+
+def _summed(df: DataFrame, key: Column) -> DataFrame:
+    return df.groupBy(key.cast("int").alias("bucket")).agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
+
+
+def _later_sums(totals: DataFrame, buckets: int) -> DataFrame:
+    """(run, bucket, stats): the buckets dealt into runs, each led by a row with the sums of all later runs."""
+    if buckets <= RUNS_FROM:
+        return totals.select(F.lit(0).alias("run"), "bucket", "stats").repartition(1)
+    size = math.isqrt(buckets) + 1
+    run = F.floor(F.col("bucket") / size)
+    later = (_summed(totals, run).repartition(1).sortWithinPartitions(F.col("bucket").desc()).mapInArrow(_later_kernel, VECTORS)
+             .select(F.col("bucket").alias("run"), F.lit(LATER).alias("bucket"), "stats"))
+    return totals.select(run.cast("int").alias("run"), "bucket", "stats").unionByName(later).repartition("run")
+
+
+def _open_kernel(plans: Sequence[ModelPlan], efron: bool):
     """Stream rows sorted by (bucket, falling time); per-task state is one vector per model.
 
-    ``offsets`` holds, per (model, bucket), the risk sums [s0, s1] of all later buckets.
+    The last column, ``later``, holds on the first row of a bucket the risk sums [s0, s1, S2] of all later ones.
     """
+    at = _starts([1 + plan.p + packed_size(plan.p) for plan in plans])
 
     class Stream:
         def __init__(self, m, plan):
             self.m, self.plan, self.p = m, plan, plan.p
-            self.out: dict[int, np.ndarray] = {}
+            self.acc = np.zeros(_result_size(plan.p))
             self.pending = None
             self.bucket = None
 
-        def enter(self, bucket):
+        def enter(self, bucket, later):
             if bucket != self.bucket:
                 self.bucket = bucket
-                off = offsets.get((self.m, bucket))
-                self.s0 = 0.0 if off is None else off[0]
-                self.s1 = np.zeros(self.p) if off is None else off[1:].copy()
-                self.s2 = np.zeros((self.p, self.p))
-                self.acc = self.out.setdefault(bucket, np.zeros(2 + self.p + packed_size(self.p)))
+                off = later[bucket][at[self.m]:at[self.m + 1]]
+                self.s0, self.s1 = off[0], off[1:1 + self.p].copy()
+                self.s2 = unpack(off[1 + self.p:], self.p)
 
-        def add(self, ll, score, info, wa):
+        def add(self, ll, score, info):
             self.acc[0] += ll
-            self.acc[1] += wa
-            self.acc[2:2 + self.p] += score
-            self.acc[2 + self.p:] += pack(info)
+            self.acc[3:3 + self.p] += score
+            self.acc[3 + self.p:] += pack(info)
 
-        def close(self):
+        def close(self, later):
             """Account for the time left unfinished by earlier rows."""
             if self.pending is None:
                 return
             bucket, v = self.pending
             self.pending = None
-            self.enter(bucket)
+            self.enter(bucket, later)
             head, s1, d1, _, s2, d2 = _split(v, self.p)
             self.s0 += head[1]
             self.s1 = self.s1 + s1
@@ -193,11 +328,11 @@ def _open_kernel(plans: Sequence[ModelPlan], offsets: Mapping[tuple[int, int], n
             if head[2] > 0:
                 ll, score, outer, wa, wb = _event_terms(
                     np.array([self.s0]), self.s1[None, :], head[2:3], head[3:4], head[4:5], d1[None, :], efron)
-                self.add(ll, score, wa[0] * self.s2 - wb[0] * unpack(d2, self.p) - outer, wa[0])
+                self.add(ll, score, wa[0] * self.s2 - wb[0] * unpack(d2, self.p) - outer)
 
-        def run(self, bucket, rows, sums, lengths):
+        def run(self, bucket, rows, sums, lengths, later):
             """Whole times of one bucket, latest first."""
-            self.enter(bucket)
+            self.enter(bucket, later)
             part, ev, risk = rows
             head, s1, d1, _, _, _ = _split(sums, self.p)
             s0_at = self.s0 + np.cumsum(head[:, 1])
@@ -207,22 +342,36 @@ def _open_kernel(plans: Sequence[ModelPlan], offsets: Mapping[tuple[int, int], n
             if hit.any():
                 ll, score, outer, wa[hit], wb[hit] = _event_terms(
                     s0_at[hit], s1_at[hit], head[hit, 2], head[hit, 3], head[hit, 4], d1[hit], efron)
-                later = np.cumsum(wa[::-1])[::-1]
-                per_row = np.repeat(later, lengths) - ev * np.repeat(wb, lengths)
-                info = wa.sum() * self.s2 + gram(part, risk * per_row) - outer
-                self.add(ll, score, info, wa.sum())
+                from_here = np.cumsum(wa[::-1])[::-1]
+                per_row = np.repeat(from_here, lengths) - ev * np.repeat(wb, lengths)
+                self.add(ll, score, wa.sum() * self.s2 + gram(part, risk * per_row) - outer)
             self.s0, self.s1 = s0_at[-1], s1_at[-1]
             self.s2 = self.s2 + gram(part, risk)
 
     def kernel(batches):
         streams = [Stream(m, plan) for m, plan in enumerate(plans)]
-        last = None
-        for cols in chunks(batches):
+        last, sums_of_later, seen = None, {}, set()
+
+        def rows_only():
+            """The batches without ``later``, which is kept for the buckets at hand."""
+            for batch in batches:
+                later = batch.column(batch.num_columns - 1)
+                for k in np.flatnonzero(later.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    sums_of_later[batch.column(3)[k].as_py()] = np.asarray(later[k].values)
+                yield batch.select(list(range(batch.num_columns - 1)))
+
+        for cols in chunks(rows_only()):
             t, event, w, bucket = cols[0], cols[1], cols[2], cols[3].astype(int)
             x = np.column_stack(cols[4:])
             starts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (bucket[1:] != bucket[:-1])))
             ends = np.append(starts[1:], len(t))
             continues = last is not None and last == (bucket[0], t[0])
+            before = np.concatenate([[-1 if last is None else last[0]], bucket])
+            new = before[1:] != before[:-1]
+            earlier = np.concatenate([[np.inf if last is None else last[1]], t])
+            if (~new & (earlier[1:] > earlier[:-1])).any() or seen & set(bucket[new].tolist()):
+                raise RuntimeError("rows of a bucket must come together, latest first")
+            seen.update(bucket[new].tolist())
             for s in streams:
                 part, ok, eta, risk, ev = _weights(s.plan, x, event, w)
                 sums = _segment_sums(s.plan, part, ok, eta, risk, ev, w, starts)
@@ -232,7 +381,7 @@ def _open_kernel(plans: Sequence[ModelPlan], offsets: Mapping[tuple[int, int], n
                     first = 1
                 if first >= len(starts):
                     continue
-                s.close()
+                s.close(sums_of_later)
                 stop = len(starts) - 1
                 k = first
                 while k < stop:
@@ -241,15 +390,14 @@ def _open_kernel(plans: Sequence[ModelPlan], offsets: Mapping[tuple[int, int], n
                     while e < stop and bucket[starts[e]] == b:
                         e += 1
                     rows = slice(starts[k], ends[e - 1])
-                    s.run(int(b), (part[rows], ev[rows], risk[rows]), sums[k:e], ends[k:e] - starts[k:e])
+                    s.run(int(b), (part[rows], ev[rows], risk[rows]), sums[k:e], ends[k:e] - starts[k:e], sums_of_later)
                     k = e
                 s.pending = (int(bucket[starts[stop]]), sums[stop])
             last = (bucket[-1], t[-1])
-        held = {}
         for s in streams:
-            s.close()
-            held.update({(s.m, b): v for b, v in s.out.items()})
-        yield from emit(held)
+            s.close(sums_of_later)
+        if last is not None:
+            yield _vector_batch([(RESULTS, np.concatenate([s.acc for s in streams]))])
 
     return kernel
 
@@ -257,7 +405,8 @@ def _open_kernel(plans: Sequence[ModelPlan], offsets: Mapping[tuple[int, int], n
 class RiskLayout:
     """Rows projected to outcome, weight and base terms, laid out by time once for any number of batches.
 
-    ``doubles`` is the per-bucket state of the largest batch to come.
+    ``doubles`` is the state per time of the largest batch to come, which limits how many times are held as points.
+    The buckets of many times depend on the rows alone.
     """
 
     def __init__(self, df: DataFrame, time: str, event: str, design: Mapping[str, Column],
@@ -275,23 +424,22 @@ class RiskLayout:
             if len(found) <= limit:
                 self.times = np.sort(found)
         if self.times is None:
-            self._cut(max(2, min(MAX_BUCKETS, STATE_DOUBLES // max(1, doubles) // 2)), rows_per_bucket)
+            self._cut(ROWS_PER_BUCKET if rows_per_bucket is None else rows_per_bucket)
 
-    def _cut(self, most: int, rows_per_bucket: int | None) -> None:
-        base, n = self.frame.df, self.frame.n_rows
-        if rows_per_bucket is None:
-            rows_per_bucket = max(1_000_000, math.ceil(n / most))
-        cuts = cut_values(base, "a", n, rows_per_bucket)
+    def _cut(self, rows_per_bucket: int) -> None:
+        base = self.frame.df
+        cuts = cut_values(base, "a", self.frame.n_rows, rows_per_bucket)
         parted = with_bucket(base, "a", cuts, "bucket").select("a", "b", "w", "bucket", *base.columns[3:])
         self.buckets = 2 * len(cuts) + 1
         on_cut = F.col("bucket") % 2 == 0
-        # only rows strictly between cuts move, each bucket a bounded share of all rows
-        # and a partition of its own: open buckets are the odd numbers
-        inner = parted.where(~on_cut).repartitionById(
-            len(cuts) + 1, F.floor((F.col("bucket") - 1) / 2).cast("int")).sortWithinPartitions(
-            F.col("bucket"), F.col("a").desc())
+        # only rows strictly between cuts move; no fewer pieces than a join of the session makes, so that none
+        # is ever dealt anew for one
+        pieces = max(len(cuts) + 1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        latest = Window.partitionBy("bucket").orderBy(F.col("a").desc())
+        inner = parted.where(~on_cut).repartition(pieces, "bucket").withColumn("lead", F.row_number().over(latest) == 1)
         self.moved = inner.persist(StorageLevel.MEMORY_AND_DISK)
-        self.parted = parted.where(on_cut).unionByName(self.moved) if cuts else self.moved
+        still = self.moved.drop("lead")
+        self.parted = parted.where(on_cut).unionByName(still) if cuts else still
 
     def ref(self, name: str) -> Column:
         return self.frame.ref(name)
@@ -325,45 +473,61 @@ class CoxBatch:
     def evaluate(self, active: Sequence[int], betas: Sequence[np.ndarray]):
         """(loglik, score, information, n, events) of each active model at its coefficients."""
         plans = [model_plan(self.frame, self.models[i], b) for i, b in zip(active, betas)]
+        if self.times is None:
+            return self._evaluate_buckets(plans)
         size = sum(_size(plan.p) for plan in plans)
-        if self.times is not None:
-            stats = fold(self.frame.df, _point_kernel(plans, self.times), size * len(self.times))
-        else:
-            stats = fold(self.parted, _point_kernel(plans, None), size * self.buckets)
+        stats = fold(self.frame.df, _point_kernel(plans, self.times), size * len(self.times), self.frame.pieces)
         per_model: list[list[tuple[int, np.ndarray]]] = [[] for _ in plans]
         for (m, b), v in stats.items():
             per_model[m].append((b, v))
-        results, offsets, later2 = [], {}, {}
+        results = []
         for m, plan in enumerate(plans):
             p = plan.p
-            # latest bucket first
+            # latest time first
             rows = sorted(per_model[m], key=lambda r: -r[0])
             if not rows:
                 results.append([0.0, np.zeros(p), np.zeros((p, p)), 0, 0])
                 continue
-            ids = np.array([b for b, _ in rows])
             head, s1, d1, ex, s2, d2 = _split(np.stack([v for _, v in rows]), p)
             s0_at, s1_at, s2_at = np.cumsum(head[:, 1]), np.cumsum(s1, axis=0), np.cumsum(s2, axis=0)
             ll, score, info = head[:, 5].sum(), ex.sum(axis=0), np.zeros((p, p))
-            point = np.ones(len(ids), bool) if self.times is not None else ids % 2 == 0
-            use = point & (head[:, 2] > 0)
+            use = head[:, 2] > 0
             if use.any():
                 part_ll, part_score, outer, wa, wb = _event_terms(
                     s0_at[use], s1_at[use], head[use, 2], head[use, 3], head[use, 4], d1[use], self.efron)
                 ll, score = ll + part_ll, score + part_score
                 info += unpack(wa @ s2_at[use] - wb @ d2[use], p) - outer
-            for k in np.flatnonzero(~point):
-                key = (m, int(ids[k]))
-                offsets[key] = np.concatenate([[s0_at[k] - head[k, 1]], s1_at[k] - s1[k]])
-                later2[key] = unpack(s2_at[k] - s2[k], p)
             results.append([ll, score, info, int(round(head[:, 0].sum())), int(round(head[:, 2].sum()))])
-        if self.times is None:
-            inner = fold(self.moved, _open_kernel(plans, offsets, self.efron), size * self.buckets)
-            for (m, b), v in inner.items():
-                p, r = plans[m].p, results[m]
-                r[0] += v[0]
-                r[1] = r[1] + v[2:2 + p]
-                r[2] = r[2] + unpack(v[2 + p:], p) + v[1] * later2[(m, b)]
+        return results
+
+    def scanned(self, plans: Sequence[ModelPlan]) -> DataFrame:
+        """(bucket, stats): the risk sums later than each open bucket, and rows of results."""
+        totals = _summed(self.parted.mapInArrow(_total_kernel(plans), VECTORS), F.col("bucket"))
+        runs = _later_sums(totals, self.buckets).sortWithinPartitions("run", F.col("bucket").desc())
+        return runs.mapInArrow(_scan_kernel(plans, self.efron), VECTORS)
+
+    def streamed(self, plans: Sequence[ModelPlan], scanned: DataFrame) -> DataFrame:
+        """Rows of results from inside the open buckets. The rows stay where they are; only the buckets' sums come to them."""
+        later = scanned.where(F.col("bucket") >= 0).select(F.col("bucket").alias("of"), F.col("stats").alias("later"))
+        rows = self.moved.join(later, self.moved["bucket"] == later["of"], "left")
+        terms = [c for c in self.moved.columns if c != "lead"]
+        return rows.select(*[self.moved[c] for c in terms], F.when(F.col("lead"), F.col("later")).alias("later")).mapInArrow(
+            _open_kernel(plans, self.efron), VECTORS)
+
+    def _evaluate_buckets(self, plans: Sequence[ModelPlan]):
+        scanned = self.scanned(plans).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = scanned.where(F.col("bucket") < 0).toArrow()["stats"].to_pylist()
+            inner = _summed(self.streamed(plans, scanned), F.spark_partition_id() % RESULT_PARTS)
+            found += inner.toArrow()["stats"].to_pylist()
+        finally:
+            scanned.unpersist()
+        at = _starts([_result_size(plan.p) for plan in plans])
+        total = np.sum(np.array(found), axis=0) if found else np.zeros(at[-1])
+        results = []
+        for m, plan in enumerate(plans):
+            p, r = plan.p, total[at[m]:at[m + 1]]
+            results.append([r[0], r[3:3 + p], unpack(r[3 + p:], p), int(round(r[1])), int(round(r[2]))])
         return results
 
     def fit(self, max_iter: int = MAX_ITER, eps: float = EPS,
@@ -437,7 +601,7 @@ class CoxBatch:
                       n, events, iterations, converged)
 
 
-# doubles per bucket one batch may use, so that it can keep at least 128 buckets
+# doubles of one bucket's or time's vector in one batch
 BATCH_DOUBLES = STATE_DOUBLES // 128
 
 

@@ -54,6 +54,7 @@ class Frame:
     n_rows: int
     first_mean: float
     index: dict[str, int] = field(default_factory=dict)
+    pieces: int | None = None  #: partitions of a persisted frame
 
     def ref(self, name: str) -> Column:
         """A term's column, to build further terms from."""
@@ -70,7 +71,7 @@ class Frame:
         names = [*self.names, *extra]
         scaling = Scaling(np.append(self.scaling.center, center), np.append(self.scaling.scale, scale))
         return Frame(df, names, scaling, self.n_rows, self.first_mean,
-                     {n: i for i, n in enumerate(names)})
+                     {n: i for i, n in enumerate(names)}, self.pieces)
 
     def release(self) -> None:
         self.df.unpersist()
@@ -127,7 +128,9 @@ def build_frame(df: DataFrame, first: Column, second: Column, weight: str | None
             center[i], scale[i] = 0.0, 1.0
     if persist:
         out = _spread(out, rows)
-    return Frame(out, names, Scaling(center, scale), rows, mean, {n: i for i, n in enumerate(names)})
+    # persisted and read by now, so asking for the partitions runs nothing
+    pieces = out.rdd.getNumPartitions() if persist else None
+    return Frame(out, names, Scaling(center, scale), rows, mean, {n: i for i, n in enumerate(names)}, pieces)
 
 
 def _spread(df: DataFrame, rows: int) -> DataFrame:
@@ -205,16 +208,15 @@ def emit(stats: Mapping[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch
              pa.ListArray.from_arrays(offsets, values)], ["model", "bucket", "stats"])
 
 
-def fold(df: DataFrame, kernel: Callable, doubles: int) -> dict[tuple[int, int], np.ndarray]:
+def fold(df: DataFrame, kernel: Callable, doubles: int, pieces: int | None = None) -> dict[tuple[int, int], np.ndarray]:
     """Run ``kernel`` over every partition and add its vectors up per (model, bucket).
 
     ``doubles`` bounds one task's vectors, and so the result. When all tasks' vectors
     together are within the same bound they are added on the driver, which saves a
-    shuffle; otherwise, and where the tasks of an unpersisted plan can't be counted
-    without running part of it, Spark adds them first.
+    shuffle; otherwise, and where the number of tasks (``pieces``) is not known, Spark adds them first.
     """
     partial = df.mapInArrow(kernel, PARTIAL_SCHEMA)
-    if not df.is_cached or doubles * df.rdd.getNumPartitions() > STATE_DOUBLES:
+    if pieces is None or doubles * pieces > STATE_DOUBLES:
         partial = partial.groupBy("model", "bucket").agg(
             vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
     table = partial.toArrow()

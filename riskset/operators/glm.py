@@ -120,7 +120,7 @@ class GlmBatch:
 
     def logistic_at(self, active: Sequence[int], betas: Sequence[np.ndarray]):
         plans = [model_plan(self.frame, self.models[i], b) for i, b in zip(active, betas)]
-        stats = fold(self.frame.df, _logit_kernel(plans), sum(2 + p.p + 1 + packed_size(p.p + 1) for p in plans))
+        stats = fold(self.frame.df, _logit_kernel(plans), sum(2 + p.p + 1 + packed_size(p.p + 1) for p in plans), self.frame.pieces)
         out = []
         for m, plan in enumerate(plans):
             q = plan.p + 1
@@ -225,7 +225,7 @@ class GlmBatch:
         plans = [model_plan(self.frame, m, np.zeros(len(m.terms) + 1)) for m in self.models]
         shift = self.frame.first_mean
         shifted = self.frame.df.withColumn("a", F.col("a") - F.lit(shift))
-        stats = fold(shifted, _moment_kernel(plans), sum(4 + p.p + 1 + packed_size(p.p + 1) for p in plans))
+        stats = fold(shifted, _moment_kernel(plans), sum(4 + p.p + 1 + packed_size(p.p + 1) for p in plans), self.frame.pieces)
         fits = []
         for i, m in enumerate(self.models):
             q = len(m.terms) + 1

@@ -53,6 +53,58 @@ def test_near_continuous_times_agree_between_layouts(spark):
     assert np.allclose(points.coef, cut.coef, atol=1e-10) and points.loglik == pytest.approx(cut.loglik, rel=1e-12)
 
 
+def wide_data(n=4000, k=19, seed=8):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, k))
+    t = r.exponential(np.exp(-x[:, :3].sum(axis=1) * 0.3)).round(9)
+    t[::9] = 0.25  # a hot time
+    pdf = pd.DataFrame(x, columns=[f"x{i}" for i in range(k)])
+    return pdf.assign(t=t, e=(r.uniform(size=n) < 0.6).astype(int))
+
+
+@pytest.mark.parametrize("runs_from", [cox.RUNS_FROM, 3])
+@pytest.mark.parametrize("joined_by", ["-1", "10m"])
+def test_many_models_over_continuous_times(spark, monkeypatch, runs_from, joined_by):
+    """Nineteen models of three terms each: the bucketed sums, by either join, agree with the sums per time."""
+    monkeypatch.setattr(cox, "RUNS_FROM", runs_from)
+    df = spark.createDataFrame(wide_data()).repartition(5).persist()
+    design = {f"x{i}": F.col(f"x{i}") for i in range(19)}
+    models = [Model(f"m{i}", ("x0", f"x{i}", f"x{(i + 5) % 18 + 1}") if i else ("x0",)) for i in range(19)]
+    by_time = cox.cox_fits(df, "t", "e", design, models)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined_by)
+    try:
+        cut = cox.cox_fits(df, "t", "e", design, models, max_points=10, rows_per_bucket=150)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for a, b in zip(by_time, cut):
+        assert np.allclose(a.coef, b.coef, atol=1e-9) and np.allclose(a.cov, b.cov, rtol=1e-8)
+        assert a.loglik == pytest.approx(b.loglik, rel=1e-11) and (a.n, a.events) == (b.n, b.events)
+
+
+def test_buckets_depend_on_rows_alone_and_rows_stay(spark):
+    df = spark.createDataFrame(wide_data(2000)).persist()
+    design = {f"x{i}": F.col(f"x{i}") for i in range(19)}
+    narrow = cox.RiskLayout(df, "t", "e", design, doubles=1, max_points=10, rows_per_bucket=100)
+    wide = cox.RiskLayout(df, "t", "e", design, doubles=cox.BATCH_DOUBLES, max_points=10, rows_per_bucket=100)
+    assert narrow.buckets == wide.buckets > 30
+    batch = cox.CoxBatch(wide, [Model("all", tuple(design))])
+    plans = [cox.model_plan(batch.frame, batch.models[0], np.zeros(19))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        scanned = batch.scanned(plans).persist()
+        rows = batch.streamed(plans, scanned)
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    top = plan.split("InMemoryTableScan")[0]  # what is done to the rows before they are streamed
+    assert "SortMergeJoin" in top and "Exchange" not in top and "Sort [" not in top
+    narrow.release()
+    wide.release()
+
+
 def test_scaling_a_covariate_scales_its_coefficient(spark, days):
     _, df = days
     a = cox.cox_fit(df, "t", "e", {"x1": F.col("x1")})
