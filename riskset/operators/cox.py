@@ -36,7 +36,7 @@ from riskset.operators.frame import (
 from riskset.operators.ordering import cut_values, with_bucket
 
 MAX_POINTS = 20_000
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 20_000
 RESULT_PARTS = 64  #: partial results that come to the driver
 MAX_ITER = 20
 EPS = 1e-9
@@ -157,6 +157,8 @@ def _event_terms(s0, s1, d, wd, d0, d1, efron):
 
 
 VECTORS = "bucket int, stats array<double>"
+#: vectors that Spark does not add up: null bytes cost the rows without one next to nothing
+SCANNED = "bucket int, stats binary"
 RESULTS = -1  #: the bucket of a row that holds results
 LATER = 2**31 - 1  #: the bucket of a row that holds the sums of all later runs of buckets
 RUNS_FROM = 256  #: buckets that one task adds up alone
@@ -172,6 +174,11 @@ def _vector_batch(rows: Sequence[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.ListArray.from_arrays(offsets, values)], ["bucket", "stats"])
 
 
+def _bytes_batch(rows: Sequence[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
+                                      ["bucket", "stats"])
+
+
 def _vectors(stats: pa.Array) -> np.ndarray:
     """The vectors of a batch, one in each row."""
     return stats.flatten().to_numpy(zero_copy_only=False).reshape(len(stats), -1)
@@ -266,9 +273,9 @@ def _scan_kernel(plans: Sequence[ModelPlan], efron: bool):
                 offsets, after = advance(v[s:e], ids[s:e], after, results)
                 open_ = np.flatnonzero(ids[s:e] % 2 == 1)
                 if len(open_):
-                    yield _vector_batch([(int(ids[s + k]), offsets[k]) for k in open_])
+                    yield _bytes_batch([(int(ids[s + k]), offsets[k]) for k in open_])
         if run is not None:
-            yield _vector_batch([(RESULTS, results)])
+            yield _bytes_batch([(RESULTS, results)])
 
     return kernel
 
@@ -357,7 +364,7 @@ def _open_kernel(plans: Sequence[ModelPlan], efron: bool):
             for batch in batches:
                 later = batch.column(batch.num_columns - 1)
                 for k in np.flatnonzero(later.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    sums_of_later[batch.column(3)[k].as_py()] = np.asarray(later[k].values)
+                    sums_of_later[batch.column(3)[k].as_py()] = np.frombuffer(later[k].as_py())
                 yield batch.select(list(range(batch.num_columns - 1)))
 
         for cols in chunks(rows_only()):
@@ -504,7 +511,7 @@ class CoxBatch:
         """(bucket, stats): the risk sums later than each open bucket, and rows of results."""
         totals = _summed(self.parted.mapInArrow(_total_kernel(plans), VECTORS), F.col("bucket"))
         runs = _later_sums(totals, self.buckets).sortWithinPartitions("run", F.col("bucket").desc())
-        return runs.mapInArrow(_scan_kernel(plans, self.efron), VECTORS)
+        return runs.mapInArrow(_scan_kernel(plans, self.efron), SCANNED)
 
     def streamed(self, plans: Sequence[ModelPlan], scanned: DataFrame) -> DataFrame:
         """Rows of results from inside the open buckets. The rows stay where they are; only the buckets' sums come to them."""
@@ -517,7 +524,7 @@ class CoxBatch:
     def _evaluate_buckets(self, plans: Sequence[ModelPlan]):
         scanned = self.scanned(plans).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            found = scanned.where(F.col("bucket") < 0).toArrow()["stats"].to_pylist()
+            found = [np.frombuffer(v) for v in scanned.where(F.col("bucket") < 0).toArrow()["stats"].to_pylist()]
             inner = _summed(self.streamed(plans, scanned), F.spark_partition_id() % RESULT_PARTS)
             found += inner.toArrow()["stats"].to_pylist()
         finally:

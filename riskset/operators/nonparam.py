@@ -31,12 +31,13 @@ NEAR_ROWS = 1000
 
 
 def near_values(df: DataFrame, cols: Sequence[str], rows: int = NEAR_ROWS) -> dict[str, float]:
-    """A number within the range of each variable, from the first rows at hand; 0 where they hold none.
+    """A value from the middle of each variable, as the first rows at hand have it; 0 where they hold none.
 
     Sums are taken about it, so any value of the variable does; only the last digits depend on which.
     """
     clean = [F.when(~F.isnan(v), v) for v in (F.col(c).cast("double") for c in cols)]
-    row = df.select(*[c.alias(f"x{i}") for i, c in enumerate(clean)]).limit(rows).agg(*[F.avg(f"x{i}") for i in range(len(cols))]).first()
+    row = df.select(*[c.alias(f"x{i}") for i, c in enumerate(clean)]).limit(rows).agg(
+        *[F.percentile_approx(f"x{i}", 0.5) for i in range(len(cols))]).first()
     return {c: v if v is not None and math.isfinite(v) else 0.0 for c, v in zip(cols, row)}
 
 

@@ -16,6 +16,7 @@ from riskset.operators.cox import CoxBatch, RiskLayout, batch_doubles, model_gro
 from riskset.operators.design import hinge_above, hinge_below
 from riskset.operators.frame import Model, build_frame
 from riskset.operators.glm import GlmBatch, term_row
+from riskset.operators.hinges import HingeSums
 from riskset.operators.missing import open_interval
 from riskset.operators.quantiles import distinct_ranks, quantile_values, type3_rank
 from riskset.operators.small import cut_lineage
@@ -59,6 +60,12 @@ class _Family:
             self.warm = fits[_best([f.loglik for f in fits])].coef
         return [f.loglik for f in fits]
 
+    def quantiles(self, df: DataFrame, probs: Sequence[float]) -> list[float]:
+        return quantile_values(df, self.var, probs)
+
+    def values(self, df: DataFrame, low: float, high: float, limit: int) -> "_Values":
+        return _Values(df, self.var, low, high, limit)
+
     def starts(self, models: Sequence[Model]):
         return None if self.warm is None else [self.warm] * len(models)
 
@@ -122,12 +129,26 @@ class _Logistic(_Glm):
         return [effect(i, t) for i, t in wanted], fits[0].loglik, fits[2].loglik
 
 
-class _Linear(_Glm):
-    def fits(self, models, extra, coarse):
-        return GlmBatch.over(self.layout, models, extra, self.var).fit_linear()
+class _Linear(_Family):
+    """Every cut's fit follows from sums per distinct value of the variable, taken in one pass."""
+
+    def __init__(self, df, var, covariates, weight, outcome, value_limit):
+        super().__init__(df, var, covariates, weight)
+        self.layout = HingeSums(df, var, covariates, outcome, weight, value_limit)
+
+    def logliks(self, cuts, coarse):
+        return self.layout.logliks(cuts)
+
+    def quantiles(self, df, probs):
+        found = self.layout.quantiles(probs)
+        return super().quantiles(df, probs) if found is None else found
+
+    def values(self, df, low, high, limit):
+        found = self.layout.values(low, high)
+        return super().values(df, low, high, limit) if found is None else _Values.of(found)
 
     def effects(self, cut):
-        fits = GlmBatch.over(self.layout, self.final_models(), self.hinges(cut), self.var).fit_linear()
+        fits = self.layout.two_piece(cut)
 
         def effect(fit, term):
             if math.isnan(fit.coef[fit.at(term)]):
@@ -139,14 +160,14 @@ class _Linear(_Glm):
                 fits[0].loglik, fits[2].loglik)
 
 
-def _family(df, var, family, covariates, weight, **kw) -> _Family:
+def _family(df, var, family, covariates, weight, value_limit, **kw) -> _Family:
     covariates = dict(covariates or {})
     if family == "cox":
         return _Cox(df, var, covariates, weight, **kw)
     if family in ("binomial", "logistic", "lrm"):
         return _Logistic(df, var, covariates, weight, **kw)
     if family in ("gaussian", "linear"):
-        return _Linear(df, var, covariates, weight, **kw)
+        return _Linear(df, var, covariates, weight, value_limit=value_limit, **kw)
     raise ValueError(f"unknown family {family}")
 
 
@@ -174,6 +195,13 @@ class _Values:
             self.table = cut_lineage(distinct_ranks(inside, "value"))
             self.n = self.table.agg(F.max("n")).first()[0]
 
+    @classmethod
+    def of(cls, values: Sequence[float]) -> "_Values":
+        """Values that are at hand."""
+        out = cls.__new__(cls)
+        out.table, out.values, out.n = None, sorted(values), len(values)
+        return out
+
     def at(self, ranks: Sequence[int]) -> list[float]:
         if self.table is None:
             return [self.values[r - 1] for r in ranks]
@@ -184,15 +212,15 @@ class _Values:
 def _search(fam: _Family, df: DataFrame, low_p: float | None, high_p: float | None, digits: int,
             trace: list | None, value_limit: int) -> float:
     if low_p is None or high_p is None:
-        cuts = quantile_values(df, fam.var, COARSE)
+        cuts = fam.quantiles(df, COARSE)
         logliks = fam.logliks(cuts, coarse=True)
         best = _best(logliks)
         if trace is not None:
             trace += [("coarse", c, ll, k == best) for k, (c, ll) in enumerate(zip(cuts, logliks))]
         low_p = max(COARSE[best] - WINDOW, LOWEST)
         high_p = min(COARSE[best] + WINDOW, HIGHEST)
-    low, high = quantile_values(df, fam.var, [low_p, high_p])
-    values = _Values(df, fam.var, low, high, value_limit)
+    low, high = fam.quantiles(df, [low_p, high_p])
+    values = fam.values(df, low, high, value_limit)
     first, last = 1, values.n
     step = 0
     while last - first + 1 > ENOUGH:
@@ -231,7 +259,7 @@ def threshold_search(df: DataFrame, var: str, family: str, covariates: Mapping[s
     ``time=, event=`` for Cox and ``outcome=`` otherwise. Case weights, when named,
     apply to every stage.
     """
-    fam = _family(df, var, family, covariates, weight, **outcome)
+    fam = _family(df, var, family, covariates, weight, value_limit, **outcome)
     try:
         return _search(fam, df, low_p, high_p, digits, trace, value_limit)
     finally:
@@ -241,9 +269,9 @@ def threshold_search(df: DataFrame, var: str, family: str, covariates: Mapping[s
 def coarse_scan(df: DataFrame, var: str, family: str, covariates: Mapping[str, Column] | None = None,
                 weight: str | None = None, **outcome) -> DataFrame:
     """(candidate, prob, cut, loglik) of the 19 coarse candidates."""
-    fam = _family(df, var, family, covariates, weight, **outcome)
+    fam = _family(df, var, family, covariates, weight, VALUES_ON_DRIVER, **outcome)
     try:
-        cuts = quantile_values(df, var, COARSE)
+        cuts = fam.quantiles(df, COARSE)
         logliks = fam.logliks(cuts, coarse=True)
     finally:
         fam.layout.release()
@@ -275,7 +303,7 @@ def threshold_effect(df: DataFrame, var: str, family: str, covariates: Mapping[s
     hinge with both pieces; loglik: the two log-likelihoods (``lower``, ``upper``) and
     their likelihood-ratio statistic; lrt: its p-value.
     """
-    fam = _family(df, var, family, covariates, weight, **outcome)
+    fam = _family(df, var, family, covariates, weight, VALUES_ON_DRIVER, **outcome)
     try:
         cut = cutpoint if cutpoint is not None else _search(fam, df, None, None, 3, None, VALUES_ON_DRIVER)
         effects, ll0, ll2 = fam.effects(float(cut))

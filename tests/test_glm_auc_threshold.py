@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskset.operators.hinges import HingeSums
 from riskset.operators import auc, cox, design, glm, threshold
 from riskset.operators.frame import Model
 from riskset.plans import discrimination
@@ -97,6 +98,41 @@ def test_linear_search_by_definition(spark, both):
     assert abs(want - 33) < 2
 
 
+def test_every_cut_from_one_pass(spark):
+    """Fits with a hinge at any cut, from all values at hand, from a part of them, and from the table alone."""
+    r = np.random.default_rng(12)
+    n = 900
+    x, z, w = r.choice(np.round(1e5 + r.normal(0, 3, 400), 2), n), r.normal(1e4, 2, n), r.uniform(0.5, 2, n)
+    y = 1e6 + x + 2 * hinge(x, 1e5 + 1) - z + r.normal(0, 1, n)
+    rows = [tuple(map(float, v)) for v in zip(x, z, y, w)] + [(99_000.0, None, 1.0, 1.0), (None, 1.0, 1.0, 1.0), (100_500.0, 1.0, float("nan"), 1.0), (1e5, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "x double, z double, y double, w double").repartition(3)
+    cuts = [1e5 - 2.005, 1e5 + 0.123, float(np.sort(x)[500]), 1e5 + 5.5]
+
+    def loglik(c):
+        d = np.column_stack([np.ones(n), x - 1e5, z - 1e4, hinge(x, c)]) * np.sqrt(w)[:, None]
+        v = (y - 1e6) * np.sqrt(w)
+        rss = ((v - d @ np.linalg.lstsq(d, v, rcond=None)[0]) ** 2).sum()
+        return -0.5 * n * (math.log(2 * math.pi * rss / n) + 1) + 0.5 * np.log(w).sum()
+
+    want = [loglik(c) for c in cuts]
+    for limit in (10_000, 150, 0):
+        sums = HingeSums(df, "x", {"z": F.col("z")}, "y", "w", limit)
+        assert sums.whole == (limit == 10_000) and sums.n == n
+        assert sums.logliks(cuts) == pytest.approx(want, rel=1e-10)
+        low, high = 1e5 - 0.5, 1e5 + 0.7
+        inside = sorted({float(v) for v in x if low < v < high} | {1e5})
+        assert sums.values(low, high) == (None if limit == 0 else inside)
+        assert sums.logliks(inside[:5]) == pytest.approx([loglik(c) for c in inside[:5]], rel=1e-10)
+        if limit:
+            every = np.array([v[0] for v in rows if v[0] is not None])
+            assert sums.quantiles([0, 0.05, 0.333, 0.95, 1]) == pytest.approx(np.quantile(every, [0, 0.05, 0.333, 0.95, 1]).tolist(), rel=1e-15)
+        fits = sums.two_piece(1e5 + 1)
+        assert fits[1].loglik == pytest.approx(fits[2].loglik, rel=1e-12) == pytest.approx(loglik(1e5 + 1), rel=1e-10)
+        b0, b1 = fits[1].coef[fits[1].at("x")], fits[1].coef[fits[1].at("X2")]
+        assert fits[2].coef[fits[2].at("X1")] == pytest.approx(b0, rel=1e-7) and fits[2].coef[fits[2].at("X2")] == pytest.approx(b0 + b1, rel=1e-7)
+        sums.release()
+
+
 def test_cox_search_by_definition(spark, both):
     pdf, df = both
     x, t, e = pdf.x.to_numpy(), pdf.t.to_numpy(), pdf.e.to_numpy()
