@@ -18,6 +18,7 @@ WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 BROADCAST_ROWS = 100_000
+HOT_KEYS = 1_000
 SLICE_BYTES = 4_000_000
 SLICE_ROWS = 2048
 
@@ -59,6 +60,20 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, limit) else df
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and the number ``n`` of its rows.
+
+    Keys of more than one row in ``HOT_KEYS``, of which there are fewer than that, are joined by broadcast, so that no
+    task gets all rows of one; the rest by a shuffle. ``total``: the sum of ``n``, if it is known.
+    """
+    if total is None:
+        total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.filter(F.col("n") * HOT_KEYS > total)
+    rest = table.filter(F.col("n") * HOT_KEYS <= total)
+    first = rows.join(F.broadcast(hot), keys)
+    return first.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> U64(30))) * _M1

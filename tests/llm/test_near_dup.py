@@ -129,6 +129,39 @@ def test_links_of_followers_across_parts(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_refuted_pairs_are_no_rows(spark, monkeypatch):
+    """Texts that are all just below the limit to each other: rows sent grow with members times blocks, and no link comes out."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    sent = {}
+
+    def counted(df, name, keep=near_dup.stored):
+        out = keep(df, name)
+        sent[name] = sent.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "stored", counted)
+    monkeypatch.setattr(near_dup, "CHUNK", 100)
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(8), 5):  # about eleven changes in a hundred words, so that a pair is at 0.7 to 0.8
+            text[50 * at + rng.randrange(45)] = f"x{i}-{at}"
+        rows.append((i, " ".join(text)))
+    got = near_dup.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+    bands = sent["open"] / 300
+    assert sent["joined"] < 300 and sent["open"] <= 300 * near_dup.BANDS and bands > 1
+    assert "pairs" not in sent or sent["pairs"] <= 300 * near_dup.BANDS * near_dup.BEST
+
+
+def test_many_components_in_tiles_of_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CHUNK_SHINGLES", 900)
+    rows = corpus(seed=4, groups=12, size=9)
+    got = near_dup.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+
+
 def test_nulls_blanks_repeats_and_clashing_columns(spark):
     rows = [(4, None, 1), (2, "", 2), (7, " \n", 3), (9, "alpha beta", 4), (3, "ALPHA beta", 5), (3, "ALPHA beta", 5), (None, "alpha beta", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, bucket int").withColumn("weight", F.lit("x")).withColumn("root", F.lit(0))
