@@ -3,7 +3,7 @@
 
 def load():
     """(queries, SQL) with every module registered."""
-    from registry import describe, models, prep, survival  # noqa: F401
+    from registry import describe, models, prep, survival, wide  # noqa: F401
     from registry.core import QUERIES, SQL
 
     return QUERIES, SQL

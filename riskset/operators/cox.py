@@ -80,14 +80,15 @@ def _weights(plan: ModelPlan, x: np.ndarray, event: np.ndarray, w: np.ndarray):
     eta = part @ plan.beta
     with np.errstate(over="ignore"):
         risk = np.where(ok, w * np.exp(eta), 0.0)
-    return part, ok, eta, risk, np.where(ok, event, 0.0)
+    many = 1.0 if plan.counts is None else x[:, plan.counts]
+    return part, ok, eta, risk, np.where(ok, event, 0.0), many
 
 
-def _segment_sums(plan, part, ok, eta, risk, ev, w, starts) -> np.ndarray:
-    """One packed vector per segment of rows that are already grouped together."""
+def _segment_sums(plan, part, ok, eta, risk, ev, many, w, starts) -> np.ndarray:
+    """One packed vector per segment of rows that are already grouped together; ``many``: rows that one stands for."""
     p, n = plan.p, len(risk)
     iu = np.triu_indices(p)
-    cols = [ok.astype(float), risk, ev, ev * w, ev * risk, ev * w * eta]
+    cols = [ok * many, risk, ev * many, ev * w, ev * risk, ev * w * eta]
     add = lambda z: np.add.reduceat(z, starts, axis=0)
     head = add(np.column_stack(cols))
     rx, ex = part * risk[:, None], part * (ev * w)[:, None]
@@ -380,8 +381,8 @@ def _open_kernel(plans: Sequence[ModelPlan], efron: bool):
                 raise RuntimeError("rows of a bucket must come together, latest first")
             seen.update(bucket[new].tolist())
             for s in streams:
-                part, ok, eta, risk, ev = _weights(s.plan, x, event, w)
-                sums = _segment_sums(s.plan, part, ok, eta, risk, ev, w, starts)
+                part, ok, eta, risk, ev, many = _weights(s.plan, x, event, w)
+                sums = _segment_sums(s.plan, part, ok, eta, risk, ev, many, w, starts)
                 first = 0
                 if continues:
                     s.pending = (s.pending[0], s.pending[1] + sums[0])
@@ -413,14 +414,18 @@ class RiskLayout:
     """Rows projected to outcome, weight and base terms, laid out by time once for any number of batches.
 
     ``doubles`` is the state per time of the largest batch to come, which limits how many times are held as points.
-    The buckets of many times depend on the rows alone.
+    The buckets of many times depend on the rows alone. ``counts`` names a column of how many equal rows one stands for.
     """
 
     def __init__(self, df: DataFrame, time: str, event: str, design: Mapping[str, Column],
                  masks: Mapping[str, Column] | None = None, weight: str | None = None,
-                 doubles: int = 1, max_points: int | None = None, rows_per_bucket: int | None = None):
+                 doubles: int = 1, max_points: int | None = None, rows_per_bucket: int | None = None,
+                 counts: str | None = None):
+        if counts:
+            masks, weight = {**(masks or {}), counts: F.col(counts)}, weight or counts
         self.frame: Frame = build_frame(
             df, F.col(time), (F.col(event).cast("double") == 1).cast("double"), weight, design, masks)
+        self.frame.counts = counts
         limit = min(MAX_POINTS if max_points is None else max_points, STATE_DOUBLES // max(1, doubles))
         self.times = None
         self.moved = None

@@ -55,6 +55,7 @@ class Frame:
     first_mean: float
     index: dict[str, int] = field(default_factory=dict)
     pieces: int | None = None  #: partitions of a persisted frame
+    counts: str | None = None  #: the column that tells how many rows one stands for
 
     def ref(self, name: str) -> Column:
         """A term's column, to build further terms from."""
@@ -71,7 +72,7 @@ class Frame:
         names = [*self.names, *extra]
         scaling = Scaling(np.append(self.scaling.center, center), np.append(self.scaling.scale, scale))
         return Frame(df, names, scaling, self.n_rows, self.first_mean,
-                     {n: i for i, n in enumerate(names)}, self.pieces)
+                     {n: i for i, n in enumerate(names)}, self.pieces, self.counts)
 
     def release(self) -> None:
         self.df.unpersist()
@@ -157,6 +158,7 @@ class ModelPlan:
     scale: np.ndarray
     mask: int | None
     beta: np.ndarray
+    counts: int | None = None
 
     @property
     def p(self) -> int:
@@ -175,7 +177,8 @@ class ModelPlan:
 def model_plan(frame: Frame, model: Model, beta: np.ndarray) -> ModelPlan:
     cols = np.array([frame.index[t] for t in model.terms], dtype=int)
     return ModelPlan(cols, frame.scaling.center[cols], frame.scaling.scale[cols],
-                     None if model.rows is None else frame.index[model.rows], beta)
+                     None if model.rows is None else frame.index[model.rows], beta,
+                     None if frame.counts is None else frame.index[frame.counts])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[list[np.ndarray]]:

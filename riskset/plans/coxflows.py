@@ -6,6 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,31 +190,31 @@ SUBGROUP_SCHEMA = ("row_order int, variable string, level string, events long, t
                    "lower double, upper double, p_value double, p_interaction double")
 
 
+#: levels of all factors together that one aggregation counts side by side
+LEVELS_AT_ONCE = 300
+
+
 def subgroup_cox(df: DataFrame, time: str, event: str, arm: str, subgroups: Mapping[str, Sequence],
-                 interaction: str = "auto", **kw) -> DataFrame:
+                 interaction: str = "auto", compress: bool | None = None, **kw) -> DataFrame:
     """Effect of a 0/1 ``arm`` overall and within every level of every subgroup factor.
 
     ``subgroups`` maps each factor to its levels. All level models, and the models
-    with and without interaction, run as one batch over the same rows, each reading
-    its rows through a mask: no row is copied per subgroup. P for interaction is the
+    with and without interaction, run as one batch. P for interaction is the
     Wald test when one coefficient carries it and the likelihood-ratio test when
     several do; ``interaction`` forces ``"wald"`` or ``"lrt"``.
+
+    Where far fewer (time, event, arm, factor, level) cells than rows are to be expected, one pass counts the cells, and
+    every fit reads them in place of the rows. Else each model reads the rows through a mask: no row is copied
+    per subgroup. Both give the same numbers; ``compress`` forces one.
     """
-    treat = F.col(arm).cast("double")
-    design: dict[str, Column] = {arm: treat}
-    masks, models = {}, [Model("Overall", (arm,))]
-    for f, levels in subgroups.items():
-        dummies = dummy_code(f, levels)
-        crossed = {f"{arm}:{t}": treat * c for t, c in dummies.items()}
-        design.update(dummies)
-        design.update(crossed)
-        for v in levels:
-            masks[f"{f}={v}"] = F.coalesce((F.col(f).cast("string") == str(v)).cast("double"), F.lit(0.0))
-            models.append(Model(f"{f}={v}", (arm,), f"{f}={v}"))
-        models.append(Model(f"{f}|main", (arm, *dummies)))
-        models.append(Model(f"{f}|crossed", (arm, *dummies, *crossed)))
-    fits = {f.key: f for f in cox_fits(df, time, event, design, models, masks=masks, **kw)}
-    counts = _subgroup_counts(df, time, event, arm, subgroups)
+    if compress is None:
+        levels = sum(len(v) for v in subgroups.values())
+        compress = "weight" not in kw and levels <= LEVELS_AT_ONCE
+        if compress:
+            size = df.agg(F.approx_count_distinct(time).alias("times"), F.count(F.lit(1)).alias("rows")).first()
+            compress = 2 * 2 * 2 * size.times * (1 + levels) <= size.rows
+    run = _subgroups_from_cells if compress else _subgroups_from_rows
+    fits, counts = run(df, time, event, arm, subgroups, **kw)
 
     def line(key, variable, level, base):
         n = counts[key]
@@ -230,6 +231,72 @@ def subgroup_cox(df: DataFrame, time: str, event: str, arm: str, subgroups: Mapp
     return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], SUBGROUP_SCHEMA)
 
 
+def _subgroups_from_rows(df, time, event, arm, subgroups, **kw):
+    """The fits by key, and the counts of :func:`_subgroup_counts`; every model reads the rows."""
+    treat = F.col(arm).cast("double")
+    design: dict[str, Column] = {arm: treat}
+    masks, models = {}, [Model("Overall", (arm,))]
+    for f, levels in subgroups.items():
+        dummies = dummy_code(f, levels)
+        crossed = {f"{arm}:{t}": treat * c for t, c in dummies.items()}
+        design.update(dummies)
+        design.update(crossed)
+        for v in levels:
+            masks[f"{f}={v}"] = F.coalesce((F.col(f).cast("string") == str(v)).cast("double"), F.lit(0.0))
+            models.append(Model(f"{f}={v}", (arm,), f"{f}={v}"))
+        models.append(Model(f"{f}|main", (arm, *dummies)))
+        models.append(Model(f"{f}|crossed", (arm, *dummies, *crossed)))
+    fits = {f.key: f for f in cox_fits(df, time, event, design, models, masks=masks, **kw)}
+    return fits, _subgroup_counts(df, time, event, arm, subgroups)
+
+
+def subgroup_cells(df: DataFrame, time: str, event: str, arm: str, subgroups: Mapping[str, Sequence]) -> DataFrame:
+    """(factor, level, time, event, arm, n): how many rows each cell has, from one pass; factor -1 is all rows."""
+    number = lambda c: F.col(c).cast("double")
+    rows = df.select(number(time).alias("time"), (number(event) == 1).cast("double").alias("event"), number(arm).alias("arm"),
+                     *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(subgroups)]).dropna(subset=["time", "event", "arm"])
+    places = [(i, j, str(v)) for i, levels in enumerate(subgroups.values()) for j, v in enumerate(levels)]
+    wide = rows.groupBy("time", "event", "arm").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"f{i}") == v).alias(f"n{i}_{j}") for i, j, v in places])
+    cells = [F.struct(F.lit(-1).alias("factor"), F.lit(0).alias("level"), F.col("n").alias("n"))]
+    cells += [F.struct(F.lit(i).alias("factor"), F.lit(j).alias("level"), F.col(f"n{i}_{j}").alias("n")) for i, j, _ in places]
+    long = wide.select("time", "event", "arm", F.explode(F.array(*cells)).alias("cell"))
+    return long.select("cell.factor", "cell.level", "time", "event", "arm", "cell.n").where("n > 0")
+
+
+def _subgroups_from_cells(df, time, event, arm, subgroups, **kw):
+    """As :func:`_subgroups_from_rows`, from counted cells."""
+    cells = subgroup_cells(df, time, event, arm, subgroups).persist(StorageLevel.MEMORY_AND_DISK)
+    widest = max((len(v) for v in subgroups.values()), default=1)
+    design = {"arm": F.col("arm")}
+    design.update({f"level{j}": (F.col("level") == j).cast("double") for j in range(1, widest)})
+    design.update({f"arm:level{j}": F.col("arm") * design[f"level{j}"] for j in range(1, widest)})
+    of = lambda i: (F.col("factor") == i)
+    masks, models = {"all": of(-1).cast("double")}, [Model("Overall", ("arm",), "all")]
+    for i, (f, levels) in enumerate(subgroups.items()):
+        masks[f"{i}"] = of(i).cast("double")
+        dummies = [f"level{j}" for j in range(1, len(levels))]
+        for j, v in enumerate(levels):
+            masks[f"{i}={j}"] = (of(i) & (F.col("level") == j)).cast("double")
+            models.append(Model(f"{f}={v}", ("arm",), f"{i}={j}"))
+        models.append(Model(f"{f}|main", ("arm", *dummies), f"{i}"))
+        models.append(Model(f"{f}|crossed", ("arm", *dummies, *[f"arm:{d}" for d in dummies]), f"{i}"))
+    try:
+        fits = {f.key: f for f in cox_fits(cells, "time", "event", design, models, masks=masks, counts="n", **kw)}
+        rows = (cells.where(F.col("arm").isin(0.0, 1.0)).groupBy("factor", "level", "arm")
+                .agg(F.sum(F.col("event") * F.col("n")).alias("events"), F.sum("n").alias("total")).collect())
+    finally:
+        cells.unpersist()
+    for fit in fits.values():
+        fit.terms = [t.replace("arm", arm, 1) if t == "arm" or t.startswith("arm:") else t for t in fit.terms]
+    names = list(subgroups)
+    counts = _no_counts(subgroups)
+    for r in rows:
+        key = "Overall" if r.factor < 0 else f"{names[r.factor]}={list(subgroups[names[r.factor]])[r.level]}"
+        counts[key][int(r.arm)] = [int(r.events), int(r.total)]
+    return fits, counts
+
+
 def _interaction_p(main: CoxFit, crossed: CoxFit, arm: str, how: str) -> float | None:
     terms = [t for t in crossed.terms if t.startswith(f"{arm}:")]
     live = [t for t in terms if not math.isnan(crossed.coef[crossed.at(t)])]
@@ -241,6 +308,10 @@ def _interaction_p(main: CoxFit, crossed: CoxFit, arm: str, how: str) -> float |
     return chi2_tail(max(2 * (crossed.loglik - main.loglik), 0.0), len(live))
 
 
+def _no_counts(subgroups) -> dict[str, list[list[int]]]:
+    return {k: [[0, 0], [0, 0]] for k in ["Overall", *[f"{f}={v}" for f, levels in subgroups.items() for v in levels]]}
+
+
 def _subgroup_counts(df, time, event, arm, subgroups) -> dict[str, list[list[int]]]:
     """Per subgroup key: [events, total] in arm 0 and arm 1; one aggregation for all factors."""
     keys = [F.when(F.col(f).cast("string").isin([str(v) for v in levels]),
@@ -250,10 +321,7 @@ def _subgroup_counts(df, time, event, arm, subgroups) -> dict[str, list[list[int
                     F.explode(F.array(F.lit("Overall"), *keys)).alias("key"))
             .where(F.col("key").isNotNull())
             .groupBy("key", "arm").agg(F.sum("ev").alias("events"), F.count(F.lit(1)).alias("total")).collect())
-    out = {"Overall": [[0, 0], [0, 0]]}
-    for f, levels in subgroups.items():
-        for v in levels:
-            out[f"{f}={v}"] = [[0, 0], [0, 0]]
+    out = _no_counts(subgroups)
     for r in rows:
         out[r["key"]][r["arm"]] = [int(r["events"]), int(r["total"])]
     return out

@@ -201,6 +201,24 @@ def test_subgroups(spark, days):
     assert out[4].p_interaction == pytest.approx(math.exp(-stat / 2), rel=1e-5)
 
 
+@pytest.mark.parametrize("layout", [{}, {"max_points": 5, "rows_per_bucket": 20}])
+@pytest.mark.parametrize("ties", ["efron", "breslow"])
+def test_subgroups_from_counted_cells(spark, days, layout, ties):
+    """Fourteen factors, some with gaps and values that are no level: the cells give what the rows give."""
+    _, df = days
+    df = df.withColumn("arm", (F.col("x1") > 50).cast("int"))
+    factors = {"f": ["a", "b"], "x2": [0.0, 1.0]}
+    for k in range(12):
+        df = df.withColumn(f"g{k}", F.when(F.pmod(F.hash("t", "x1", F.lit(k)), F.lit(11)) != 0, F.pmod(F.hash("x1", F.lit(k)), F.lit(2 + k % 3)).cast("string")))
+        factors[f"g{k}"] = [str(v) for v in range(2 + k % 3)]
+    df = df.withColumn("e", F.when(F.col("t") != 3, F.col("e"))).persist()
+    rows, cells = (coxflows.subgroup_cox(df, "t", "e", "arm", factors, compress=c, ties=ties, **layout).collect() for c in (False, True))
+    assert len(rows) == len(cells) == 1 + sum(1 + len(v) for v in factors.values())
+    for a, b in zip(rows, cells):
+        for name, x, y in zip(a.__fields__, a, b):
+            assert (x == pytest.approx(y, rel=1e-6, abs=1e-9)) if isinstance(x, float) else x == y, (a.variable, a.level, name)
+
+
 def test_model_groups_respect_the_state_limit():
     models = [Model(str(i), tuple(f"x{j}" for j in range(30))) for i in range(40)]
     groups = cox.model_groups(models)
