@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskset.functions.tails import chi2_tail_column, f_tail_column
-from riskset.operators.ordering import running_sums
+from riskset.operators.ordering import order_cuts, running_sums
 from riskset.operators.small import join_checked
 
 
@@ -48,9 +48,24 @@ def one_way_anova(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
     subtracting large numbers: every variable is first moved by a value near its own, so that what is summed is as small as
     the variable's spread, however far from zero it lies.
     """
-    shifted = df.select(group, *[(F.col(c).cast("double") - F.lit(v)).alias(c) for c, v in near_values(df, cols).items()])
-    per_group = _long(shifted, cols, group, False).groupBy("variable", "stratum").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    return anova_from_moments(group_moments(df, cols, group))
+
+
+def group_moments(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
+    """(variable, stratum, n, near, m, v, sd): count, and mean, population variance and standard deviation about ``near``, from one pass."""
+    near = near_values(df, cols)
+    clean = [F.when(~F.isnan(v), v) for v in (F.col(c).cast("double") - F.lit(near[c]) for c in cols)]
+    wide = df.where(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("stratum")).agg(
+        *[x for i, c in enumerate(clean) for x in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}"), F.stddev_samp(c).alias(f"s{i}"))])
+    entries = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n"), F.lit(near[c]).alias("near"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"),
+                 F.col(f"s{i}").alias("sd")) for i, c in enumerate(cols)]))
+    return wide.select("stratum", entries.alias("__cell")).select("__cell.variable", "stratum", "__cell.n", "__cell.near", "__cell.m", "__cell.v", "__cell.sd")
+
+
+def anova_from_moments(moments: DataFrame) -> DataFrame:
+    """:func:`one_way_anova` from the result of :func:`group_moments`."""
+    per_group = moments.where("n > 0")
     whole = per_group.groupBy("variable").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     away = F.col("m") - F.col("mean")
     tot = (per_group.join(F.broadcast(whole), "variable")  # one row per variable
@@ -77,7 +92,12 @@ def kruskal_wallis(df: DataFrame, cols: Sequence[str], group: str,
     long = _long(df, cols, group, False)
     groups = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().take(groups_as_columns + 1)]
     wide = 0 < len(groups) <= groups_as_columns
-    per_group = (_rank_sums_wide if wide else _rank_sums_long)(long, groups, rows_per_bucket)
+    per_group = ranked_groups(df, cols, group, groups, (), rows_per_bucket) if wide else _rank_sums_long(long, groups, rows_per_bucket)
+    return kruskal_from_ranks(per_group)
+
+
+def kruskal_from_ranks(per_group: DataFrame) -> DataFrame:
+    """:func:`kruskal_wallis` from (variable, n, r, tie): each group's size and rank sum, and the variable's ties."""
     # deviations from the mean rank avoid subtracting two huge sums
     per_group, total = per_group.select("variable", "n", "r", "tie"), F.col("total")
     whole = per_group.groupBy("variable").agg(F.sum("n").alias("total"))
@@ -97,19 +117,42 @@ def _midranks(ranked: DataFrame, *keep: str) -> DataFrame:
                          (t * t * t - t).alias("tie"))
 
 
-def _rank_sums_wide(long: DataFrame, groups: Sequence, rows_per_bucket: int | None) -> DataFrame:
-    """(variable, n, r, tie) per group; one shuffle of the counts."""
+def ranked_groups(df: DataFrame, cols: Sequence[str], group: str, groups: Sequence, probs: Sequence[float] = (),
+                  rows_per_bucket: int | None = None) -> DataFrame:
+    """(variable, stratum, n, r, tie, q0, q1, ...): each group's size, rank sum among all, and exact interpolated quantiles.
+
+    One structure gives them all: counts per (variable, value) with a column for each group, and their running sums over the
+    values. ``groups`` are few; groups without values of a variable are left out.
+    """
+    long = _long(df, cols, group, False)
+    size = range(len(groups))
     counts = [F.count_if(F.col("stratum") == g).alias(f"n{i}") for i, g in enumerate(groups)]
     values = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("t"), *counts)
-    ranked = _midranks(running_sums(values, ["variable"], "value", ["t"], rows_per_bucket=rows_per_bucket),
-                       *[f"n{i}" for i in range(len(groups))])
+    along = ["t", *[f"n{i}" for i in size]] if probs else ["t"]
+    values, cuts = order_cuts(values, "value", rows_per_bucket)
+    ranked = running_sums(values, ["variable"], "value", along, cuts=cuts)
+    t = F.col("t").cast("double")
+    ranked = ranked.withColumns({"midrank": F.col("cum_t") - t + (t + 1) / 2, "ties": t * t * t - t})
+    wanted = []
+    if probs:
+        totals = values.groupBy("variable").agg(*[F.sum(f"n{i}").alias(f"all{i}") for i in size])
+        ranked = ranked.join(F.broadcast(totals), "variable")  # one row per variable
+        for i in size:
+            for k, p in enumerate(probs):
+                h = (F.col(f"all{i}") - 1) * F.lit(float(p))
+                holding = lambda r: F.min(F.when(F.col(f"cum_n{i}") >= r + 1, F.col("value")))  # noqa: B023, E731
+                wanted += [holding(F.floor(h)).alias(f"lo{i}_{k}"), holding(F.ceil(h)).alias(f"hi{i}_{k}"), F.max(h - F.floor(h)).alias(f"part{i}_{k}")]
     sums = ranked.groupBy("variable").agg(
-        F.sum("tie").alias("tie"),
-        *[x for i in range(len(groups)) for x in (F.sum(F.col(f"n{i}").cast("double")).alias(f"n{i}"),
-                                                  F.sum(F.col(f"n{i}") * F.col("midrank")).alias(f"r{i}"))])
-    parts = F.explode(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"))
-                                for i in range(len(groups))]))
-    return sums.select("variable", "tie", parts.alias("__cell")).select("variable", "__cell.n", "__cell.r", "tie").where("n > 0")
+        F.sum("ties").alias("tie"), *wanted,
+        *[x for i in size for x in (F.sum(F.col(f"n{i}").cast("double")).alias(f"n{i}"), F.sum(F.col(f"n{i}") * F.col("midrank")).alias(f"r{i}"))])
+
+    def quantile(i, k):
+        a, b = F.col(f"lo{i}_{k}"), F.col(f"hi{i}_{k}")
+        return F.when(a == b, a).otherwise(a + F.col(f"part{i}_{k}") * (b - a)).alias(f"q{k}")
+
+    parts = F.explode(F.array(*[F.struct(F.lit(str(g)).alias("stratum"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"),
+                                         *[quantile(i, k) for k in range(len(probs))]) for i, g in enumerate(groups)]))
+    return sums.select("variable", "tie", parts.alias("__cell")).select("variable", "tie", "__cell.*").where("n > 0")
 
 
 def _rank_sums_long(long: DataFrame, groups: Sequence, rows_per_bucket: int | None) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskset.functions.columns import format_p_floor, nan_to_null, round_n
-from riskset.operators.nonparam import chi_square_from_counts, kruskal_wallis, one_way_anova
+from riskset.functions.columns import format_p_floor, round_n
+from riskset.operators.nonparam import (
+    GROUPS_AS_COLUMNS, anova_from_moments, chi_square_from_counts, group_moments, kruskal_from_ranks, kruskal_wallis, ranked_groups,
+)
 from riskset.operators.quantiles import quantile7
 
 OVERALL = "Overall"
@@ -17,14 +19,11 @@ OVERALL = "Overall"
 
 def continuous_moments(df: DataFrame, cols: Sequence[str], stratum: str) -> DataFrame:
     """(variable, stratum, n, mean, sd)."""
-    clean = [nan_to_null(F.col(c).cast("double")) for c in cols]
-    wide = df.groupBy(F.col(stratum).cast("string").alias("stratum")).agg(
-        *[x for i, c in enumerate(clean) for x in (
-            F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))])
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
-                 F.col(f"s{i}").alias("sd")) for i, c in enumerate(cols)]))
-    return wide.select("stratum", entries.alias("__cell")).select("__cell.variable", "stratum", "__cell.n", "__cell.mean", "__cell.sd")
+    return _means(group_moments(df, cols, stratum))
+
+
+def _means(moments: DataFrame) -> DataFrame:
+    return moments.select("variable", "stratum", "n", (F.col("near") + F.col("m")).alias("mean"), "sd")
 
 
 def continuous_medians(df: DataFrame, cols: Sequence[str], stratum: str) -> DataFrame:
@@ -98,12 +97,22 @@ def baseline_table(df: DataFrame, variables: Sequence[str], strata: str | None =
         null("double", "spread_low"), null("double", "spread_high"), null("double", "percent"),
         F.col("n").cast("string").alias("summary"), null("int", "level_order"))]
     if normal:
-        parts.append(continuous_moments(data, normal, by).select(
+        moments = group_moments(data, normal, by).persist()  # one row per variable and stratum, wanted again by the test
+        parts.append(_means(moments).select(
             "variable", null("string", "level"), "stratum", "n", F.col("mean").alias("center"),
             F.col("sd").alias("spread_low"), F.col("sd").alias("spread_high"), null("double", "percent"),
             F.format_string("%.2f (%.2f)", round_n("mean", 2), round_n("sd", 2)).alias("summary"), null("int", "level_order")))
     if skewed:
-        parts.append(continuous_medians(data, skewed, by).select(
+        groups = [r[0] for r in data.select(by).distinct().take(GROUPS_AS_COLUMNS + 1)]
+        if 0 < len(groups) <= GROUPS_AS_COLUMNS:
+            # medians, quartiles and rank sums from one structure: one row per variable and stratum
+            ranks = ranked_groups(data, skewed, by, groups, [0.25, 0.5, 0.75]).persist()
+            cells = data.sparkSession.createDataFrame([(v, str(g)) for v in skewed for g in groups], "variable string, stratum string")
+            medians = cells.join(ranks, ["variable", "stratum"], "left").select(
+                "variable", "stratum", F.col("q1").alias("median"), F.col("q0").alias("q1"), F.col("q2").alias("q3"))
+        else:
+            ranks, medians = None, continuous_medians(data, skewed, by)
+        parts.append(medians.select(
             "variable", null("string", "level"), "stratum", null("bigint", "n"), F.col("median").alias("center"),
             F.col("q1").alias("spread_low"), F.col("q3").alias("spread_high"), null("double", "percent"),
             F.format_string("%.2f [%.2f, %.2f]", round_n("median", 2), round_n("q1", 2), round_n("q3", 2)).alias("summary"), null("int", "level_order")))
@@ -119,10 +128,10 @@ def baseline_table(df: DataFrame, variables: Sequence[str], strata: str | None =
     if test and strata:
         tests = []
         if normal:
-            tests.append(one_way_anova(data, normal, by).select("variable", "p_value", F.lit("anova").alias("test")))
+            tests.append(anova_from_moments(moments).select("variable", "p_value", F.lit("anova").alias("test")))
         if skewed:
-            tests.append(kruskal_wallis(data, skewed, by).select(
-                "variable", "p_value", F.lit("kruskal").alias("test")))
+            ranked = kruskal_wallis(data, skewed, by) if ranks is None else kruskal_from_ranks(ranks)
+            tests.append(ranked.select("variable", "p_value", F.lit("kruskal").alias("test")))
         if cats:
             cells = counted.where(F.col("n") > 0).select(
                 "variable", F.col("level").alias("value"), "stratum", "n")
