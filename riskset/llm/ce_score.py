@@ -6,7 +6,7 @@ models differ by what they have seen only:
 
     p(w) = (c(w) + ADD) / (n + ADD * words),   p(w | v) = (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR)
 
-where ``words`` is the number of different words of the corpus, ``WORDS`` if there are fewer. A document's score is the
+where ``words`` is the number of different words of the corpus. A document's score is the
 mean over its words of target loss minus background loss (natural logarithms); the lower, the more it reads like the
 target. Its own words are taken out of the counts first, out of the target's too if it belongs to it, so that no document
 is scored by a model that has seen it.
@@ -38,19 +38,18 @@ from pyspark.sql import functions as F
 
 from riskset.llm.common import U64, hinted, mix, stored, text_slices, word_hashes
 
-WORDS = 2 ** 18  #: different words that the smoothing allows for at least
 ADD = 0.1
 PRIOR = 20.0
 TARGET_IDS = 500_000  #: ids of target documents that are broadcast at most
 BUCKETS = 64  #: at least
-BUCKET_KEYS = 2_000_000  #: words of the corpus for each bucket of keys, which one task adds up in memory
+BUCKET_KEYS = 1_000_000  #: words of the corpus for each bucket of keys, which one task adds up in memory
 _START = U64(0x27220A95FE1D83B5)
 _FACTOR = U64(0x9FB21C651E98DF25)
 _SINGLE, _PAIR = 0, 1  #: kinds of keys
 
 _SLICE = "words binary, vocabulary binary, sizes binary, target binary, n_words long, n_target long, n_docs long, n_target_docs long"
-_ASKED = "slice string, kind int, bucket long, keys binary, counts binary"
-_ANSWER = "slice string, kind int, bucket long, counts binary, distinct long"
+_ASKED = "slice long, kind int, bucket long, keys binary, counts binary"
+_ANSWER = "slice long, kind int, bucket long, counts binary, distinct long"
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -84,7 +83,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = part.column("target").to_numpy(zero_copy_only=False).astype(bool)
         vocabulary, words = np.unique(hashes, return_inverse=True)
         ids = part.column("doc_id")
-        row = {"slice": [uuid.uuid4().hex], "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+        row = {"slice": [uuid.uuid4().int >> 65], "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                "words": [_packed(words)], "vocabulary": [_packed_sorted(vocabulary)], "sizes": [_packed(sizes)], "target": [_packed(target)],
                "n_words": [int(sizes.sum())], "n_target": [int(sizes[target].sum())], "n_docs": [int((sizes > 0).sum())],
                "n_target_docs": [int((sizes[target] > 0).sum())]}
@@ -231,7 +230,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = (rows.join(hinted(named, TARGET_IDS), "doc_id", "left")
             .select("doc_id", "text", F.coalesce("named", F.lit(False)).alias("target")))
-    slices = stored(rows.mapInArrow(_slices, f"slice string, doc_ids array<{id_type}>, {_SLICE}"), "slices")
+    slices = stored(rows.mapInArrow(_slices, f"slice long, doc_ids array<{id_type}>, {_SLICE}"), "slices")
     sums = slices.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_target", "n_docs", "n_target_docs")]).first()
     totals = sums.asDict()
     buckets = max(BUCKETS, totals["n_words"] // BUCKET_KEYS + 1)
@@ -242,4 +241,4 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     both = texts.unionByName(answers.drop("distinct"), allowMissingColumns=True)
     schema = f"doc_id {id_type}, n_words long, target_loss double, background_loss double, score double"
     return (both.repartition("slice").sortWithinPartitions("slice", "kind", "bucket")
-            .mapInArrow(_score(totals, max(WORDS, different)), schema))
+            .mapInArrow(_score(totals, max(1, different)), schema))

@@ -17,7 +17,7 @@ def words(text):
 
 def brute(rows, target):
     """Losses from plain dictionaries, other documents' counts only; None for a text without words."""
-    out = []
+    out, different = [], len({w for _, t in rows for w in words(t)})
     for k, (doc, text) in enumerate(rows):
         own = words(text)
         if not own:
@@ -37,7 +37,7 @@ def brute(rows, target):
                         last = w
             loss, last = 0.0, None
             for w in own:
-                p = (single.get(w, 0) + ce_score.ADD) / (totals[1] + ce_score.ADD * ce_score.WORDS)
+                p = (single.get(w, 0) + ce_score.ADD) / (totals[1] + ce_score.ADD * different)
                 loss -= math.log((pair.get((last, w), 0) + ce_score.PRIOR * p) / (before.get(last, 0) + ce_score.PRIOR))
                 last = w
             losses.append(loss / len(own))
