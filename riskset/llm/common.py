@@ -74,6 +74,15 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int
     return first.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
 
 
+def left_counted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`join_counted`, keeping rows whose key ``table`` lacks, and without ``n``."""
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.filter(F.col("n") * HOT_KEYS > total).drop("n")
+    rest = table.filter(F.col("n") * HOT_KEYS <= total).drop("n")
+    first = rows.join(F.broadcast(hot), keys)
+    return first.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> U64(30))) * _M1

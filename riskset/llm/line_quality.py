@@ -1,17 +1,17 @@
 """Quality rules: base counts of a text, and lines that recur across a host's documents.
 
 Lines are normalised (white space squeezed, A-Z lower-cased), hashed, and counted over the distinct documents of each
-host; exact copies of a text count as one document. Lines on more than ``MAX_DOCS`` documents and more than ``MAX_SHARE``
-of the host's are boilerplate and are removed; a document that loses more than ``DEPLETED`` of its words is rejected, and
+host; exact copies of a text count as one document. Lines on more than ``MAX_DOCS`` documents are boilerplate where they
+are on more than ``MAX_SHARE`` of the host's, and lines on more than ``MANY_DOCS`` whatever the host's size; they are removed; a document that loses more than ``DEPLETED`` of its words is rejected, and
 so is one that fails the base rules (fewer than 50 words, or over half its words inside repeated three-word windows).
 The host is the document's ``source``.
 
 Defined results: a null or empty text has no words and fails. Rows repeated with one id are judged each. A null source
 is a host of its own. An empty table gives no rows.
 
-A host has at most (lines per document / ``MAX_SHARE``) boilerplate lines. They are broadcast as one row for each host if their
-counted number allows, else joined with the host's documents dealt over ``SPREAD`` keys. Counting goes over (host, line,
-document) first, so that a line on a third of the rows is summed in parts.
+Very long texts are read whole, in slices of their own. Counting goes over (host, line, document) first, so that a line on a
+third of the rows is summed in parts. Each text gets the boilerplate lines that it holds and no others, so that no row grows
+with its host; frequent lines and texts with many copies are joined by broadcast, the rest by a shuffle.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskset.llm.common import WS_CHARS, small_enough, stored, text_slices
+from riskset.llm.common import WS_CHARS, join_counted, left_counted, stored, text_slices
 
 MAX_DOCS = 20
 MAX_SHARE = 0.05
+MANY_DOCS = 200
 DEPLETED = 0.5
 MIN_WORDS = 50
 MAX_REPEAT = 50  #: percent of words in repeated windows
 SYMBOLS = "#*$%&|<>"
-SPREAD = 64
-BROADCAST_LINES = 200_000
+BROADCAST_LINES = 200_000  #: places of boilerplate lines in texts that are broadcast at most
 
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -77,19 +77,18 @@ def _signed(hashes: list[int]) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
-        base, same, offsets, hashes, counts = [], [], [0], [], []
+        base, offsets, hashes, counts = [], [0], [], []
         for text in part.column("text"):
             text = text.as_py() or ""
             b, h, c = measure(text)
             base.append(b)
-            same.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
             hashes += h
             counts += c
             offsets.append(len(hashes))
         ends = pa.array(offsets, pa.int32())
         columns = [pa.array([b[i] for b in base], pa.int64()) for i in range(len(_BASE))]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("host"), *columns, pa.array(_signed(same)),
+            [part.column("doc_id"), part.column("host"), *columns, part.column("same"),
              pa.ListArray.from_arrays(ends, pa.array(_signed(hashes))), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))],
             ["doc_id", "host", *_BASE, "same", "hashes", "counts"])
 
@@ -119,37 +118,46 @@ def _verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", *_BASE, "base_failed", "kept", "boilerplate_words"])
 
 
+def _hash_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), text.alias("text"), _hash_of(text).alias("same"))
     schema = (f"doc_id {dict(docs.dtypes)[id_col]}, host string, {', '.join(f'{c} long' for c in _BASE)}, "
               "same long, hashes array<long>, counts array<int>")
     return stored(rows.mapInArrow(_measure, schema), "measured")
 
 
-def boilerplate(measured: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line): the lines on too many of the host's distinct documents."""
-    lines = (measured.select("host", "same", F.explode(F.array_distinct("hashes")).alias("line")).filter("line <> 0")
-             .distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs))
+def boilerplate(measured: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """(key, often, n): for every text with boilerplate lines, by a struct of its host and hash, those lines and its copies."""
+    lines = stored(measured.select("host", "same", F.explode(F.array_distinct("hashes")).alias("line")).filter("line <> 0").distinct(), "lines")
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs)
     totals = measured.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    many = lines.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-    return stored(many.filter(F.col("n") > max_share * F.col("docs")).select("host", "line"), "boilerplate")
+    many = counted.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
+    many = many.filter((F.col("n") > max_share * F.col("docs")) | (F.col("n") > many_docs))
+    often = stored(many.select(F.struct("host", "line").alias("key"), "n"), "boilerplate")
+    places = join_counted(lines.withColumn("key", F.struct("host", "line")), often, ["key"])
+    held = places.groupBy(F.struct("host", "same").alias("key")).agg(F.collect_set("line").alias("often"))
+    copies = measured.groupBy(F.struct("host", "same").alias("key")).agg(F.count("*").alias("n"))
+    return stored(held.join(copies, "key"), "held")
 
 
-def _with_boilerplate(rows: DataFrame, often: DataFrame, salt: Column) -> DataFrame:
-    """``rows`` with the array ``often`` of its host's boilerplate lines; their struct column ``key`` holds the host."""
-    lists = often.groupBy("host").agg(F.collect_set("line").alias("often")).select(F.struct("host").alias("key"), "often")
-    if small_enough(often, BROADCAST_LINES):
-        return rows.join(F.broadcast(lists), "key", "left")
-    spread = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return rows.withColumn("part", F.pmod(salt, F.lit(SPREAD)).cast("int")).join(spread, ["key", "part"], "left").drop("part")
+def _with_boilerplate(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """``rows`` with the array ``often`` of the boilerplate lines that the text holds, or null; they have the struct ``key``."""
+    size = held.agg(F.coalesce(F.sum(F.size("often")), F.lit(0))).first()[0]
+    if size <= BROADCAST_LINES:
+        return rows.join(F.broadcast(held.drop("n")), "key", "left")
+    return left_counted(rows, held, ["key"])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
-          max_share: float = MAX_SHARE) -> DataFrame:
+          max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
     """(doc_id, base counts, base_failed, kept, boilerplate_words) for every row of ``docs``."""
     measured = _measured(docs, id_col, text_col, host_col)
-    often = boilerplate(measured, max_docs, max_share)
-    joined = _with_boilerplate(measured.withColumn("key", F.struct("host")), often, F.xxhash64("doc_id", "same"))
+    held = boilerplate(measured, max_docs, max_share, many_docs)
+    joined = _with_boilerplate(measured.withColumn("key", F.struct("host", "same")), held)
     schema = (f"doc_id {dict(docs.dtypes)[id_col]}, {', '.join(f'{c} long' for c in _BASE)}, base_failed boolean, kept boolean, "
               "boilerplate_words long")
     return joined.select("doc_id", *_BASE, "hashes", "counts", "often").mapInArrow(_verdict, schema)
@@ -174,13 +182,13 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
-              max_share: float = MAX_SHARE) -> DataFrame:
+              max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
     """``docs`` without the rejected documents and without boilerplate lines in the others' texts."""
-    often = boilerplate(_measured(docs, id_col, text_col, host_col), max_docs, max_share)
+    held = boilerplate(_measured(docs, id_col, text_col, host_col), max_docs, max_share, many_docs)
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("own"), F.col(f"`{text_col}`").alias("text"),
-                       F.struct(F.col(f"`{host_col}`").cast("string").alias("host")).alias("key"))
-    joined = _with_boilerplate(rows, often, F.xxhash64(F.col("own")[id_col], "text")).select("own", "text", "often")
+                       F.struct(F.col(f"`{host_col}`").cast("string").alias("host"), _hash_of(F.col(f"`{text_col}`")).alias("same")).alias("key"))
+    joined = _with_boilerplate(rows, held).select("own", "text", "often")
     own = joined.schema["own"].dataType.simpleString()
     out = joined.mapInArrow(_clean, f"own {own}, kept_text string")
     return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])

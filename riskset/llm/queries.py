@@ -110,7 +110,7 @@ keyed AS (
 totals AS (SELECT host, count(DISTINCT text) AS docs FROM docs GROUP BY host),
 boilerplate AS (
   SELECT k.host, key FROM keyed k JOIN totals t ON k.host IS NOT DISTINCT FROM t.host
-  GROUP BY k.host, key, t.docs HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05 * t.docs),
+  GROUP BY k.host, key, t.docs HAVING count(DISTINCT text) > 20 AND (count(DISTINCT text) > 0.05 * t.docs OR count(DISTINCT text) > 200)),
 by_doc AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
          CAST(coalesce(sum(n) FILTER (b.key IS NOT NULL), 0) AS BIGINT) AS boilerplate_words

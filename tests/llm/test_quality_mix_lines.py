@@ -50,14 +50,14 @@ def normal(line):
     return " ".join(WORD.findall(line)).translate(LOWER)
 
 
-def brute_quality(rows, max_docs, share):
+def brute_quality(rows, max_docs, share, many):
     texts, docs = {}, {}
     for _, text, _, host, _ in rows:
         docs.setdefault(host, set()).add(text or "")
         for line in (text or "").split("\n"):
             if normal(line):
                 texts.setdefault((host, normal(line)), set()).add(text)
-    often = {k for k, v in texts.items() if len(v) > max_docs and len(v) > share * len(docs[k[0]])}
+    often = {k for k, v in texts.items() if len(v) > max_docs and (len(v) > share * len(docs[k[0]]) or len(v) > many)}
     out = []
     for doc, text, _, host, _ in rows:
         n, *rest = base(text)
@@ -72,12 +72,15 @@ def test_quality_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(line_quality, "BROADCAST_LINES", limit)
     notice = " ".join(f"n{i}" for i in range(55))
     rows = corpus() + [(800 + i, f"{notice}\nown words {i}" + " more" * (i % 3) + f" z{i}" * (i % 5 > 3) * 90, "en", "long", 0) for i in range(30)]
+    # in a large host, a notice on 25 documents of 230 is above the absolute limit alone, another on 18 is below it
+    rows += [(900 + i, f"{notice if i < 25 else 'other ' + notice if i < 43 else ''}\nlarge host {i}" + f" q{i}" * 30, "en", "large", 0) for i in range(230)]
     df = frame(spark, rows).repartition(4)
-    want = brute_quality(rows, 15, 0.2)
-    got = line_quality.judge(df, max_docs=15, max_share=0.2)
+    want = brute_quality(rows, 15, 0.2, 20)
+    assert not any(w[-1] for (w, _), r in zip(want, rows) if r[3] == "large" and r[0] < 925) and all(w[-1] for (w, _), r in zip(want, rows) if r[3] == "large" and 925 <= r[0] < 943)
+    got = line_quality.judge(df, max_docs=15, max_share=0.2, many_docs=20)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert sorted((tuple(r) for r in got.select(columns).collect()), key=str) == sorted((w for w, _ in want), key=str)
-    kept = line_quality.keep_good(df, max_docs=15, max_share=0.2)
+    kept = line_quality.keep_good(df, max_docs=15, max_share=0.2, many_docs=20)
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((w[0], t) for w, t in want if w[-1]), key=str)
     assert any(w[-1] for w, _ in want) and any(not w[-1] and not w[-2] for w, _ in want)
