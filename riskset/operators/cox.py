@@ -169,7 +169,7 @@ def _starts(sizes: Sequence[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(int)
 
 
-def _vector_batch(rows: Sequence[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+def vector_batch(rows: Sequence[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     offsets = pa.array(np.cumsum([0] + [len(v) for _, v in rows]), pa.int32())
     values = pa.array(np.concatenate([v for _, v in rows]) if rows else np.zeros(0))
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.ListArray.from_arrays(offsets, values)], ["bucket", "stats"])
@@ -200,10 +200,10 @@ def _total_kernel(plans: Sequence[ModelPlan]):
             for b, row in zip(code[starts].tolist(), sums):
                 held[b] = held[b] + row if b in held else row
             if len(held) * width > STATE_DOUBLES:
-                yield _vector_batch(list(held.items()))
+                yield vector_batch(list(held.items()))
                 held = {}
         if held:
-            yield _vector_batch(list(held.items()))
+            yield vector_batch(list(held.items()))
 
     return kernel
 
@@ -217,7 +217,7 @@ def _later_kernel(batches):
             continue
         after = np.zeros(v.shape[1]) if after is None else after
         upto = after + np.cumsum(v, axis=0)
-        yield _vector_batch(list(zip(batch.column(0).to_pylist(), upto - v)))
+        yield vector_batch(list(zip(batch.column(0).to_pylist(), upto - v)))
         after = upto[-1]
 
 
@@ -281,7 +281,7 @@ def _scan_kernel(plans: Sequence[ModelPlan], efron: bool):
     return kernel
 
 
-def _summed(df: DataFrame, key: Column) -> DataFrame:
+def add_vectors(df: DataFrame, key: Column) -> DataFrame:
     return df.groupBy(key.cast("int").alias("bucket")).agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
 
 
@@ -291,7 +291,7 @@ def _later_sums(totals: DataFrame, buckets: int) -> DataFrame:
         return totals.select(F.lit(0).alias("run"), "bucket", "stats").repartition(1)
     size = math.isqrt(buckets) + 1
     run = F.floor(F.col("bucket") / size)
-    later = (_summed(totals, run).repartition(1).sortWithinPartitions(F.col("bucket").desc()).mapInArrow(_later_kernel, VECTORS)
+    later = (add_vectors(totals, run).repartition(1).sortWithinPartitions(F.col("bucket").desc()).mapInArrow(_later_kernel, VECTORS)
              .select(F.col("bucket").alias("run"), F.lit(LATER).alias("bucket"), "stats"))
     return totals.select(run.cast("int").alias("run"), "bucket", "stats").unionByName(later).repartition("run")
 
@@ -405,7 +405,7 @@ def _open_kernel(plans: Sequence[ModelPlan], efron: bool):
         for s in streams:
             s.close(sums_of_later)
         if last is not None:
-            yield _vector_batch([(RESULTS, np.concatenate([s.acc for s in streams]))])
+            yield vector_batch([(RESULTS, np.concatenate([s.acc for s in streams]))])
 
     return kernel
 
@@ -514,7 +514,7 @@ class CoxBatch:
 
     def scanned(self, plans: Sequence[ModelPlan]) -> DataFrame:
         """(bucket, stats): the risk sums later than each open bucket, and rows of results."""
-        totals = _summed(self.parted.mapInArrow(_total_kernel(plans), VECTORS), F.col("bucket"))
+        totals = add_vectors(self.parted.mapInArrow(_total_kernel(plans), VECTORS), F.col("bucket"))
         runs = _later_sums(totals, self.buckets).sortWithinPartitions("run", F.col("bucket").desc())
         return runs.mapInArrow(_scan_kernel(plans, self.efron), SCANNED)
 
@@ -530,7 +530,7 @@ class CoxBatch:
         scanned = self.scanned(plans).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             found = [np.frombuffer(v) for v in scanned.where(F.col("bucket") < 0).toArrow()["stats"].to_pylist()]
-            inner = _summed(self.streamed(plans, scanned), F.spark_partition_id() % RESULT_PARTS)
+            inner = add_vectors(self.streamed(plans, scanned), F.spark_partition_id() % RESULT_PARTS)
             found += inner.toArrow()["stats"].to_pylist()
         finally:
             scanned.unpersist()

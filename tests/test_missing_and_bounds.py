@@ -95,9 +95,43 @@ def test_many_groups_and_columns_stay_off_the_driver(spark, monkeypatch):
     for (g, v, p), value in got.items():
         assert value == pytest.approx(np.quantile(rows[rows.g == g][v], p))
     assert len(got) == 80
-    with pytest.raises(ValueError):
-        km.logrank(df.withColumn("e", F.lit(1)), "a", "e", "g", ) if km.MAX_GROUPS < 20 else km.logrank_parts(
-            df.withColumn("e", F.lit(1)), "a", "e", "g", max_groups=5)
+
+
+def plain_logrank(t, e, g, k):
+    """Observed, expected and covariance from the definition."""
+    obs, exp, v = np.bincount(g, e, minlength=k), np.zeros(k), np.zeros((k, k))
+    for at in np.unique(t[e == 1]):
+        n_g = np.bincount(g[t >= at], minlength=k).astype(float)
+        n, d = n_g.sum(), e[t == at].sum()
+        exp += d * n_g / n
+        if n > 1:
+            v += d * (n - d) / (n * n * (n - 1)) * (np.diag(n * n_g) - np.outer(n_g, n_g))
+    return obs, exp, v
+
+
+@pytest.mark.parametrize("rows_per_bucket", [None, 40])
+@pytest.mark.parametrize("cells", [2_000_000, 100])
+def test_logrank_of_many_groups(spark, monkeypatch, rows_per_bucket, cells):
+    monkeypatch.setattr(km, "BLOCK_CELLS", cells)
+    r = np.random.default_rng(6)
+    n, k = 900, 40
+    t, e, g = r.choice(np.round(r.exponential(1, 200), 3), n), r.integers(0, 2, n), r.integers(0, k, n)
+    df = spark.createDataFrame([(float(a), int(b), f"{c:03d}") for a, b, c in zip(t, e, g)], "t double, e int, g string").repartition(3)
+    groups, obs, exp, v, size = km.logrank_parts(df, "t", "e", "g", rows_per_bucket, groups_as_columns=5)
+    want = plain_logrank(t, e, g, k)
+    assert groups == [f"{c:03d}" for c in range(k)] and size == np.bincount(g, minlength=k).tolist()
+    assert (obs == want[0]).all() and exp == pytest.approx(want[1]) and np.allclose(v, want[2], rtol=1e-9, atol=1e-9)
+
+
+def test_logrank_of_a_thousand_groups(spark):
+    r = np.random.default_rng(7)
+    n, k = 6000, 1000
+    t, e, g = r.integers(1, 30, n).astype(float), r.integers(0, 2, n), np.append(np.arange(k), r.integers(0, k, n - k))
+    df = spark.createDataFrame([(float(a), int(b), f"{c:04d}") for a, b, c in zip(t, e, g)], "t double, e int, g string")
+    got = km.logrank(df, "t", "e", "g").first()
+    obs, exp, v = plain_logrank(t, e, g, k)
+    use = np.flatnonzero(exp > 0)[1:]
+    assert got.df == len(use) and got.chisq == pytest.approx((obs - exp)[use] @ np.linalg.pinv(v[np.ix_(use, use)]) @ (obs - exp)[use], rel=1e-6)
 
 
 def test_rank_and_chi_square_with_thousands_of_groups(spark):
