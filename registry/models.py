@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.core import chi2_p, f_p, lineitem, normal_p, query, rounded, table
-from registry.newton import cox_ctes, linear_ctes, logit_ctes, profile_ctes
+from registry.newton import _jordan, cox_ctes, linear_ctes, logit_ctes, profile_ctes
 from registry.survival import Z, _LI, _cells, _cox_frame
 from riskset.operators import auc, cox, design, glm, impute, threshold
 from riskset.operators.frame import Model
@@ -443,6 +443,39 @@ def f6(spark, d):
     return rounded(impute.impute_pmm(df, "c_custkey", donors=1, match="fitted"))
 
 
+def _chained_sql(columns: list[str], rounds: int) -> str:
+    """Every round over every column with gaps, written out: regression on the others, then the nearest donor's value."""
+    zs = ", ".join(f"coalesce(({c} - m_{c}) / s_{c}, (l_{c} - m_{c}) / s_{c}) AS {c}, {c} IS NULL AS g_{c}" for c in columns)
+    moments = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}, min({c}) AS l_{c}" for c in columns)
+    ctes = ["""o AS (SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*)::DOUBLE AS n_orders FROM orders GROUP BY 1),
+    t AS MATERIALIZED (SELECT c_custkey, mean_price, n_orders, CASE WHEN c_nationkey <> 3 THEN c_acctbal END AS balance
+          FROM customer LEFT JOIN o ON c_custkey = o_custkey)""",
+            f"m AS MATERIALIZED (SELECT {moments} FROM t)", f"z0 AS MATERIALIZED (SELECT c_custkey, {zs} FROM t, m)"]
+    at = 0
+    for _ in range(rounds):
+        for c in columns:
+            xs = ["1.0::DOUBLE", *[x for x in columns if x != c]]
+            sums = [f"sum({x} * {y})" + (" * 1.00001" if i == j else "") + f" AS h_{i}_{j}" for i, x in enumerate(xs, 1) for j, y in enumerate(xs, 1)]
+            sums += [f"sum({x} * {c}) AS u_{i}" for i, x in enumerate(xs, 1)]
+            ctes.append(f"g{at} AS (SELECT 1 AS k, {', '.join(sums)} FROM z{at} WHERE NOT g_{c})")
+            ctes.append(_jordan(f"g{at}", len(xs), f"j{at}", "k"))
+            fitted = " + ".join(f"d_{i} * {x}" for i, x in enumerate(xs, 1))
+            ctes.append(f"p{at} AS MATERIALIZED (SELECT z{at}.*, {fitted} AS yhat FROM z{at}, j{at})")
+            ctes.append(f"near{at} AS (SELECT w.c_custkey, arg_min(d.{c}, abs(d.yhat - w.yhat)) AS new FROM p{at} w, p{at} d "
+                        f"WHERE w.g_{c} AND NOT d.g_{c} GROUP BY 1)")
+            kept = ", ".join([f"coalesce(new, {c}) AS {c}", *[x for x in columns if x != c], *[f"g_{x}" for x in columns]])
+            ctes.append(f"z{at + 1} AS MATERIALIZED (SELECT c_custkey, {kept} FROM z{at} LEFT JOIN near{at} USING (c_custkey))")
+            at += 1
+    out = ", ".join(f"round(coalesce(t.{c}, z.{c} * s_{c} + m_{c}), 6) AS {c}" for c in columns)
+    return f"WITH {', '.join(ctes)} SELECT c_custkey, {out}, 1 AS imp FROM t JOIN z{at} z USING (c_custkey), m"
+
+
+@query("f6_impute_chained", _chained_sql(["mean_price", "n_orders", "balance"], 3))
+def f6_chained(spark, d):
+    """Three columns with gaps, each predicted from the others' imputed values, over three rounds."""
+    return rounded(impute.impute_pmm(_customers(spark, d).drop("segment"), "c_custkey", maxit=3, donors=1, match="fitted", start="least"))
+
+
 @query("f6_impute_sets", """
     WITH o AS (SELECT o_custkey, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1)
     SELECT unnest(range(1, 6))::INT AS imp, count(*) AS n, 0 AS gaps,

@@ -3,7 +3,7 @@
 Each incomplete column in turn is regressed on all others over the rows where it is
 observed. Coefficients are drawn from their posterior; each missing cell then takes
 the observed value of one of the ``donors`` rows whose prediction is nearest. At the
-start a gap takes any of the column's observed values.
+start a gap takes any of the column's observed values, or the least one.
 
 Rows that are complete never change, so their cross-products are added up once. Only
 rows with a gap are rewritten per step. Nearest donors are found inside
@@ -34,6 +34,7 @@ RIDGE = 1e-5
 START_LIST = 64
 IMP = "imp"
 MATCHES = ("drawn", "fitted")
+STARTS = ("drawn", "least")
 
 
 @dataclass
@@ -72,9 +73,9 @@ class Imputer:
 
     def __init__(self, df: DataFrame, key: str, columns: Sequence[str] | None = None,
                  levels: Mapping[str, Sequence] | None = None, seed: int = 123, imputation: int = 1,
-                 rows_per_bucket: int | None = None, donors: int = DONORS, match: str = "drawn"):
-        if donors < 1 or match not in MATCHES:
-            raise ValueError(f"donors must be at least 1 and match one of {MATCHES}")
+                 rows_per_bucket: int | None = None, donors: int = DONORS, match: str = "drawn", start: str = "drawn"):
+        if donors < 1 or match not in MATCHES or start not in STARTS:
+            raise ValueError(f"donors must be at least 1, match one of {MATCHES} and start one of {STARTS}")
         names = list(columns or [c for c in df.columns if c != key])
         levels = dict(levels or {})
         for n in names:
@@ -84,7 +85,7 @@ class Imputer:
             if n not in levels and dict(df.dtypes)[n] == "string":
                 raise ValueError(f"{n} is text without levels")
         self.source, self.key, self.seed, self.imputation = df, key, seed, imputation
-        self.rows_per_bucket, self.donors, self.match = rows_per_bucket, donors, match
+        self.rows_per_bucket, self.donors, self.match, self.start = rows_per_bucket, donors, match, start
         self.columns = [_Column(n, list(levels[n]) if n in levels else None) for n in names]
         self._prepare()
 
@@ -96,7 +97,8 @@ class Imputer:
         one = coded.agg(
             F.count(F.lit(1)).alias("n"),
             *[x for i, c in enumerate(self.columns) for x in (
-                F.count(c.code).alias(f"n{i}"), F.avg(c.code).alias(f"m{i}"), F.stddev_samp(c.code).alias(f"s{i}"))]
+                F.count(c.code).alias(f"n{i}"), F.avg(c.code).alias(f"m{i}"), F.stddev_samp(c.code).alias(f"s{i}"),
+                F.min(c.code).alias(f"l{i}"))]
         ).first()
         self.n = int(one["n"])
         position = 1  # 0 is the constant
@@ -123,10 +125,14 @@ class Imputer:
         for c in self.targets:
             any_gap = any_gap | F.col(c.code).isNull()
         self.fixed = coded.where(~any_gap).persist(StorageLevel.MEMORY_AND_DISK)
-        start = self._start_values(coded)
-        filled = [F.coalesce(F.col(c.code), F.col(f"s_{c.name}")).alias(c.code) if c.missing else F.col(c.code)
-                  for c in self.columns]
-        self.open = cut_lineage(coded.where(any_gap).join(start, "key").select("key", *filled, *gaps))
+        if self.start == "least":
+            first = {c.name: F.lit(float(one[f"l{i}"])) for i, c in enumerate(self.columns)}
+            rows = coded.where(any_gap)
+        else:
+            first = {c.name: F.col(f"s_{c.name}") for c in self.columns}
+            rows = coded.where(any_gap).join(self._start_values(coded), "key")
+        filled = [F.coalesce(F.col(c.code), first[c.name]).alias(c.code) if c.missing else F.col(c.code) for c in self.columns]
+        self.open = cut_lineage(rows.select("key", *filled, *gaps))
         self.fixed_gram = self._gram(self.fixed, None)
 
     def _start_values(self, coded: DataFrame) -> DataFrame:
@@ -344,17 +350,18 @@ def _pick_in_groups(parted: DataFrame, halo: Mapping[int, list[tuple]], donors:
 
 def impute_pmm(df: DataFrame, key: str, columns: Sequence[str] | None = None,
                levels: Mapping[str, Sequence] | None = None, m: int = 1, maxit: int = 10, seed: int = 123,
-               rows_per_bucket: int | None = None, donors: int = DONORS, match: str = "drawn") -> DataFrame:
+               rows_per_bucket: int | None = None, donors: int = DONORS, match: str = "drawn", start: str = "drawn") -> DataFrame:
     """``m`` completed tables stacked, numbered 1.. in the column ``imp``.
 
     ``key`` identifies rows and seeds every random choice. The default computes only
     the first set, which is the one :func:`complete_imputation` takes. ``match`` says
     by which coefficients a gap is predicted: drawn from their posterior, or the
-    fitted ones; with the latter and one donor nothing is left to chance.
+    fitted ones; ``start`` what stands in a gap at first: a drawn observed value, or the
+    least one. With fitted coefficients, the least values and one donor nothing is left to chance.
     """
     out = None
     for i in range(1, m + 1):
-        one = Imputer(df, key, columns, levels, seed, i, rows_per_bucket, donors, match).run(maxit).withColumn(IMP, F.lit(i))
+        one = Imputer(df, key, columns, levels, seed, i, rows_per_bucket, donors, match, start).run(maxit).withColumn(IMP, F.lit(i))
         out = one if out is None else out.unionByName(one)
     return out
 
