@@ -9,7 +9,8 @@ has ``article`` or ``main`` elements the text is taken from there.
 Paragraphs and headings are never deleted for recurring by themselves: a sentence many pages share is still text.
 
 Defined results: a null or empty page, or one of which nothing is left, has the empty text. A page without a host in its
-url keeps its boxes, since nothing says which site's they are. Repeated rows give a row and count as a page each.
+url keeps its boxes, since nothing says which site's they are. Repeated rows give a row and count as a page each. An empty table
+gives no rows. A very long page is read whole.
 """
 
 from __future__ import annotations

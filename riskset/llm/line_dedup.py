@@ -6,7 +6,8 @@ key of at least ``MIN_CHARS`` code points is in at least ``MIN_DOCS`` documents
 document with the smallest id. What stays is put together again by position.
 
 Defined results: a null or empty text is one empty line. Rows with one id are one document to the counts, and lose the
-lines at the positions that rule names; a null id comes after all others. Other columns are carried along or
+lines at the positions that rule names; a null id comes after all others. An empty table gives no rows. A very long text is
+read whole. Other columns are carried along or
 ignored, whatever their names.
 
 A line that a third of all documents share is counted after a partial sum for each (hash, document); the table of

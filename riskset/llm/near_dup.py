@@ -22,7 +22,8 @@ A class is a connected component of the links found right.
 
 Defined results: null, empty and blank texts have no shingles, which makes their multisets equal: they are one class. A null id stays a row with a
 null class. Rows repeated with the same id and text are one document; rows that share an id but not the text are told
-apart no further than the id. Other columns are ignored, whatever their names.
+apart no further than the id. An empty table gives no rows. A very long text is read whole, in a slice of its own. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

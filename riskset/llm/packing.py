@@ -5,7 +5,7 @@ binary digits of the rest name, longest first. Every piece is a sequence of its
 is a power of two, and no sequence crosses documents. ``bucket`` is the length; a trainer draws a batch from one bucket.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1. Rows repeated with one id are packed each,
-in sequences of their own. Nothing is shuffled: the sequence number joins the task's number and a count within the task, so it
+in sequences of their own. An empty table gives no rows. Nothing is shuffled: the sequence number joins the task's number and a count within the task, so it
 is the same when a lost task runs again. The length of a text is limited by what one task holds, its ids (4 bytes each).
 """
 
