@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again before the next.
+
+Defined results: null, empty and blank texts fail the quality rules and go in the first stage. A null source is a host and a
+source of its own. Rows repeated with one id and text are judged each, lose the same lines, and are one document after the third
+stage; a null id stays, after all others. Very long texts are read whole by every stage. An empty table gives no rows. Further
+columns are carried along, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
