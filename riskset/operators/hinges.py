@@ -85,7 +85,7 @@ class HingeSums:
         got = found if self.whole else self.table.where("part > 0").toArrow()
         part, x, values = (got["part"].to_numpy(), got["x"].to_numpy(), np.column_stack([got[s].to_numpy() for s in sums]))
         order = np.argsort(part[part > 0])
-        flat = values[part > 0][order].ravel()
+        flat = values[part > 0][order].ravel() if len(order) else np.zeros(packed_size(m + 1))
         self.moments = unpack(flat[:packed_size(m + 1)], m + 1)  # constant, variable, covariates, outcome
         if self.whole:
             self._hold(x[part == 0], values[part == 0], None)
