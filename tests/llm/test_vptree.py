@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskset.llm import vptree
-from riskset.llm.vptree import Tree, nearest
+from riskset.llm.vptree import Index, TopTree, Tree, nearest, unit
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -38,26 +38,83 @@ def test_factor_one_is_exact(spark):
     near(nearest(df, F.col("vec_id") % 50 == 0, factor=1.0, shard=100).collect(), brute(rows, lambda i: i % 50 == 0))
 
 
-def test_query_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vptree, "QUERY_BLOCK", 7)
-    rng = np.random.default_rng(2)
-    rows = [(int(i), rng.normal(size=4).tolist()) for i in range(200)]
-    near(nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, factor=1.0, shard=60).collect(), brute(rows, lambda i: i % 10 == 0))
+def test_many_batches_of_queries(spark):
+    """A part's tree and its queries may begin and end in different batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = np.random.default_rng(2)
+        rows = [(int(i), rng.normal(size=4).tolist()) for i in range(200)]
+        near(nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, factor=1.0, shard=60).collect(), brute(rows, lambda i: i % 10 == 0))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_pruning_is_real_and_exact_in_low_dimension():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(4000, 3))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = x[:50]
-    tree = Tree(x)
-    found = tree.nearest(q, np.arange(50), 5, 1.0)
-    dist = np.linalg.norm(x[None] - q[:, None], axis=2)
+    x = unit(rng.normal(size=(4000, 3)))
+    tree, order = Tree.over(x)
+    own = np.argsort(order)[:50]
+    dist = np.linalg.norm(x[None] - x[:50, None], axis=2)
     dist[np.arange(50), np.arange(50)] = np.inf
-    for i, rows in enumerate(found):
-        assert set(np.argsort(dist[i])[:5]) <= set(rows.tolist())
-    looked = sum(len(n) for n in tree.nodes if not isinstance(n, tuple))
-    assert looked + sum(isinstance(n, tuple) for n in tree.nodes) == 4000
+    q, rows, far = tree.nearest(x[:50], own, 5, 1.0)
+    for i in range(50):
+        at, d = rows[q == i], far[q == i]
+        assert set(np.argsort(dist[i])[:5]) <= set(order[at].tolist())
+        assert d == pytest.approx(dist[i][order[at]], abs=1e-7)
+    assert tree.looked < 0.2 * 50 * 4000
+    assert sorted(order.tolist()) == list(range(4000))
+
+
+def clustered(n=6000, size=24, groups=40):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(groups, size))
+    return [(int(i), (centres[i % groups] + 0.15 * rng.normal(size=size)).tolist()) for i in range(n)]
+
+
+def test_many_shards_at_the_production_factor(spark):
+    """Clustered vectors: nearly all neighbours are found and most shards are left out; factor one finds all."""
+    rows = clustered()
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, lambda i: i % 50 == 0)
+    got = {(r.query_id, r.vec_id) for r in nearest(df, F.col("vec_id") % 50 == 0, shard=200).collect()}
+    assert len(got & {(r[0], r[2]) for r in want}) >= 0.95 * len(want)
+    near(nearest(df, F.col("vec_id") % 50 == 0, shard=200, factor=1.0).collect(), want)
+    index = Index(df, shard=200)
+    top, x = index.top[24], unit(np.array([v for _, v in rows], np.float32).astype(float))
+    assert top.shards >= 30
+    asked = x[::50]
+    reach = np.array([np.sqrt(2 - 2 * r[3]) for r in want[4::5]])
+    visits = sum(len(q) for _, q in top.open(asked, index.factors(5)[24] * reach))
+    assert visits < 0.3 * top.shards * len(asked)
+    assert index.rows.groupBy("shard").count().count() == top.shards
+
+
+def test_factors_follow_the_vectors():
+    """Offsets between neighbours spread over the directions there are, so fewer directions need a larger factor."""
+    rng = np.random.default_rng(8)
+    got = [vptree.calibrated(unit(rng.normal(size=(2000, n))), 5, 0.97, 8) for n in (4, 16, 64)]
+    assert got == sorted(got, reverse=True) and got[0] > got[-1] and got[-1] < 0.3
+    assert vptree.calibrated(unit(np.ones((1, 4))), 5, 0.97, 8) == 1.0
+
+
+def test_top_tree_leaves_nothing_nearer_out_at_factor_one():
+    rng = np.random.default_rng(6)
+    x = unit(rng.normal(size=(1500, 5)))
+    top = TopTree(x[:600], 32)
+    home, dist = top.deal(x), np.linalg.norm(x[None, :40] - x[:, None], axis=2)
+    reach = np.sort(dist, axis=0)[5]
+    opened = {(s, q) for s, rows in top.open(x[:40], reach) for q in rows.tolist()}
+    assert all((home[i], q) in opened for q in range(40) for i in np.flatnonzero(dist[:, q] <= reach[q]).tolist())
+    assert len(opened) < 40 * top.shards
+
+
+def test_tiny_and_huge_components_count(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2.1e200]), (2, [1e-300, -1e-300]), (3, [3.0, 5.0])]
+    got = nearest(spark.createDataFrame(rows, schema), F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in got] == [1, 3, 2]
+    plain = [(0, [1.0, 2.0]), (1, [1.0, 2.1]), (2, [1.0, -1.0]), (3, [3.0, 5.0])]
+    assert [r.score for r in got] == pytest.approx([r.score for r in nearest(spark.createDataFrame(plain, schema), F.col("vec_id") == 0).collect()], abs=1e-14)
 
 
 def test_recall_of_the_production_factor(spark):
