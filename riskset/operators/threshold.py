@@ -209,6 +209,16 @@ class _Values:
         return [found[r] for r in ranks]
 
 
+def _quarters(first: int, last: int) -> list[int]:
+    n = last - first + 1
+    return [first + type3_rank(n, p) - 1 for p in (0, 0.25, 0.5, 0.75, 1)]
+
+
+def _next_ranks(first: int, last: int) -> list[int]:
+    """The ranks that a step over ``first`` to ``last`` tries."""
+    return _quarters(first, last)[1:4] if last - first + 1 > ENOUGH else list(range(first, last + 1))
+
+
 def _search(fam: _Family, df: DataFrame, low_p: float | None, high_p: float | None, digits: int,
             trace: list | None, value_limit: int) -> float:
     if low_p is None or high_p is None:
@@ -223,27 +233,37 @@ def _search(fam: _Family, df: DataFrame, low_p: float | None, high_p: float | No
     values = fam.values(df, low, high, value_limit)
     first, last = 1, values.n
     step = 0
-    while last - first + 1 > ENOUGH:
-        n = last - first + 1
-        ranks = [first + type3_rank(n, p) - 1 for p in (0, 0.25, 0.5, 0.75, 1)]
-        cuts = values.at(ranks[1:4])
-        logliks = fam.logliks(cuts, coarse=False)
+    scored: dict[int, tuple[float, float]] = {}  # by rank: (cut, log-likelihood)
+
+    def score(ranks: Sequence[int]) -> None:
+        new = sorted(set(ranks) - scored.keys())
+        if new:
+            cuts = values.at(new)
+            scored.update(zip(new, zip(cuts, fam.logliks(cuts, coarse=False))))
+
+    def choose(stage: str, ranks: Sequence[int]) -> int:
+        cuts, logliks = zip(*(scored[r] for r in ranks))
         best = _best(logliks)
-        step += 1
         if trace is not None:
-            trace += [(f"narrow{step}", c, ll, k == best) for k, (c, ll) in enumerate(zip(cuts, logliks))]
+            trace.extend((stage, c, ll, k == best) for k, (c, ll) in enumerate(zip(cuts, logliks)))
+        return best
+
+    while last - first + 1 > ENOUGH:
+        ranks = _quarters(first, last)
+        if not scored.keys() >= set(ranks[1:4]):
+            # the cuts of this step and, whichever of them wins, those of the next
+            score([*ranks[1:4], *(r for k in range(3) for r in _next_ranks(ranks[k], ranks[k + 2]))])
+        step += 1
+        best = choose(f"narrow{step}", ranks[1:4])
         first, last = ranks[best], ranks[best + 2]
     if last < first:
         found = low
     elif last == first:
         found = values.at([first])[0]
     else:
-        cuts = values.at(list(range(first, last + 1)))
-        logliks = fam.logliks(cuts, coarse=False)
-        best = _best(logliks)
-        if trace is not None:
-            trace += [("final", c, ll, k == best) for k, (c, ll) in enumerate(zip(cuts, logliks))]
-        found = cuts[best]
+        left = list(range(first, last + 1))
+        score(left)
+        found = scored[left[choose("final", left)]][0]
     return round(found, digits)
 
 
@@ -255,7 +275,8 @@ def threshold_search(df: DataFrame, var: str, family: str, covariates: Mapping[s
 
     Coarse scan over 19 percentiles, then the distinct observed values in the window
     around the best one are narrowed by quarters until at most five are left to try
-    one by one. ``low_p``/``high_p`` give the window and skip the scan. ``outcome`` is
+    one by one. A pass scores the three cuts of a step together with those that the
+    next step would need for each outcome, so that two steps cost one batch of fits. ``low_p``/``high_p`` give the window and skip the scan. ``outcome`` is
     ``time=, event=`` for Cox and ``outcome=`` otherwise. Case weights, when named,
     apply to every stage.
     """
