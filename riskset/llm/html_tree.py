@@ -50,27 +50,25 @@ def parse(text: str) -> Node:
     The time is in proportion to the length, also for pages that are broken or deeply nested.
     """
     root = Node("#page", {})
-    stack, open_count, at, n = [root], {}, 0, len(text)
+    stack, at, n = [root], 0, len(text)
+    opened: dict[str, list[int]] = {}  # by tag: where in the stack its open elements are
     inline: list[dict[str, int]] = [{}]  # for every open block, the inline elements open directly in it
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             gone = stack.pop().tag
-            open_count[gone] -= 1
+            opened[gone].pop()
             if gone in BLOCK:
                 inline.pop()
             else:
                 inline[-1][gone] -= 1
 
+    def innermost(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def depth_of(tags, fence) -> int | None:
-        if not any(open_count.get(t) for t in tags):
-            return None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in fence:
-                return None
-        return None
+        depth = innermost(tags)
+        return depth if depth and depth > innermost(fence) else None
 
     while at < n:
         start = text.find("<", at)
@@ -92,14 +90,11 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if found[1]:
-            if tag == "p" and not open_count.get("p"):
+            if tag == "p" and not opened.get("p"):
                 continue
             # an inline end tag doesn't end the blocks opened meanwhile
-            if open_count.get(tag) and (tag in BLOCK or inline[-1].get(tag)):
-                depth = len(stack) - 1
-                while stack[depth].tag != tag:
-                    depth -= 1
-                pop_to(depth)
+            if opened.get(tag) and (tag in BLOCK or inline[-1].get(tag)):
+                pop_to(opened[tag][-1])
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
             continue
@@ -117,8 +112,8 @@ def parse(text: str) -> Node:
             at = text.find(">", end) + 1 if close else n
             at = at or n
         elif tag not in VOID and not (found[3].endswith("/") and tag in ("path", "rect", "circle", "use", "g", "svg")):
+            opened.setdefault(tag, []).append(len(stack))
             stack.append(node)
-            open_count[tag] = open_count.get(tag, 0) + 1
             if tag in BLOCK:
                 inline.append({})
             else:

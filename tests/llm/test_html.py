@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from riskset.llm import html_main
@@ -17,6 +20,14 @@ from riskset.llm.html_tree import parse, subtree_hashes, walk
     ("<p>open <!-- never closed", "open"), ("<p>cut <a hre", "cut"), ("<div hidden>h</div><p aria-hidden=true>i</p>v", "v"),
     ("<b><p>x</b>y</p>z", "xy\nz"),
     ("<main><p>m</p></main><p>n</p>", "m"), ("<TITLE>t</TITLE><P>up", "up"),
+    ("<main><p>The real text\u2026</p></main><article class='card'><p>teaser</p></article>", "The real text\u2026"),
+    ("<div class='content has-sidebar'><p>long main text</p></div>", "long main text"),
+    ("<article><p>t</p><section class='related work'><p>real</p></section><div id='share-index'>x</div></article>", "t\nreal\nx"),
+    ("<article><p>text</p><div class=related><a>one</a> <a>two</a></div></article>", "text"),
+    ("<p>a text of some length here</p><article class=post>so</article>", "a text of some length here\nso"),
+    ("<div class='page-nav wrap'><p>most of the text is here</p></div><div class=menu>few</div>", "most of the text is here"),
+    ("<div class=comments><p>readers write much more than that</p></div><p>body</p>", "body"),
+    ("<article>text</article><div class=notice>a notice that is longer than the text itself</div>", "text"),
 ])
 def test_main_text(page, text):
     assert main_text(page) == text
@@ -26,6 +37,10 @@ def test_deep_and_long_pages():
     assert main_text("<div>" * 50_000 + "x" + "</b>" * 1000) == "x"
     assert main_text("<p>word</p>" * 20_000).count("\n") == 19_999
     assert main_text("<a b='" * 2000) == ""
+    start = time.perf_counter()
+    assert main_text("<p><button>" + "<h1>" * 64_000 + "x") == ""
+    assert main_text("<ul>" + "<li><div>" * 64_000 + "x") == "x"
+    assert time.perf_counter() - start < 20  # quadratic work would take many minutes
 
 
 def test_hashes_see_all_that_is_below():
@@ -41,26 +56,57 @@ def test_hosts():
 
 
 def pages(n, extra="<div class=x1>Same on all pages</div>"):
-    return [(i, f"http://one.com/{i}", f"<body>{extra}<div class=t><p>Text {i}</p><p>shared words</p></div></body>") for i in range(n)]
+    return [(i, f"http://one.com/{i}", f"<body>{extra}<div class=t><p>Text {i}</p><p>cookie sentence</p></div></body>") for i in range(n)]
 
 
-@pytest.mark.parametrize("limit", [html_main.TEMPLATE_ROWS, 0])
+@pytest.mark.parametrize("limit", [html_main.BROADCAST_BOXES, 0])
 def test_recurring_boxes_go_by_host(spark, monkeypatch, limit):
     """Also where the templates are joined and not broadcast."""
-    monkeypatch.setattr(html_main, "TEMPLATE_ROWS", limit)
+    monkeypatch.setattr(html_main, "BROADCAST_BOXES", limit)
     rows = pages(20) + [(100, "http://two.com/", "<div class=x1>Same on all pages</div>own"), (101, None, "<p>n</p>"),
                         (102, "http://one.com/a", None), (103, "http://one.com/b", ""), (103, "http://one.com/b", "")]
     got = {(r.page_id, r.text, r.n_chars) for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    want = {(i, f"Text {i}\nshared words") for i in range(20)} | {(100, "Same on all pages\nown"), (101, "n"), (102, ""), (103, "")}
+    want = {(i, f"Text {i}") for i in range(20)} | {(100, "Same on all pages\nown"), (101, "n"), (102, ""), (103, "")}
     assert got == {(i, t, len(t)) for i, t in want}
 
 
-def test_boxes_on_many_pages_go_whatever_the_share(spark):
-    """25 of 300 pages have the menu of one section; a box on ten pages stays."""
-    section, few = "<div class=x1>Section list</div>", "<div class=x2>Seen ten times</div>"
-    rows = [(i, f"http://one.com/{i}", f"<body>{section * (i < 25)}{few * (i >= 290)}<p>Text {i}</p></body>") for i in range(300)]
+def test_boxes_on_many_pages_go_whatever_the_hosts_size(spark):
+    """Five of 300 pages have the menu of one section; a box on four pages stays."""
+    section, few = "<div class=x1>Section list</div>", "<div class=x2>Seen four times</div>"
+    rows = [(i, f"http://one.com/{i}", f"<body>{section * (i < 5)}{few * (i >= 296)}<p>Text {i}</p></body>") for i in range(300)]
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: ("Seen ten times\n" if i >= 290 else "") + f"Text {i}" for i in range(300)}
+    assert got == {i: ("Seen four times\n" if i >= 296 else "") + f"Text {i}" for i in range(300)}
+
+
+@pytest.mark.parametrize("limit", [html_main.BROADCAST_BOXES, 0])
+def test_against_plain_counts_over_hosts(spark, monkeypatch, limit):
+    """Pages of random boxes and paragraphs: what is on five different pages of a host goes, there and nowhere else."""
+    monkeypatch.setattr(html_main, "BROADCAST_BOXES", limit)
+    rng = random.Random(3)
+    stock = [(t, f"{t} text {i}") for i in range(40) for t in ("div", "p", "section", "h2")]
+    pages, parts = [], {}
+    for i in range(200):
+        host = "hot.org" if i % 3 == 0 else f"h{rng.randrange(6)}.org"
+        held = [("p", f"own {i if i % 10 else 0}")] + rng.sample(stock, rng.randrange(12))
+        rng.shuffle(held)
+        parts[i] = host, held
+        pages.append((i, f"https://{host}/{i}", "".join(f"<{t}>{x}</{t}>" for t, x in held)))
+    pages += [(1000 + i, "https://hot.org/copy", pages[0][2]) for i in range(30)]  # copies count once
+    parts |= {1000 + i: ("hot.org", parts[0][1]) for i in range(30)}
+    on: dict = {}
+    for host, held in parts.values():
+        for part in held:
+            on.setdefault((host, part), set()).add(tuple(held))
+    want = {i: "\n".join(x for t, x in held if t == "h2" or len(on[host, (t, x)]) < html_main.MIN_PAGES) for i, (host, held) in parts.items()}
+    got = extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(pages)
+    assert sum(w.count("\n") + 1 for w in want.values()) < sum(len(held) for _, held in parts.values())
+
+
+def test_a_page_carries_only_its_own_templates(spark):
+    rows = [("h", i, f"<div>menu {i % 20}</div><p>text {i}</p>") for i in range(200)]
+    got = html_main.templates(spark.createDataFrame(rows, "host string, page long, html string")).collect()
+    assert {r.page for r in got} == set(range(200)) and all(len(r.boxes) == 1 for r in got)
 
 
 def test_articles_stay_though_they_recur(spark):
