@@ -2,7 +2,8 @@
 
 The automaton accepts every run of words of all templates and phrases together. A document's words are streamed through
 it once: at every word it knows the longest run ending there that some template holds. Phrases are found where their
-state lies on the suffix links of the current one. Longest runs of at least ``MIN_RUN`` words are chained, in the order of
+state lies on the suffix links of the current one, and so do shorter runs of other templates. Runs of at least ``MIN_RUN`` words
+that no neighbouring word extends in their template are chained, in the order of
 both text and template, over gaps of at most ``MAX_GAP`` words on either side; a template of which a chain covers at
 least ``COVER`` gives its label. The score is the largest share of a template that is covered (1 where a phrase stands).
 
@@ -41,7 +42,8 @@ class Automaton:
 
     def __init__(self, templates: list[tuple[str, str]], phrases: list[tuple[str, str]], min_run: int = MIN_RUN):
         self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.min_run = [-1], [0], min_run
+        self._places: dict[int, list] = {}
         self.templates = [(label, words_of(text)) for label, text in templates]
         sequences = [words for _, words in self.templates] + [words_of(p) for p, _ in phrases]
         if any(not s for s in sequences):
@@ -105,20 +107,46 @@ class Automaton:
             self.link[new] = self._split(p, self.next[p][w], w)
         return new
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]:
-        """(start, label) of every phrase place; (end, words, state) of every longest run of at least ``MIN_RUN`` words."""
+    def places(self, state: int) -> list[tuple[int, int, int, bytes | None]]:
+        """(words, template, position after the run, template's next word) of every place of the state's runs and their suffixes.
+
+        Each place has its longest run; 0 words stand for the whole run that is held.
+        """
+        found = self._places.get(state)
+        if found is None:
+            found, seen, v = [], set(), state
+            while v > 0 and self.length[v] >= self.min_run:
+                for t, to in self.ends[v]:
+                    if (t, to) not in seen:
+                        seen.add((t, to))
+                        words = self.templates[t][1]
+                        found.append((0 if v == state else self.length[v], t, to, words[to] if to < len(words) else None))
+                v = self.link[v]
+            self._places[state] = found
+        return found
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, list[tuple[int, int, int]]]]]:
+        """(start, label) of every phrase place; (end, words held, [(words, template, position after the run)]) by rising end.
+
+        A run of at least ``min_run`` words is listed where no neighbouring word extends it in its template.
+        """
         edges, link, length, named = self.next, self.link, self.length, self.phrases
         root, places, runs = edges[0], [], []
         state = held = 0
+
+        def end(at: int, w: bytes | None) -> None:
+            if over := [(n or held, t, to) for n, t, to, after in self.places(state) if w is None or after != w]:
+                runs.append((at, held, over))
+
         for i, w in enumerate(words):
+            if held >= self.min_run:
+                end(i, w)
             if w in edges[state]:
                 state = edges[state][w]
                 held += 1
             elif not state and w not in root:
                 continue
             else:
-                if held >= MIN_RUN:
-                    runs.append((i, held, state))
                 while state and w not in edges[state]:
                     state = link[state]
                 held = length[state] if state else 0
@@ -127,27 +155,27 @@ class Automaton:
                     held += 1
             if named[state]:
                 places += [(i + 1 - n, label) for n, label in named[state] if n <= held]
-        if held >= MIN_RUN:
-            runs.append((len(words), held, state))
+        if held >= self.min_run:
+            end(len(words), None)
         return places, runs
 
-    def spans(self, runs: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
+    def spans(self, runs: list[tuple[int, int, list[tuple[int, int, int]]]]) -> dict[int, tuple[float, int, int]]:
         """By template: (largest share covered by one chain, the chain's first word, the word after its last)."""
         open_chains: dict[int, list[tuple[int, int, int, int]]] = {}  # (text end, template end, covered, text start)
         best: dict[int, tuple[float, int, int]] = {}
-        for end, held, state in runs:
-            start = end - held
+        for end, held, over in runs:
             fresh: dict[int, list] = {}
-            for t, to in self.ends[state]:
-                begin = to - held
-                chains = [c for c in open_chains.get(t, ()) if start - c[0] <= MAX_GAP]
-                open_chains[t] = chains
-                covered, first = held, start
-                for c_end, c_to, c_covered, c_first in chains:
+            for n, t, to in over:
+                start, begin = end - n, to - n
+                if t not in fresh:  # no later run begins before the one held
+                    open_chains[t] = [c for c in open_chains.get(t, ()) if end - held - c[0] <= MAX_GAP]
+                covered, first = n, start
+                for c_end, c_to, c_covered, c_first in open_chains[t]:
                     # a run may begin inside the last one; what both cover counts once
-                    over = max(0, c_to - begin, c_end - start)
-                    if c_to <= to and begin - c_to <= MAX_GAP and over < held and c_covered + held - over > covered:
-                        covered, first = c_covered + held - over, c_first
+                    both = max(0, c_to - begin, c_end - start)
+                    if (start - c_end <= MAX_GAP and c_to <= to and begin - c_to <= MAX_GAP and both < n
+                            and c_covered + n - both > covered):
+                        covered, first = c_covered + n - both, c_first
                 fresh.setdefault(t, []).append((end, to, covered, first))
                 share = covered / len(self.templates[t][1])
                 if share > best.get(t, (0.0,))[0]:

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from riskset.llm.licences import PHRASES, TEMPLATES
-from riskset.llm.license_scan import MIN_RUN, Automaton, automaton, scan_licences, scan_text, words_of
+from riskset.llm.license_scan import MAX_GAP, MIN_RUN, Automaton, automaton, scan_licences, scan_text, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -31,21 +31,60 @@ def test_words():
         assert [w.decode() for w in words_of(t)] == plain_words(t)
 
 
-def test_matching_statistics_against_all_runs():
-    """Every longest run ending at a word is as long as a search over all templates says."""
+def brute_runs(words, templates):
+    """(end, words, template, position after) of every run of MIN_RUN words that can't be extended, by trying all places."""
+    out = []
+    for t, held in enumerate(templates):
+        for i in range(len(words)):
+            for j in range(len(held)):
+                if words[i] == held[j] and (i == 0 or j == 0 or words[i - 1] != held[j - 1]):
+                    n = 1
+                    while i + n < len(words) and j + n < len(held) and words[i + n] == held[j + n]:
+                        n += 1
+                    if n >= MIN_RUN:
+                        out.append((i + n, n, t, j + n))
+    return sorted(out)
+
+
+def brute_shares(runs, templates):
+    """By template the largest share that a chain of runs covers: every run may follow every run that ends before it does."""
+    covered, best = {}, {}
+    for end, n, t, to in runs:
+        most = n
+        for (e, m, u, at), c in covered.items():
+            both = max(0, at - (to - n), e - (end - n))
+            if u == t and e < end and at <= to and end - n - e <= MAX_GAP and to - n - at <= MAX_GAP and both < n:
+                most = max(most, c + n - both)
+        covered[end, n, t, to] = most
+        best[t] = max(best.get(t, 0), most / len(templates[t]))
+    return best
+
+
+def test_runs_and_shares_against_brute_force():
     auto = automaton()
-    sequences = [words_of(t) for _, t in TEMPLATES] + [words_of(p) for p, _ in PHRASES]
-    runs = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
-    for text in texts(n=60) + [TEMPLATES[2][1] + " noise " + TEMPLATES[4][1]]:
-        words = words_of(text)
-        longest = []
-        for e in range(1, len(words) + 1):
-            n = 0
-            while n < e and tuple(words[e - n - 1:e]) in runs:
-                n += 1
-            longest.append(n)
-        want = [(e, n) for e, n in enumerate(longest, 1) if n >= MIN_RUN and (e == len(words) or longest[e] != n + 1)]
-        assert [(e, n) for e, n, _ in auto.scan(words)[1]] == want
+    templates = [words_of(t) for _, t in TEMPLATES]
+    rng = random.Random(4)
+    cut = []
+    for _ in range(60):  # pieces of templates with words lost, put in and doubled
+        words = []
+        for t in rng.choices(templates, k=3):
+            piece = t[rng.randrange(3):] if rng.random() < 0.7 else t[rng.randrange(len(t)):]
+            words += [w for w in piece if rng.random() < 0.95] + [b"noise"] * rng.randrange(3)
+        cut.append(words)
+    for words in [words_of(t) for t in texts(n=40)] + cut:
+        runs = auto.scan(words)[1]
+        assert sorted((end, n, t, to) for end, _, over in runs for n, t, to in over) == brute_runs(words, templates)
+        assert [r[0] for r in runs] == sorted({r[0] for r in runs})
+        assert {t: s[0] for t, s in auto.spans(runs).items()} == brute_shares(brute_runs(words, templates), templates)
+
+
+def test_a_template_inside_anothers_longer_run_is_found():
+    """The second half of A stands where B holds it too, after a word of B."""
+    first, second = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    templates = [("A", f"{first} x {second}"), ("B", f"y {second} " + " ".join(f"c{i}" for i in range(30)))]
+    both, alone = Automaton(templates, []), Automaton(templates[:1], [])
+    for text in (f"{first} y {second}", f"{first} y {second} c0 c1 c2"):
+        assert scan_text(text, both)["labels"] == scan_text(text, alone)["labels"] == "A"
 
 
 def test_places_against_brute_force(spark):
