@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskset.llm.common import stored, task_batch
+from riskset.llm.common import hinted, stored, task_batch
 
 SHARD = 4096
 SAMPLE = 8192  #: vectors at most that top trees and factors are fitted on (fewer of over 256 components)
@@ -359,9 +359,9 @@ class Index:
         self.rows = stored(dealt, "dealt")
         # a shard may be much larger than the others (copies of one vector): its parts have a tree each
         held = self.rows.groupBy("dim", "shard").agg(F.count("*").alias("n"))
-        self.parts = stored(held.select("dim", "shard", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("parts")), "parts")
+        self.parts = hinted(stored(held.select("dim", "shard", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("parts")), "parts"))
         part = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("parts")).cast("int")
-        placed = self.rows.join(F.broadcast(self.parts), ["dim", "shard"]).select("dim", "shard", part.alias("part"), "vec_id", "vector")
+        placed = self.rows.join(self.parts, ["dim", "shard"]).select("dim", "shard", part.alias("part"), "vec_id", "vector")
         self.trees = stored(placed.groupBy("dim", "shard", "part").applyInPandas(_arranged, _TREES_DDL), "trees")
 
     def factors(self, k: int, recall: float = RECALL) -> dict[int, float]:
@@ -370,7 +370,7 @@ class Index:
 
     def visit(self, asks: DataFrame, k: int, factors: dict[int, float]) -> DataFrame:
         """(query_id, vec_id, score) of the best that each of ``asks`` finds in every part of the shard it visits."""
-        copies = asks.join(F.broadcast(self.parts), ["dim", "shard"]).select(
+        copies = asks.join(self.parts, ["dim", "shard"]).select(
             "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).alias("pos"), "vec_id", "vector",
             F.lit(0.0).alias("split"), "bound")
         both = self.trees.withColumn("bound", F.lit(0.0)).unionByName(copies)
