@@ -223,3 +223,19 @@ def test_model_groups_respect_the_state_limit():
     models = [Model(str(i), tuple(f"x{j}" for j in range(30))) for i in range(40)]
     groups = cox.model_groups(models)
     assert sum(groups, []) == models and cox.batch_doubles(groups) <= cox.BATCH_DOUBLES
+
+
+def test_tie_sums_of_many_times_are_added_together(monkeypatch):
+    """Times with a few events each cost no call of their own; the sums are those of one time after the other."""
+    from riskset.functions.tails import DIRECT_TIES, tie_sums
+
+    r = np.random.default_rng(3)
+    d = r.integers(1, 40, 500).astype(float)
+    d[:2] = DIRECT_TIES, DIRECT_TIES + 1
+    d0 = d * r.uniform(0.5, 1, 500)
+    s0 = d0 + r.uniform(1, 1e4, 500)
+    calls = []
+    monkeypatch.setattr(cox, "tie_sums", lambda *a: calls.append(a) or tie_sums(*a))
+    out = cox._tie_table(s0, d0, d, True)
+    assert len(calls) == 1
+    assert np.allclose(out, np.array([tie_sums(*map(float, x), True) for x in zip(s0, d0, d)]).T, rtol=1e-12)
