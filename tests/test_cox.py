@@ -239,3 +239,34 @@ def test_tie_sums_of_many_times_are_added_together(monkeypatch):
     out = cox._tie_table(s0, d0, d, True)
     assert len(calls) == 1
     assert np.allclose(out, np.array([tie_sums(*map(float, x), True) for x in zip(s0, d0, d)]).T, rtol=1e-12)
+
+
+def test_a_task_reads_many_buckets_and_each_row_twice(spark):
+    """Partitions follow rows, not buckets, and the buckets' vectors are made once an evaluation."""
+    df = spark.range(3000).select((F.rand(1) * 100).alias("t"), (F.rand(2) < 0.4).cast("int").alias("e"), F.randn(3).alias("x")).localCheckpoint()
+    layout = cox.RiskLayout(df, "t", "e", {"x": F.col("x")}, max_points=10, rows_per_bucket=20)
+    assert layout.buckets > 200 and layout.moved.rdd.getNumPartitions() <= 8
+    batch = cox.CoxBatch(layout, [Model("m", ("x",))])
+    runs = spark.sparkContext.accumulator(0)
+    kernel = cox._total_kernel
+
+    def counted(plans):
+        inner = kernel(plans)
+
+        def run(batches):
+            runs.add(1)
+            yield from inner(batches)
+
+        return run
+
+    cox._total_kernel = counted
+    try:
+        found = batch.evaluate([0], [np.array([0.3])])[0]
+    finally:
+        cox._total_kernel = kernel
+    assert 0 < runs.value <= layout.parted.rdd.getNumPartitions()
+    whole = cox.RiskLayout(df, "t", "e", {"x": F.col("x")})
+    same = cox.CoxBatch(whole, [Model("m", ("x",))]).evaluate([0], [np.array([0.3])])[0]
+    assert found[0] == pytest.approx(same[0]) and np.allclose(found[2], same[2]) and found[3:] == same[3:] == [3000, same[4]]
+    layout.release()
+    whole.release()
